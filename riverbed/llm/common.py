@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends here."""
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends here.
+
+    With ``free``, a collection lets Spark delete the shuffle files behind it, which are
+    of no more use.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riverbed-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +66,8 @@ def text_of(df: DataFrame, text_col: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array."""
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for an expression that uses it several times."""
+    return F.transform(F.array(value), body)[0]

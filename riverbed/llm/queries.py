@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riverbed.llm.common import cut, table
 
@@ -15,16 +16,35 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.chunk_dedup import dedup_chunks
+
+    return dedup_chunks(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.line_dedup import dedup_lines
+
+    lines = dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +53,26 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(cut(write_archives(table(spark, sf_dir, "pages")), "warc"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.quality_rules import quality_rules
+
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.quality_classifier import classify, fit, held_out
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classify(docs, fit(docs, labels.filter(~held_out(F.col("doc_id")))))
+
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
@@ -44,8 +84,11 @@ FROM s
 """
 
 
+QUERIES = (op2_chunk_dedup, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_packing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_quality_classifier)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op6_packing": op6_packing, "op7_warc": op7_warc}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
