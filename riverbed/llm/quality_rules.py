@@ -76,23 +76,16 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     return weights
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics and verdict of every document.
-
-    Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept`` for each input row.  A null text has no words and fails; repeated
-    rows are judged each; a null id is never in the target; further columns are ignored;
-    an empty table gives no rows.  A document without n-grams scores 0.
-    """
+def _judged(docs: DataFrame, trusted: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """Each row of ``docs`` whole, as ``row``, with its statistics and verdict."""
     weights = F.array(*map(F.lit, ngram_weights(docs, trusted, id_col, text_col)))
     text = text_of(docs, text_col)
-    with_words = docs.select(docs[id_col].alias("id"), text.alias("text"), words_of(text).alias("words"))
+    with_words = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), words_of(text).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     total = F.aggregate(_buckets(F.col("words")), F.lit(0).cast("long"), lambda s, b: s + F.get(weights, b))
-    n = F.size("words").cast("long")
     stats = with_words.select(
-        F.col("id"),
-        n.alias("n_words"),
+        "row",
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -101,4 +94,20 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOL
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
-    return stats.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("total") >= threshold * grams)).alias("kept"))
+    return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("total") >= threshold * grams))
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Statistics and verdict of every document.
+
+    Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept`` for each input row.  A null text has no words and fails; repeated
+    rows are judged each; a null id is never in the target; further columns are ignored;
+    an empty table gives no rows.  A document without n-grams scores 0.
+    """
+    return _judged(docs, trusted, threshold, id_col, text_col).select(F.col(f"row.{id_col}").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    return _judged(docs, trusted, threshold, id_col, text_col).filter("kept").select("row.*")

@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.chunk_dedup import dedup_chunks
 
@@ -84,7 +90,7 @@ FROM s
 """
 
 
-QUERIES = (op2_chunk_dedup, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_packing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_quality_classifier)
+QUERIES = (op1_substring_dedup, op2_chunk_dedup, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_packing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
