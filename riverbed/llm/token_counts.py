@@ -30,7 +30,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _TAIL = rf"([{_LETTER}])([.,])(?=[ \t\n\x0B\f\r]|\z)"
 _PLAIN = re.compile(rf"[!-~{_LETTER}]+")
 #: Distinct pre-tokens that a task remembers; beyond it the memory is emptied and refilled.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 
 def _counter(tokenizer_file: str):
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
         for b in batches:
             lists = b.column("pieces")
             codes = lists.flatten().dictionary_encode()
-            distinct = codes.dictionary.to_pylist()
+            distinct = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(memory) > MEMORY:
                 memory = {"": 0}
             new = [w for w in distinct if w not in memory]

@@ -43,11 +43,12 @@ def test_counts_of_an_empty_table(spark):
     assert count_tokens(frame(spark, ["x"]).filter("false"), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("ranks", [None, "byte_bpe_50k.tiktoken"])
+def test_packing_round_trip(spark, ranks):
     rng = random.Random(2)
     texts = ODD + sample() + ["word " * 20000] + ["".join(rng.choice("aB. \n\té'<|endoftext|>1") for _ in range(60)) for _ in range(300)]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = pack_documents(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    rows = pack_documents(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), ranks and public_tokenizers.path(ranks)).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
