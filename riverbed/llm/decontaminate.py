@@ -6,10 +6,10 @@ each edit, so their walks differ in few places.  Repeated samples of walk places
 LSH keys under which windows of documents meet the items; a meeting is confirmed by the
 exact edit distance between the whole item and its best matching stretch of the document.
 
-Windows begin where an eight-byte piece of an item begins, and only where the next
-item-sized stretch holds as many such pieces as any match must leave intact (each edit
-spoils at most eight), so this filter loses no match that still has an intact piece among
-an item's first bytes.  The filter's table of pieces and of item keys has a fixed size.
+Windows begin where a run of eight-byte pieces of items begins: a match whose first bytes
+hold twelve intact ones has such a start.  The tables of pieces and of item keys have a
+fixed size, whatever the number of items; a key that they let through is joined with the
+items' own.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from riverbed.llm.common import cut, text_of
 #: An item is found where its edit distance is at most this share of its length.
 MAX_EDITS = 0.1
 PIECE = 8
+#: Pieces in a row that begin a window, and how many places after a run's begin are taken too.
+RUN, NEXT, EVERY = 5, 8, 32
 #: Windows of an item begin at each of its first bytes, so that an edited start does no harm.
-OFFSETS = 32
+OFFSETS = 64
 #: Window sizes in bytes; a key samples PLACES walk places, REPEATS keys for each size and walk.
 SIZES, PLACES, REPEATS = (32, 64, 96), 6, 24
-#: Entries of the tables that every task gets, whatever the number of items.
-TABLE_BITS = 22
+#: Bits of the tables that every task gets, whatever the number of items.
+PIECE_BITS, KEY_BITS = 22, 26
 #: Bytes around a window that are kept to confirm a match.
 ROOM = 64
 
@@ -40,7 +42,7 @@ _RNG = np.random.Generator(np.random.PCG64(11))
 _STEPS = max(SIZES) * 5 // 4
 _BITS = _RNG.integers(0, 2, (_STEPS, 256), dtype=np.uint8)
 _PLACES = {s: [np.sort(_RNG.choice(np.arange(PIECE, s * 5 // 4), PLACES, replace=False)) for _ in range(REPEATS)] for s in SIZES}
-_ODD = _RNG.integers(0, 2**62, PLACES + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _RNG.integers(0, 2**62, PLACES + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(text: Column) -> Column:
@@ -60,7 +62,7 @@ def pieces(data: np.ndarray) -> np.ndarray:
     x = data.astype(np.uint64)
     for k in (1, 2, 4):
         x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    return (_mix(x) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (_mix(x) >> np.uint64(64 - PIECE_BITS)).astype(np.int64)
 
 
 def walks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -80,8 +82,19 @@ def keys(walk: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield _mix(key + np.array([size * 1000 + r], np.uint64) * _ODD[PLACES]).view(np.int64)
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (_mix(key.view(np.uint64) ^ _ODD[PLACES + 1]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _slot(key: np.ndarray, probe: int) -> np.ndarray:
+    return (_mix(key.view(np.uint64) ^ _ODD[PLACES + probe]) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def window_starts(hit: np.ndarray) -> np.ndarray:
+    """Places in runs of pieces: the first ones of each run and every EVERY-th after."""
+    if len(hit) < RUN:
+        return np.zeros(0, np.int64)
+    total = np.concatenate(([0], np.cumsum(hit)))
+    full = total[RUN:] - total[:-RUN] == RUN
+    at = np.flatnonzero(full)
+    first = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), at, 0)) if len(at) else at
+    return at[(at - first < NEXT) | ((at - first) % EVERY == 0)]
 
 
 def best_distance(item: str, text: str, most: int) -> int:
@@ -107,17 +120,28 @@ def best_distance(item: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+class _Bits:
+    """A set of slots as 64-bit words."""
+
+    def __init__(self, slots: DataFrame, bits: int):
+        # at most 2 ** (bits - 6) words, whatever the number of items
+        word = slots.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        self.words = np.zeros(1 << (bits - 6), np.int64)
+        self.words[word.column("w").to_numpy()] = word.column("b").to_numpy()
+
+    def has(self, slot: np.ndarray) -> np.ndarray:
+        return (self.words[slot >> 6] >> (slot & 63) & 1).astype(bool)
+
+
 @dataclass
 class _Tables:
     """What every task needs of the items; its size does not depend on their number."""
 
-    piece: np.ndarray
-    key: np.ndarray
-    #: (stretch in bytes, least number of pieces in it) for each class of item lengths
-    classes: list[tuple[int, int]]
+    piece: _Bits
+    key: _Bits
 
 
-def _item_rows(items: DataFrame, max_edits: float) -> DataFrame:
+def _item_rows(items: DataFrame) -> DataFrame:
     """``(key, item_id)`` of every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +162,7 @@ def _item_rows(items: DataFrame, max_edits: float) -> DataFrame:
     return items.mapInArrow(run, "key long, item long")
 
 
-def _tables(items: DataFrame, item_keys: DataFrame, max_edits: float) -> _Tables:
+def _tables(items: DataFrame, item_keys: DataFrame) -> _Tables:
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in b.column("text").to_pylist():
@@ -146,19 +170,10 @@ def _tables(items: DataFrame, item_keys: DataFrame, max_edits: float) -> _Tables
 
     def key_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(b.column("key").to_numpy())))], names=["slot"])
-
-    def table(rows: DataFrame) -> np.ndarray:
-        out = np.zeros(1 << TABLE_BITS, bool)
-        # at most 2 ** TABLE_BITS distinct slots, whatever the number of items
-        out[[r.slot for r in rows.distinct().toLocalIterator()]] = True
-        return out
+            key = b.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_slot(key, 1), _slot(key, 2)]))], names=["slot"])
 
-    octets = F.octet_length("text")
-    # item lengths in classes a tenth apart, so at most a few hundred of them
-    sized = items.filter(octets >= PIECE).groupBy(F.floor(F.log(octets.cast("double")) * 10).alias("c")).agg(F.min(octets).alias("lo"), F.max(octets).alias("hi")).collect()
-    classes = [(int(r.hi + max_edits * r.hi), max(1, int(r.lo - PIECE + 1 - PIECE * int(max_edits * r.lo)))) for r in sized]
-    return _Tables(table(items.mapInArrow(slots, "slot long")), table(item_keys.select("key").mapInArrow(key_slots, "slot long")), classes)
+    return _Tables(_Bits(items.mapInArrow(slots, "slot long"), PIECE_BITS), _Bits(item_keys.select("key").mapInArrow(key_slots, "slot long"), KEY_BITS))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -167,13 +182,13 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     Returns a row ``id_col, item_col, edit_distance, item_chars`` for each pair found:
     the least edit distance between the item and a stretch of the document, both in lower
     case with white space collapsed, is at most ``max_edits`` of the item's length.  Null
-    texts hold nothing, null or empty items (after collapsing) are in nothing; rows with a
-    null id are passed over; repeated rows give one row; further columns are ignored;
+    texts hold nothing; null items and items under PIECE + RUN - 1 bytes (after collapsing)
+    are in nothing; rows with a null id are passed over; repeated rows give one row; further columns are ignored;
     empty tables give no rows.
     """
     bench = items.select(items[item_col].cast("long").alias("item"), normal(text_of(items, "text")).alias("text")).filter("item is not null and text <> ''")
-    item_keys = cut(_item_rows(bench, max_edits), "item-keys")
-    tables = docs.sparkSession.sparkContext.broadcast(_tables(bench, item_keys, max_edits))
+    item_keys = cut(_item_rows(bench), "item-keys")
+    tables = docs.sparkSession.sparkContext.broadcast(_tables(bench, item_keys))
     longest = int(bench.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()[0])
     reach = int(longest * (1 + max_edits)) + ROOM
     flat = docs.select(docs[id_col].cast("long").alias("doc"), normal(text_of(docs, text_col)).alias("text")).filter("doc is not null")
@@ -183,22 +198,16 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
         for b in batches:
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
-                hit = t.piece[pieces(data)]
-                starts = np.flatnonzero(hit)
-                if not len(starts):
-                    continue
-                total = np.concatenate(([0], np.cumsum(hit)))
-                ok = np.zeros(len(starts), bool)
-                for stretch, least in t.classes:
-                    ok |= total[np.minimum(starts + stretch, len(hit))] - total[starts] >= least - OFFSETS
-                for part in np.array_split(starts[ok], len(starts) // 20_000 + 1):
+                starts = window_starts(t.piece.has(pieces(data)))
+                for part in np.array_split(starts, len(starts) // 20_000 + 1):
                     if not len(part):
                         continue
                     walk = walks(data, part)
                     at, key = [], []
                     for size in SIZES:
                         for k in keys(walk, size):
-                            on = np.flatnonzero(t.key[_slot(k)])
+                            on = np.flatnonzero(t.key.has(_slot(k, 1)))
+                            on = on[t.key.has(_slot(k[on], 2))]
                             at.append(part[on])
                             key.append(k[on])
                     at, key = np.concatenate(at), np.concatenate(key)
