@@ -9,6 +9,9 @@ same way on every run.  DataFrame functions only.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ SYMBOLS = "[#*$%&|<>]"
 
 
 def _bucket(gram: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(gram, "UTF-8")), F.lit(BUCKETS)).cast("int")
+    return F.crc32(gram.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def _buckets(words: Column) -> Column:
@@ -40,7 +43,7 @@ def repeat_words(words: Column, size: int = 5) -> Column:
     """
 
     def covered(windows: Column) -> Column:
-        ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
             found = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
@@ -62,23 +65,20 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     a ratio of one everywhere.
     """
     target = trusted.select(F.col(id_col).alias("id")).distinct().withColumn("hit", F.lit(1))
-    texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).join(target, "id", "left")
+    # a merge join at every size: the trusted ids grow with the corpus
+    texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).join(target.hint("merge"), "id", "left")
     grams = texts.select(F.coalesce("hit", F.lit(0)).alias("hit"), F.explode(let(words_of(F.col("text")), _buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target"))
-    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raws"), F.coalesce(F.sum("target"), F.lit(0)).alias("targets"))
-    log = lambda n, t: F.log((F.coalesce(n, F.lit(0)) + 1.0) / (t + float(BUCKETS)))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").crossJoin(total)
-    ratio = F.when(F.col("targets") > 0, log(F.col("target"), F.col("targets")) - log(F.col("raw"), F.col("raws"))).otherwise(0.0)
-    rows = every.select("bucket", F.round(ratio * SCALE).cast("int").alias("w")).collect()
+    rows = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target")).collect()
+    raws, targets = sum(r.raw for r in rows), sum(r.target for r in rows)
     weights = [0] * BUCKETS
-    for r in rows:
-        weights[r.bucket] = r.w
+    for r in rows if targets else ():
+        weights[r.bucket] = round((math.log((r.target + 1) / (targets + BUCKETS)) - math.log((r.raw + 1) / (raws + BUCKETS))) * SCALE)
     return weights
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Each row of ``docs`` whole, as ``row``, with its statistics and verdict."""
-    weights = F.array(*map(F.lit, ngram_weights(docs, trusted, id_col, text_col)))
+    weights = F.from_json(F.lit(json.dumps(ngram_weights(docs, trusted, id_col, text_col))), "array<int>")
     text = text_of(docs, text_col)
     with_words = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), words_of(text).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
