@@ -1,13 +1,13 @@
 """Linking similar sets, given their band keys, without forming all pairs of a group.
 
-Every bucket (a band key that several sets share) is compared with one leader.  Jaccard
+Every bucket (a band key that several sets share) is compared with one leader at first.  Jaccard
 distance is a metric, which settles most of what is left: with the link radius
 ``d = 1 - threshold``, a member farther than ``2 d`` from the leader has no link with a
 member that is linked to the leader, and a member at a distance in between can only have
 links with those at least ``distance - d`` away from it.  Only these are compared.  The
-members without a link to their leader go on to the next round with another leader, or,
-where few are left in a bucket, are compared with each other unless they are connected
-already.  So no link is lost within a bucket, and a large group of copies costs a
+members without a link to their leader go on to the next round with MORE times as many
+leaders, so that the rounds stay few, or, where few are left in a bucket, are compared
+with each other unless they are connected already.  So no link is lost within a bucket, and a large group of copies costs a
 comparison or two for each of its members.
 """
 
@@ -16,14 +16,18 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.llm.common import cut
 from riverbed.llm.components import components
 
 #: So many unlinked members of a bucket are compared with each other at once.
-FEW = 24
+FEW = 64
+#: The growth of the number of leaders from round to round.
+MORE = 32
+#: So many of a leader's own are tried before all others.
+NEAREST = (8,)
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -71,21 +75,35 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         named = groups.select(F.col("node").alias(col), F.col("component").alias(name))
         return df.join(named, col, "left").withColumn(name, F.coalesce(name, col))
 
+    n_leaders = 1
     while True:
-        leaders = members.groupBy("bucket").agg(F.min("id").alias("b"))
-        star = members.join(leaders, "bucket").filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b")
-        near = compared(star.distinct(), max(0.0, 2 * t - 1))
+        if n_leaders == 1:
+            leaders = members.groupBy("bucket").agg(F.min("id").alias("b"))
+        else:
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+            leaders = members.withColumn("place", place).filter(F.col("place") <= n_leaders).select("bucket", F.col("id").alias("b"))
+        star = members.join(leaders, "bucket").filter(F.col("id") > F.col("b"))
+        near = compared(star.select(F.col("id").alias("a"), "b").distinct(), max(0.0, 2 * t - 1))
         add(near)
-        # between the ones and the other side of a leader's neighbourhood
-        fringe = group_of(group_of(near.filter(~linked & (share >= 2 * t - 1)), "a", "ga"), "b", "gb").filter("ga <> gb").select("b", F.col("a").alias("far"), share.alias("sf"))
-        shell = near.filter(linked).select("b", F.col("a").alias("near"), share.alias("sn"))
-        across = fringe.join(shell, "b").filter(F.col("sn") <= F.col("sf") + (1 - t) + 1e-9).select(F.greatest("far", "near").alias("a"), F.least("far", "near").alias("b")).distinct()
-        across = cut(across, "across")
-        if not across.isEmpty():
-            add(compared(across, t))
+        # what lies between, with the leader's own: the nearest of these first, as most
+        # others then are connected already
+        fringe = cut(near.filter(~linked & (share >= 2 * t - 1)).select("a", "b", share.alias("sf")), "fringe")
+        own = near.filter(linked).select("b", F.col("a").alias("own"), share.alias("sn"))
+        own = own.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sn"), "own")))
+        for low, high in zip((0, *NEAREST), (*NEAREST, None), strict=True):
+            apart = group_of(group_of(fringe, "a", "ga"), "b", "gb").filter("ga <> gb").select("b", F.col("a").alias("far"), "sf")
+            if apart.isEmpty():
+                break
+            some = own.filter((F.col("place") > low) & (F.lit(True) if high is None else F.col("place") <= high))
+            across = apart.join(some, "b").filter(F.col("sn") <= F.col("sf") + (1 - t) + 1e-9)
+            add(compared(across.select(F.greatest("far", "own").alias("a"), F.least("far", "own").alias("b")).distinct(), t))
         # what has no link to its leader goes on, where a bucket still has several components
         solved = near.filter(linked).select(F.col("a").alias("id"), "b")
-        left = members.join(leaders, "bucket").filter(F.col("id") != F.col("b")).join(solved, ["id", "b"], "left_anti").select("bucket", "id")
+        if n_leaders == 1:
+            left = star.join(solved, ["id", "b"], "left_anti").select("bucket", "id")
+        else:
+            met = star.join(solved.withColumn("hit", F.lit(1)), ["id", "b"], "left").groupBy("bucket", "id").agg(F.max("hit").alias("hit"))
+            left = met.filter("hit is null").join(leaders.withColumnRenamed("b", "id"), ["bucket", "id"], "left_anti").select("bucket", "id")
         left = group_of(left, "id", "g")
         open_ = left.groupBy("bucket").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("c")).filter("g1 <> g2").select("bucket", "c")
         left = cut(left.join(open_, "bucket").select("bucket", "id", "g", "c"), "left")
@@ -93,6 +111,6 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         pairs = few.alias("x").join(few.alias("y"), "bucket").filter("x.id > y.id and x.g <> y.g").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         if not left.isEmpty():
             add(compared(pairs, t))
-        members = left.filter(F.col("c") > FEW).select("bucket", "id")
+        members, n_leaders = left.filter(F.col("c") > FEW).select("bucket", "id"), n_leaders * MORE
         if members.isEmpty():
             return functools.reduce(DataFrame.unionByName, found), groups

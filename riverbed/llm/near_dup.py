@@ -30,7 +30,7 @@ SKETCH_BITS, SLACK = 512, 0.16
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Distinct words whose hashes a task remembers; beyond it the memory is emptied.
-MEMORY = 1_000_000
+MEMORY = 250_000
 _RNG = np.random.Generator(np.random.PCG64(20240601))
 _ODD = _RNG.integers(0, 2**63, 4096, dtype=np.uint64) * 2 + 1
 
@@ -50,7 +50,7 @@ class ShingleSets:
 
     def of(self, lists: pa.ListArray) -> Iterator[np.ndarray]:
         codes = lists.flatten().dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
+        distinct = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memory) > MEMORY:
             self.memory = {}
         for w in distinct:
@@ -166,5 +166,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     # a set that stands alone and has one row needs no join; its name is the row's own id
     several = named.join(usable.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), ["k1", "k2"]).filter("lo <> hi or component <> lo").select("k1", "k2", "component")
     out = every.select("id", "n", "k1", "k2").join(several, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

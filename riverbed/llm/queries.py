@@ -90,6 +90,49 @@ FROM s
 """
 
 
+#: The bucket of an n-gram is crc32 of its UTF-8 bytes modulo 16384; the table is made by
+#: the polynomial's rule.
+OP8_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) t(i)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM d
+), hexed AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM g)), b AS (
+  SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[1 + xor(c % 256, x)])), 4294967295) % 16384 AS bucket FROM hexed, crc
+), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), gb AS (
+  SELECT g.r, b.bucket, CASE WHEN t.doc_id IS NULL THEN 0 ELSE 1 END AS hit FROM g JOIN b USING (gram) LEFT JOIN t ON t.doc_id = g.doc_id
+), c AS (SELECT bucket, count(*) AS raw, sum(hit) AS target FROM gb GROUP BY 1), tot AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM c), wt AS (
+  SELECT bucket, CASE WHEN targets > 0 THEN CAST(round((ln((target + 1.0) / (targets + 16384.0)) - ln((raw + 1.0) / (raws + 16384.0))) * 10000) AS BIGINT) ELSE 0 END AS weight FROM c, tot
+), sc AS (SELECT r, sum(weight) AS total FROM gb JOIN wt USING (bucket) GROUP BY 1), win AS (
+  SELECT r, p, array_to_string(w[p:p + 4], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM d)
+), rep AS (SELECT r, p FROM (SELECT *, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1), cov AS (
+  SELECT r, count(DISTINCT p + k) AS n FROM rep, range(5) q(k) GROUP BY 1
+), ln AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, coalesce(total, 0) AS total
+  FROM d LEFT JOIN ln USING (r) LEFT JOIN cov USING (r) LEFT JOIN sc USING (r)
+), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND total >= -7000 * greatest(2 * n_words - 1, 0) AS kept FROM f
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""
+
 QUERIES = (op1_substring_dedup, op2_chunk_dedup, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_packing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_quality_classifier)
 
 
@@ -98,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL}
