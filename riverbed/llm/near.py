@@ -67,6 +67,8 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
 
     def add(pairs: DataFrame) -> None:
         nonlocal groups
+        if pairs.filter(linked).isEmpty():
+            return
         found.append(pairs.filter(linked))
         edges = found[-1].select(F.col("a").alias("u"), F.col("b").alias("v"))
         groups = components(edges.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
@@ -109,8 +111,9 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         left = cut(left.join(open_, "bucket").select("bucket", "id", "g", "c"), "left")
         few = left.filter(F.col("c") <= FEW)
         pairs = few.alias("x").join(few.alias("y"), "bucket").filter("x.id > y.id and x.g <> y.g").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        if not left.isEmpty():
+        if not few.isEmpty():
             add(compared(pairs, t))
         members, n_leaders = left.filter(F.col("c") > FEW).select("bucket", "id"), n_leaders * MORE
         if members.isEmpty():
-            return functools.reduce(DataFrame.unionByName, found), groups
+            none = near.filter(linked).limit(0)
+            return functools.reduce(DataFrame.unionByName, found, none), groups
