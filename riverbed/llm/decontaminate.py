@@ -43,7 +43,7 @@ SLICE = 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(11))
 _STEPS = max(SIZES) * 5 // 4
 _BITS = _RNG.integers(0, 2, (_STEPS, 256), dtype=np.uint8)
-_PLACES = {s: [np.sort(_RNG.choice(np.arange(PIECE, s * 5 // 4), PLACES, replace=False)) for _ in range(REPEATS)] for s in SIZES}
+_PLACES = {s: [np.sort(_RNG.choice(np.arange(3 * PIECE, s * 5 // 4), PLACES, replace=False)) for _ in range(REPEATS)] for s in SIZES}
 _ODD = _RNG.integers(0, 2**62, PLACES + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
