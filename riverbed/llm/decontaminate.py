@@ -32,7 +32,7 @@ RUN, NEXT, EVERY = 5, 8, 32
 #: Windows of an item begin at each of its first bytes, so that an edited start does no harm.
 OFFSETS = 64
 #: Window sizes in bytes; a key samples PLACES walk places, REPEATS keys for each size and walk.
-SIZES, PLACES, REPEATS = (32, 64), 6, 16
+SIZES, PLACES, REPEATS = (32, 48), 10, 24
 #: Bits of the tables that every task gets, whatever the number of items.
 PIECE_BITS, KEY_BITS = 22, 26
 #: Bytes around a window that are kept to confirm a match.
