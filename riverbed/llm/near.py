@@ -37,26 +37,32 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return keys.join(shared, "bucket").select("bucket", "id")
 
 
-def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, plausible: Callable[[Column, Column, float], Column]) -> tuple[DataFrame, DataFrame]:
+def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, plausible: Callable[[Column, Column, float], Column] | None) -> tuple[DataFrame, DataFrame]:
     """Links between sets, and their components.
 
     ``members``: ``(bucket, id)``; ``nodes``: ``(id, n, sketch)`` with the set's size and
     sketch; ``sets_of(ids)``: ``(id, items)`` with the full sets of those ids;
     ``plausible(sketch, sketch, similarity)``: whether two sketches can have come from
-    sets of at least that similarity.  A link is ``100 * intersection >= percent *
+    sets of at least that similarity, or None where full sets are as small as sketches.  A link is ``100 * intersection >= percent *
     union``.  Returns ``(a, b, inter, both)`` and ``(node, component)``.
     """
     t = percent / 100
     members = cut(members, "members", free=True)
-    small = cut(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "nodes")
-    sets = cut(sets_of(small.select("id")), "sets", free=True)
+    ids = members.select("id").distinct()
+    if plausible:
+        small = cut(nodes.join(ids, "id", "left_semi").select("id", "n", "sketch"), "nodes")
+        ids = small.select("id")
+    sets = cut(sets_of(ids), "sets", free=True)
 
     def compared(pairs: DataFrame, at_least: float) -> DataFrame:
         """Exact overlaps of the pairs ``(a, b)`` that can be so similar."""
-        one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        two = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        likely = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") >= at_least * F.greatest("na", "nb")).filter(plausible(F.col("sa"), F.col("sb"), at_least)).select("a", "b", "na", "nb")
+        likely = pairs
+        if plausible:
+            one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+            two = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+            likely = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") >= at_least * F.greatest("na", "nb")).filter(plausible(F.col("sa"), F.col("sb"), at_least)).select("a", "b")
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+        full = full.withColumns({"na": F.size("ia"), "nb": F.size("ib")}).filter(F.least("na", "nb") >= at_least * F.greatest("na", "nb"))
         inter = F.size(F.array_intersect("ia", "ib"))
         return cut(full.select("a", "b", inter.alias("inter"), (F.col("na") + F.col("nb") - inter).alias("both")), "pairs", free=True)
 
