@@ -177,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, ranks_file: str | None
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers, reverse=True):
         raise ValueError("tiers must be powers of two, longest first")
-    chunks = F.split(text_of(docs, text_col), r"(?<=[^ \n])(?=[ \n])|(?<=[A-Za-z])(?=[.,])")
+    chunks = F.split(text_of(docs, text_col), r"(?=[ \n])(?<=[^\s\x85\x1C-\x1F\p{Z}])|(?<=[A-Za-z])(?=[.,])")
     cut = docs.select(docs[id_col].alias("id"), chunks.alias("chunks"))
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])

@@ -14,6 +14,7 @@ from riverbed.llm.warc import read_archives, record, records, write_archives, _m
 ODD = [
     None, "", " ", "\n\n", "The cat,  sat. On\tthe MAT.\r\n", "x" * 5000, "é" * 300 + " É. Ünder, straße.", "İstanbul. ΣΑΣ. ΟΔΟΣ, ὀδός", "<|endoftext|> a<|startoftext|>. b <|endoftext|>x",
     "don't it's. 'tis, 42, 3.14. a.b,c. ...", "a\u00a0b \u2003 c\u3000d", "e\u0301. n\u0303, a\u0301b.", "漢字。かな, カナ. 한국어.", "emoji 😀. 👍🏽, ok", "a\x0bb\x0cc\x1cd\x85e", "##  code();\n\n\n   if x:\n\ty  ", "trail   ", "   lead",
+    "a\t  b \t\t c\r\n\r\n d\t\n\n\te", "x\u00a0  y\u3000\n\nz\x85 \n w",
 ]
 
 
