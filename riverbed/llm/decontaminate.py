@@ -3,19 +3,21 @@
 The CGK random walk copies a text symbol by symbol, staying or stepping on by a random
 bit for each place and symbol; texts at a small edit distance fall into step again after
 each edit, so their walks differ in few places.  Repeated samples of walk places are the
-LSH keys under which windows of documents meet the items; a meeting is confirmed by the
-exact edit distance between the whole item and its best matching stretch of the document.
-
-Windows begin where a run of eight-byte pieces of items begins: a match whose first bytes
-hold twelve intact ones has such a start.  The tables of pieces and of item keys have a
-fixed size, whatever the number of items; a key that they let through is joined with the
-items' own.
+LSH keys under which windows of documents meet the items.  Windows of an item begin at
+each of its bytes, so it does not matter which part of it is edited or left out.  Items
+too short for that meet a document where one of their parts stands in it unchanged, of
+one part more than there may be edits: no match of theirs is missed.
+
+Windows of documents begin where a run of eight-byte pieces of items begins.  A meeting
+stands if the stretch holds so many of the item's q-grams as the edits must leave, and is
+then confirmed by the exact edit distance.  Items go to the tasks in blocks of bounded
+size, each with one pass over the documents; nothing of a document is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,19 @@ from riverbed.llm.common import cut, text_of
 MAX_EDITS = 0.1
 PIECE = 8
 #: Pieces in a row that begin a window, and how many places after a run's begin are taken too.
-RUN, NEXT, EVERY = 5, 8, 32
-#: Windows of an item begin at each of its first bytes, so that an edited start does no harm.
-OFFSETS = 64
+RUN, NEXT, EVERY = 3, 1, 32
 #: Window sizes in bytes; a key samples PLACES walk places, REPEATS keys for each size and walk.
 SIZES, PLACES, REPEATS = (32, 48), 10, 24
-#: Bits of the tables that every task gets, whatever the number of items.
-PIECE_BITS, KEY_BITS = 22, 26
-#: Bytes around a window that are kept to confirm a match.
-ROOM = 64
+#: Items of fewer bytes are met by their unchanged parts.
+SHORT = 80
+#: Bits of a task's tables of pieces and keys.
+PIECE_BITS, KEY_BITS = 22, 24
+#: Bytes of items in a block.
+BLOCK = 1 << 17
+#: Meetings whose items would begin in so many bytes are confirmed together.
+STEP = 32
+#: Size and hash bits of the q-grams that a stretch is tried by.
+GRAM, GRAM_BITS = 7, 16
 #: Bytes of text that are searched at a time.
 SLICE = 1 << 21
 
@@ -84,10 +90,6 @@ def keys(walk: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield _mix(key + np.array([size * 1000 + r], np.uint64) * _ODD[PLACES]).view(np.int64)
 
 
-def _slot(key: np.ndarray, probe: int) -> np.ndarray:
-    return (_mix(key.view(np.uint64) ^ _ODD[PLACES + probe]) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-
-
 def window_starts(hit: np.ndarray) -> np.ndarray:
     """Places in runs of pieces: the first ones of each run and every EVERY-th after."""
     if len(hit) < RUN:
@@ -122,60 +124,151 @@ def best_distance(item: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
-class _Bits:
-    """A set of slots as 64-bit words."""
-
-    def __init__(self, slots: DataFrame, bits: int):
-        # at most 2 ** (bits - 6) words, whatever the number of items
-        word = slots.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        self.words = np.zeros(1 << (bits - 6), np.int64)
-        self.words[word.column("w").to_numpy()] = word.column("b").to_numpy()
-
-    def has(self, slot: np.ndarray) -> np.ndarray:
-        return (self.words[slot >> 6] >> (slot & 63) & 1).astype(bool)
-
-
-@dataclass
-class _Tables:
-    """What every task needs of the items; its size does not depend on their number."""
-
-    piece: _Bits
-    key: _Bits
-
-
-def _item_rows(items: DataFrame) -> DataFrame:
-    """``(key, item_id)`` of every window of every item."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                found = []
-                for size in SIZES:
-                    starts = np.arange(min(OFFSETS, len(data) - size + 1) if len(data) >= size else 0)
-                    if not len(starts) and size == SIZES[0] and len(data):
-                        starts = np.arange(1)  # shorter items have one window, which ends read as 0
-                    if len(starts):
-                        found += [*keys(walks(data, starts), size)]
-                if found:
-                    key = np.unique(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([item] * len(key), pa.int64())], names=["key", "item"])
-
-    return items.mapInArrow(run, "key long, item long")
-
+def packed(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes (8 at most) from each place, as one number."""
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(data) - size + 1, np.uint64)
+    for k in range(size):
+        out = out << np.uint64(8) | data[k : len(data) - size + 1 + k]
+    return out
 
-def _tables(items: DataFrame, item_keys: DataFrame) -> _Tables:
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(pieces(np.frombuffer(text.encode(), np.uint8))))], names=["slot"])
 
-    def key_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_slot(key, 1), _slot(key, 2)]))], names=["slot"])
+def grams(data: np.ndarray) -> np.ndarray:
+    return (_mix(packed(data, GRAM)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
+
+class _Postings:
+    """Keys with the items and the places in them at which they stand."""
+
+    def __init__(self, key: list[np.ndarray], item: list[np.ndarray], off: list[np.ndarray]):
+        key, item, off = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((key, np.uint64), (item, np.int32), (off, np.int32)))
+        order = np.argsort(key, kind="stable")
+        self.key, self.first = np.unique(key[order], return_index=True)
+        self.first = np.append(self.first, len(key))
+        self.item, self.off = item[order], off[order]
+        self.hit = np.zeros(1 << KEY_BITS, bool)
+        self.hit[self._slot(self.key)] = True
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (_mix(key) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+    def meet(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, item and place in the item for all that has an equal key."""
+        on = np.flatnonzero(self.hit[self._slot(key)]) if len(self.key) else np.zeros(0, np.int64)
+        j = np.minimum(np.searchsorted(self.key, key[on]), len(self.key) - 1)
+        same = self.key[j] == key[on] if len(on) else np.zeros(0, bool)
+        on, j = on[same], j[same]
+        n = self.first[j + 1] - self.first[j]
+        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[j], n)
+        return np.repeat(at[on], n), self.item[p], self.off[p]
+
+
+class Block:
+    """A block of items, with all that a task needs to find them."""
+
+    def __init__(self, rows: tuple[tuple[int, str], ...], max_edits: float):
+        self.rows = rows
+        self.most = [int(np.floor(len(t) * max_edits)) for _, t in rows]
+        self.data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+        # an edit changes at most the q-grams that overlap one character
+        self.wide = [max(len(c.encode()) for c in set(t)) for _, t in rows]
+        self.grams = [grams(d) for d in self.data]
+        self.need = np.array([len(g) - k * (GRAM - 1 + w) for g, k, w in zip(self.grams, self.most, self.wide, strict=True)])
+        self.piece = np.zeros(1 << PIECE_BITS, bool)
+        self.exact = [i for i, k in enumerate(self.most) if not k]
+        self.stamp, self.round = np.zeros((1 << GRAM_BITS) + 1, np.int64), 0
+        # the items' q-grams by size, ends filled with one that no text has
+        self.table = np.full((len(rows), max(map(len, self.grams))), 1 << GRAM_BITS)
+        for i, g in enumerate(self.grams):
+            self.table[i, : len(g)] = g
+        long, parts = ([], [], []), {}
+        for i, d in enumerate(self.data):
+            if not self.most[i]:
+                continue
+            if len(d) < SHORT:
+                text, n = rows[i][1], self.most[i] + 1
+                cuts = [k * len(text) // n for k in range(n + 1)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    part = np.frombuffer(text[lo:hi].encode()[:8], np.uint8)
+                    p = parts.setdefault(len(part), ([], [], []))
+                    for x, v in zip(p, (packed(part, len(part)), np.array([i], np.int32), np.array([len(text[:lo].encode())], np.int32)), strict=True):
+                        x.append(v)
+                continue
+            self.piece[pieces(d)] = True
+            for size in SIZES:
+                starts = np.arange(len(d) - size + 1)
+                for k in keys(walks(d, starts), size):
+                    long[0].append(k.view(np.uint64))
+                    long[1].append(np.full(len(k), i, np.int32))
+                    long[2].append(starts.astype(np.int32))
+        self.walks, self.parts = _Postings(*long), {size: _Postings(*p) for size, p in parts.items()}
+        self.longest = max(map(len, self.data))
+
+    def _meetings(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item and the STEP bytes in which the item would begin, each once."""
+        found, wide = [np.zeros(0, np.int64)], len(data) + self.longest
+
+        def add(at: np.ndarray, item: np.ndarray, off: np.ndarray) -> np.ndarray:
+            doc = np.searchsorted(begins, at, side="right") - 1
+            step = (at - begins[doc] - off + self.longest) // STEP
+            return np.unique((doc * len(self.rows) + item) * wide + step)
+
+        for size, p in self.parts.items():
+            key = packed(data, size)
+            for lo in range(0, len(key), 1 << 19):
+                found.append(add(*p.meet(np.arange(lo, min(lo + (1 << 19), len(key))), key[lo : lo + (1 << 19)])))
+        starts = window_starts(self.piece[pieces(data)]) if len(self.walks.key) else np.zeros(0, np.int64)
+        for part in np.array_split(starts, len(starts) // 10_000 + 1) if len(starts) else ():
+            walk = walks(data, part)
+            for size in SIZES:
+                for k in keys(walk, size):
+                    found.append(add(*self.walks.meet(part, k.view(np.uint64))))
+        code = np.unique(np.concatenate(found))
+        return code // wide // len(self.rows), code // wide % len(self.rows), code % wide
 
-    return _Tables(_Bits(items.mapInArrow(slots, "slot long"), PIECE_BITS), _Bits(item_keys.select("key").mapInArrow(key_slots, "slot long"), KEY_BITS))
+    def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """``(number of the text, item, edit distance)`` of all items found."""
+        gap = bytes(_STEPS)
+        data = np.frombuffer(gap.join(texts) + gap, np.uint8)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        begins = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+        for i in self.exact:
+            word = self.data[i].tobytes()
+            yield from ((d, i, 0) for d, t in enumerate(texts) if word in t)
+        docs, items, steps = self._meetings(data, begins)
+        held, sure = grams(data), set()
+        # first by the whole text, for all of its meetings at once
+        left = np.zeros(len(docs), bool)
+        ends = np.flatnonzero(np.diff(docs, prepend=-1, append=-1))
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            d = docs[a]
+            self.round += 1
+            self.stamp[held[begins[d] : begins[d] + max(0, sizes[d] - GRAM + 1)]] = self.round
+            for c in range(a, b, 4096):
+                i, back = np.unique(items[c : min(b, c + 4096)], return_inverse=True)
+                left[c : min(b, c + 4096)] = ((self.stamp[self.table[i]] == self.round).sum(axis=1) >= self.need[i])[back]
+        for d, i, s in zip(docs[left].tolist(), items[left].tolist(), steps[left].tolist(), strict=True):
+            if (d, i) in sure:
+                continue
+            room = self.most[i] * 4
+            lo = max(0, s * STEP - self.longest - room)
+            hi = min(len(texts[d]), s * STEP - self.longest + STEP + len(self.data[i]) + room)
+            self.round += 1
+            self.stamp[held[begins[d] + lo : begins[d] + max(lo, hi - GRAM + 1)]] = self.round
+            if np.count_nonzero(self.stamp[self.grams[i]] == self.round) < self.need[i]:
+                continue
+            item, most = self.rows[i][1], self.most[i]
+            if best_distance(item, texts[d][lo:hi].decode(errors="ignore"), most) <= most:
+                sure.add((d, i))
+                yield d, i, 0 if self.data[i].tobytes() in texts[d] else best_distance(item, texts[d].decode(), most)
+
+
+@functools.lru_cache(maxsize=1)
+def block_of(rows: tuple[tuple[int, str], ...], max_edits: float) -> Block:
+    """A worker builds a block once for all of its tasks."""
+    return Block(rows, max_edits)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -184,67 +277,46 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     Returns a row ``id_col, item_col, edit_distance, item_chars`` for each pair found:
     the least edit distance between the item and a stretch of the document, both in lower
     case with white space collapsed, is at most ``max_edits`` of the item's length.  Null
-    texts hold nothing; null items and items under PIECE + RUN - 1 bytes (after collapsing)
-    are in nothing; rows with a null id are passed over; repeated rows give one row; further columns are ignored;
-    empty tables give no rows.
+    texts hold nothing; null items and items without a character but white space are in
+    nothing; rows with a null id are passed over; repeated rows give one row; further
+    columns are ignored; empty tables give no rows.
     """
     bench = items.select(items[item_col].cast("long").alias("item"), normal(text_of(items, "text")).alias("text")).filter("item is not null and text <> ''")
-    item_keys = cut(_item_rows(bench), "item-keys")
-    tables = docs.sparkSession.sparkContext.broadcast(_tables(bench, item_keys))
-    longest = int(bench.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()[0])
-    reach = int(longest * (1 + max_edits)) + ROOM
-    flat = docs.select(docs[id_col].cast("long").alias("doc"), normal(text_of(docs, text_col)).alias("text")).filter("doc is not null")
-
-    def search(t: _Tables, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        """Blocks of a slice of documents with the keys of their windows that the tables let through."""
-        gap = bytes(_STEPS)
-        data = np.frombuffer(gap.join(texts) + gap, np.uint8)
-        sizes = np.array([len(x) for x in texts], np.int64)
-        begins = np.cumsum(sizes + len(gap)) - sizes - len(gap)
-        starts = window_starts(t.piece.has(pieces(data)))
-        at, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in np.array_split(starts, len(starts) // 50_000 + 1):
-            walk = walks(data, part)
-            for size in SIZES:
-                for k in keys(walk, size):
-                    on = np.flatnonzero(t.key.has(_slot(k, 1)))
-                    on = on[t.key.has(_slot(k[on], 2))]
-                    at.append(part[on])
-                    key.append(k[on])
-        at, key = np.concatenate(at), np.concatenate(key)
-        doc = np.searchsorted(begins, at, side="right") - 1
-        # windows that begin in one block of a document share the stretch that is kept for them
-        block = (at - begins[doc]) // ROOM
-        rows: dict[tuple[int, int], set] = {}
-        for d, o, k in zip(doc.tolist(), block.tolist(), key.tolist(), strict=True):
-            rows.setdefault((d, o), set()).add(k)
-        near = [texts[d][max(0, o * ROOM - 2 * ROOM) : o * ROOM + ROOM + reach].decode(errors="ignore") for d, o in rows]
-        return pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in rows], pa.int64()), pa.array([o for _, o in rows], pa.int64()), pa.array(near, pa.string()), pa.array([sorted(x) for x in rows.values()], pa.list_(pa.int64()))], names=["doc", "block", "near", "keys"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
-        for b in batches:
-            ids, texts, size = [], [], 0
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids.append(doc)
-                texts.append(text.encode())
-                size += len(texts[-1]) + _STEPS
-                if size >= SLICE:
-                    yield search(t, ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield search(t, ids, texts)
-
-    found = cut(flat.mapInArrow(windows, "doc long, block long, near string, keys array<long>"), "windows")
-    met = found.select("doc", "block", F.explode("keys").alias("key")).join(item_keys, "key").select("doc", "block", "item").distinct()
-    meet = met.join(found.select("doc", "block", "near"), ["doc", "block"]).select("doc", "item", "near").distinct()
-    both = meet.join(bench.select("item", F.col("text").alias("wanted")), "item")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs_, items_, near, wanted = (b.column(k).to_pylist() for k in ("doc", "item", "near", "wanted"))
-            d = [best_distance(w, n, int(max_edits * len(w))) for w, n in zip(wanted, near, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(items_, pa.int64()), pa.array(d, pa.int64()), pa.array([len(w) for w in wanted], pa.int64())], names=["doc", "item", "d", "n"])
-
-    sure = both.select("doc", "item", "near", "wanted").mapInArrow(confirm, "doc long, item long, d long, n long").filter(F.col("d") <= F.floor(F.col("n") * max_edits))
-    return sure.groupBy("doc", "item").agg(F.min("d").alias("edit_distance"), F.max("n").alias("item_chars")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "edit_distance", "item_chars")
+    size = int(bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    blocks = -(-size // BLOCK)
+    flat = docs.select(docs[id_col].cast("long").alias("doc"), normal(text_of(docs, text_col)).alias("text")).filter("doc is not null and text <> ''")
+    if blocks > 1:
+        bench, flat = cut(bench, "items"), cut(flat, "texts")
+    numbered = bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1))))
+
+    def search(rows: tuple) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = block_of(shared.value, max_edits)
+
+            def found(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+                hits = [(ids[d], rows_[i][0], e, len(rows_[i][1])) for d, i, e in block.find(texts)]
+                return pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in range(4)], names=["doc", "item", "d", "n"])
+
+            rows_ = block.rows
+            for b in batches:
+                ids, texts, size = [], [], 0
+                for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    ids.append(doc)
+                    texts.append(text.encode())
+                    size += len(texts[-1]) + _STEPS
+                    if size >= SLICE:
+                        yield found(ids, texts)
+                        ids, texts, size = [], [], 0
+                if ids:
+                    yield found(ids, texts)
+
+        return flat.mapInArrow(run, "doc long, item long, d long, n long")
+
+    sure = docs.sparkSession.createDataFrame([], "doc long, item long, d long, n long")
+    for k in range(blocks):
+        rows = tuple(sorted((r.item, r.text) for r in numbered.filter(F.col("block") == k).select("item", "text").distinct().collect()))  # about BLOCK bytes
+        if rows:
+            sure = sure.unionByName(search(rows))
+    return sure.groupBy("doc", "item").agg(F.min("d").alias("edit_distance"), F.min_by("n", "d").alias("item_chars")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "edit_distance", "item_chars")
