@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (a similarity of 0.8, five words a shingle) stays."""
+    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
