@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line's set holds its character shingles: the windows of up to eight characters that
-begin at the line's start or after anything but a Latin letter, so once for each word,
-and at every character of scripts and codes that have no such words.  The hashes of one
+A line's set holds its character shingles, the windows of eight characters that begin at
+every character; signatures and verification both read the whole set.  The hashes of one
 permutation lie on a circle; the samples of a band are those that follow its fixed point.
 Lines that share a band are confirmed by the exact Jaccard similarity of their sets and
 linked into components; one line of each component stays.
@@ -23,7 +22,7 @@ MIN_CHARS = 20
 #: Links need a Jaccard similarity of so many hundredths.
 PERCENT = 80
 
-_STARTS = rf"(?s)(?<![A-Za-zÀ-ɏ])(?=(.{{1,{SHINGLE}}}))"
+_STARTS = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
 def shingles(line: Column) -> Column:

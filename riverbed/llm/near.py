@@ -46,7 +46,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     sets of at least that similarity, or None where full sets are as small as sketches.  A link is ``100 * intersection >= percent *
     union``.  Returns ``(a, b, inter, both)`` and ``(node, component)``.
     """
-    t = percent / 100
+    t, twice = percent / 100, max(0, 2 * percent - 100)
     members = cut(members, "members", free=True)
     ids = members.select("id").distinct()
     if plausible:
@@ -54,15 +54,15 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         ids = small.select("id")
     sets = cut(sets_of(ids), "sets", free=True)
 
-    def compared(pairs: DataFrame, at_least: float) -> DataFrame:
-        """Exact overlaps of the pairs ``(a, b)`` that can be so similar."""
+    def compared(pairs: DataFrame, at_least: int) -> DataFrame:
+        """Exact overlaps of the pairs ``(a, b)`` that can be so similar (in hundredths)."""
         likely = pairs
         if plausible:
             one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
             two = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-            likely = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") >= at_least * F.greatest("na", "nb")).filter(plausible(F.col("sa"), F.col("sb"), at_least)).select("a", "b")
+            likely = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= at_least * F.greatest("na", "nb")).filter(plausible(F.col("sa"), F.col("sb"), at_least / 100)).select("a", "b")
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-        full = full.withColumns({"na": F.size("ia"), "nb": F.size("ib")}).filter(F.least("na", "nb") >= at_least * F.greatest("na", "nb"))
+        full = full.withColumns({"na": F.size("ia"), "nb": F.size("ib")}).filter(100 * F.least("na", "nb") >= at_least * F.greatest("na", "nb"))
         inter = F.size(F.array_intersect("ia", "ib"))
         return cut(full.select("a", "b", inter.alias("inter"), (F.col("na") + F.col("nb") - inter).alias("both")), "pairs", free=True)
 
@@ -91,11 +91,11 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
             leaders = members.withColumn("place", place).filter(F.col("place") <= n_leaders).select("bucket", F.col("id").alias("b"))
         star = members.join(leaders, "bucket").filter(F.col("id") > F.col("b"))
-        near = compared(star.select(F.col("id").alias("a"), "b").distinct(), max(0.0, 2 * t - 1))
+        near = compared(star.select(F.col("id").alias("a"), "b").distinct(), twice)
         add(near)
         # what lies between, with the leader's own: the nearest of these first, as most
         # others then are connected already
-        fringe = cut(near.filter(~linked & (share >= 2 * t - 1)).select("a", "b", share.alias("sf")), "fringe")
+        fringe = cut(near.filter(~linked & F.expr(f"100 * inter >= {twice} * both")).select("a", "b", share.alias("sf")), "fringe")
         own = near.filter(linked).select("b", F.col("a").alias("own"), share.alias("sn"))
         own = own.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sn"), "own")))
         for low, high in zip((0, *NEAREST), (*NEAREST, None), strict=True):
@@ -104,7 +104,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
                 break
             some = own.filter((F.col("place") > low) & (F.lit(True) if high is None else F.col("place") <= high))
             across = apart.join(some, "b").filter(F.col("sn") <= F.col("sf") + (1 - t) + 1e-9)
-            add(compared(across.select(F.greatest("far", "own").alias("a"), F.least("far", "own").alias("b")).distinct(), t))
+            add(compared(across.select(F.greatest("far", "own").alias("a"), F.least("far", "own").alias("b")).distinct(), percent))
         # what has no link to its leader goes on, where a bucket still has several components
         solved = near.filter(linked).select(F.col("a").alias("id"), "b")
         if n_leaders == 1:
@@ -118,7 +118,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         few = left.filter(F.col("c") <= FEW)
         pairs = few.alias("x").join(few.alias("y"), "bucket").filter("x.id > y.id and x.g <> y.g").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         if not few.isEmpty():
-            add(compared(pairs, t))
+            add(compared(pairs, percent))
         members, n_leaders = left.filter(F.col("c") > FEW).select("bucket", "id"), n_leaders * MORE
         if members.isEmpty():
             none = near.filter(linked).limit(0)
