@@ -85,7 +85,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = texts.filter("id is not null").mapInArrow(digests, "d1 long, d2 long, id long")
     shared = held.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("d1", "d2", "first")
     hits = held.join(shared, ["d1", "d2"]).groupBy("id").agg(F.collect_set(F.struct("d1", "d2", (F.col("first") == F.col("id")).alias("first"))).alias("hits"))
-    hits = cut(hits, "chunks", free=True)
+    hits = cut(hits, "chunks")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_chunks", "n_shared_chunks", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,30 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+#: Spark removes the shuffle files of a statement at its end where this is set.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends here.
 
-    With ``free``, a collection lets Spark delete the shuffle files behind it, which are
-    of no more use.
+    The shuffle files behind it are of no more use and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riverbed-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(df: DataFrame) -> None:
-    """Remove the files of a table written by ``cut`` once nothing reads it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/riverbed-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def delete(*tables: DataFrame) -> None:
+    """Remove the files of tables written by ``cut`` once nothing reads them again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/riverbed-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:

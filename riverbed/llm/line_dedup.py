@@ -1,10 +1,13 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line's set holds its character shingles, the windows of eight characters that begin at
-every character; signatures and verification both read the whole set.  The hashes of one
+A line's set holds its character shingles: the windows of eight characters that begin at
+every character.  Signatures are made of the windows that begin behind certain characters
+(about three in ten of a Latin text, all of most other scripts; lines in which these are
+rare use every window as well), verification reads the whole sets.  The hashes of one
 permutation lie on a circle; the samples of a band are those that follow its fixed point.
 Lines that share a band are confirmed by the exact Jaccard similarity of their sets and
-linked into components; one line of each component stays.
+linked into components; one line of each component stays.  Equal lines are one line from
+the beginning, whatever their length.
 """
 
 from __future__ import annotations
@@ -12,83 +15,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import cut, let, text_of
+from riverbed.llm.common import cut, delete, let, text_of
 from riverbed.llm.near import near_links, shared_buckets
 
 SHINGLE = 8
-BANDS, ROWS = 10, 3
-#: Lines with fewer characters other than white space are left alone.
-MIN_CHARS = 20
+BANDS, ROWS = 12, 3
 #: Links need a Jaccard similarity of so many hundredths.
 PERCENT = 80
+#: A line with fewer than one signature window in so many uses all of its windows as well.
+SPARSE = 8
 
-_STARTS = rf"(?s)(?=(.{{{SHINGLE}}}))"
+#: Windows of a signature begin at the line's begin, behind what is neither letter nor
+#: digit, behind one of these characters, and behind letters that are not Latin.
+_BEHIND = r"[[^\p{L}\p{N}]eEA05[\p{L}&&[^\p{IsLatin}]]]"
+_STARTS = rf"(?s)(?:^|(?<={_BEHIND}))(?=(.{{{SHINGLE}}}))"
+
+
+def _hashes(found: Column) -> Column:
+    """Distinct 63-bit hashes of strings."""
+    return F.array_distinct(F.transform(found, lambda s: F.shiftrightunsigned(F.xxhash64(s), 1)))
+
+
+def windows(line: Column) -> Column:
+    """All windows of a line: eight rows of them, each begun one character later."""
+    rows = [F.regexp_extract_all(F.substr(line, F.lit(k + 1)), F.lit(rf"(?s).{{{SHINGLE}}}"), F.lit(0)) for k in range(SHINGLE)]
+    return F.flatten(F.array(*rows))
 
 
 def shingles(line: Column) -> Column:
-    """Sorted distinct 63-bit hashes of a line's shingles."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)), lambda s: F.shiftrightunsigned(F.xxhash64(s), 1))))
+    """The hashes of a line's shingles, each once."""
+    return _hashes(windows(line))
 
 
-def band_keys(ordered: Column) -> Column:
-    """A key for each band, from sorted shingle hashes.
+def with_band_keys(df: DataFrame, hashes: str, name: str) -> DataFrame:
+    """``df`` with the column ``name``: a key for each band of the distinct hashes in a column.
 
     The hashes lie on a circle; a band is the ROWS hashes that follow its fixed point, so
     two sets share it with the probability of so many equal samples, and a set that has
-    fewer is its own only band.  Equal keys of one line count once.
+    fewer is its own only band.  Equal keys of one line count once; no hashes, no keys.
     """
-    points = F.array(*(F.lit((2 * b + 1) * (1 << 62) // BANDS) for b in range(BANDS)))
-
-    def keys(x: Column) -> Column:
-        s, merged = x["s"], x["merged"]
-        n = F.size(s)
-        after = lambda b, k: F.get(s, ((F.array_position(merged, F.get(points, b)).cast("int") - 1 - b + k) % n).cast("int"))
-        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(*(after(b, k) for k in range(ROWS))))
-        return F.when(n < ROWS, F.array(F.xxhash64(s))).otherwise(F.array_distinct(bands))
-
-    return let(F.struct(ordered.alias("s"), F.sort_array(F.concat(ordered, points)).alias("merged")), keys)
+    points = [(2 * b + 1) * (1 << 62) // BANDS for b in range(BANDS)]
+    # steps of their own, so that each is compiled and evaluated once for a row
+    out = df.withColumn("s_", F.sort_array(hashes))
+    out = out.withColumn("m_", F.sort_array(F.concat("s_", F.array(*map(F.lit, points)))))
+    out = out.withColumns({f"p{b}_": F.array_position("m_", points[b]).cast("int") - (1 + b) for b in range(BANDS)} | {"n_": F.size("s_")})
+    after = lambda b, k: F.get("s_", (F.col(f"p{b}_") + k) % F.greatest("n_", F.lit(1)))
+    bands = F.array_distinct(F.array(*(F.xxhash64(*(after(b, k) for k in range(ROWS))) for b in range(BANDS))))
+    keys = F.when(F.col("n_") >= ROWS, bands).when(F.col("n_") > 0, F.array(F.xxhash64("s_"))).otherwise(F.array().cast("array<bigint>"))
+    return out.withColumn(name, keys).drop("s_", "m_", "n_", *(f"p{b}_" for b in range(BANDS)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc"), F.posexplode(F.split(text_of(docs, text_col), "\n")).alias("no", "line"))
-
-
-def _eligible(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"\s+", "")) >= MIN_CHARS
+    """``(doc, no, line)`` of the lines that take part: those with anything but white space."""
+    lines = docs.select(docs[id_col].cast("long").alias("doc"), F.posexplode(F.split(text_of(docs, text_col), "\n")).alias("no", "line"))
+    return lines.filter(F.col("doc").isNotNull() & F.col("line").rlike(r"\S"))
 
 
 def _keys(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")
 
 
+def line_nodes(lines: DataFrame) -> DataFrame:
+    """``(h1, h2, first, copies, bands)``: the distinct lines with their band keys."""
+    short = F.length("line") < SHINGLE
+    none = F.array().cast("array<string>")
+    keyed = lines.select("doc", *_keys(F.col("line")), "line", F.when(short, none).otherwise(F.regexp_extract_all("line", F.lit(_STARTS), F.lit(1))).alias("found"))
+    sparse = ~short & (F.size("found") * SPARSE < F.length("line") - (SHINGLE - 1))
+    keyed = keyed.select("doc", "h1", "h2", _hashes(F.col("found")).alias("thin"), F.when(sparse, _hashes(windows(F.col("line")))).alias("full"))
+    keyed = with_band_keys(with_band_keys(keyed, "thin", "bands"), "full", "more")
+    bands = F.when(F.col("full").isNull(), F.col("bands")).otherwise(F.array_union("bands", "more"))
+    keyed = keyed.select("doc", "h1", "h2", bands.alias("bands"))
+    return keyed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+
+
 def line_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(h1, h2, component, keeper)`` of every line that has an equal or a near line.
 
     ``h1, h2`` are the 128 bits that name the line, ``component`` names its group and
     ``keeper`` is the smallest document with a line of the group.
     """
-    lines = _lines(docs, id_col, text_col).filter(F.col("doc").isNotNull() & _eligible(F.col("line")))
-    distinct = lines.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"))
-    ordered = distinct.select(*_keys(F.col("line")), "first", "copies", shingles(F.col("line")).alias("s"))
-    nodes = cut(ordered.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", band_keys(F.col("s")).alias("bands")), "lines", free=True)
+    lines = _lines(docs, id_col, text_col)
+    nodes = cut(line_nodes(lines).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "bands"), "lines")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids, "id", "left_semi").select("id", "h1", "h2")
-        texts = lines.select("line", *_keys(F.col("line"))).join(wanted, ["h1", "h2"]).select("id", "line").dropDuplicates(["id"])
+        # each line is looked up in its first document: no key is hot
+        wanted = nodes.join(ids, "id", "left_semi").select("id", "h1", "h2", F.col("first").alias("doc"))
+        texts = lines.select("doc", *_keys(F.col("line")), "line").join(wanted, ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2", "id"])
         return texts.select("id", shingles(F.col("line")).alias("items"))
 
     _, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, None)
     named = nodes.select("id", "h1", "h2", "first", "copies").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     several = named.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     keeper = several.groupBy("component").agg(F.min("first").alias("keeper"))
-    return several.join(keeper, "component").select("h1", "h2", "component", "keeper")
+    out = cut(several.join(keeper, "component").select("h1", "h2", "component", "keeper"), "groups")
+    delete(nodes)
+    return out
 
 
 def _cleaned(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Each row of ``docs`` whole, as ``row``, with its line counts and the text that stays."""
-    groups = cut(line_groups(docs, percent, id_col, text_col), "groups", free=True)
-    lines = _lines(docs, id_col, text_col).filter(F.col("doc").isNotNull() & _eligible(F.col("line")))
-    hits = lines.select("doc", "no", *_keys(F.col("line"))).join(groups, ["h1", "h2"]).select("doc", "no", "component", "keeper")
+    groups = line_groups(docs, percent, id_col, text_col)
+    hits = _lines(docs, id_col, text_col).select("doc", "no", *_keys(F.col("line"))).join(groups, ["h1", "h2"]).select("doc", "no", "component", "keeper")
     # a document's lines of one group: the keeper keeps the first, others none
     first = hits.groupBy("doc", "component").agg(F.min("no").alias("no"), F.first("keeper").alias("keeper")).filter("doc = keeper").select("doc", "no")
     gone = hits.select("doc", "no").distinct().join(first, ["doc", "no"], "left_anti").groupBy("doc").agg(F.collect_set("no").alias("gone"))
@@ -105,7 +132,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     The line that stays is the first of the group in its smallest document.  Returns
     ``id_col, n_lines, n_removed, kept_text`` for each input row; ``kept_text`` joins the
-    lines that stay.  Lines with fewer than MIN_CHARS characters besides white space stay.
+    lines that stay.  Lines of white space alone stay; a line of fewer than SHINGLE
+    characters has no near lines but equal ones.
     A null text is an empty text; rows with a null id are returned whole and take no part;
     rows of one id are one document, and equal repeats get equal rows; further columns
     are ignored; an empty table gives no rows.

@@ -1,33 +1,38 @@
 """Linking similar sets, given their band keys, without forming all pairs of a group.
 
-Every bucket (a band key that several sets share) is compared with one leader at first.  Jaccard
-distance is a metric, which settles most of what is left: with the link radius
-``d = 1 - threshold``, a member farther than ``2 d`` from the leader has no link with a
-member that is linked to the leader, and a member at a distance in between can only have
-links with those at least ``distance - d`` away from it.  Only these are compared.  The
-members without a link to their leader go on to the next round with MORE times as many
-leaders, so that the rounds stay few, or, where few are left in a bucket, are compared
-with each other unless they are connected already.  So no link is lost within a bucket, and a large group of copies costs a
-comparison or two for each of its members.
+The members of a bucket (a band key that several sets share) meet one leader, and those
+linked with it are one component at once.  What is left is settled by what the leader
+lacks.  Let a link ask for ``i`` common items with ``i >= c * (|x| + |y|)``, where
+``c = percent / (100 + percent)``.  If x is not linked to the leader L, then x has too few
+items in common with L to be linked with anything *through* L's items alone: a link of x
+with a set of at least ``low`` items needs ``ceil(c * (|x| + low)) - |x & L|`` items in
+common that L has not.  Where that is at least one, x and its partner share an item outside
+L, so the bucket falls apart into buckets ``(L, item)``, without L.  Of an unlinked x's
+items outside L the rarest are enough (the prefix filter): all but as many as it needs, and
+one more.  Items that nobody else has, and buckets in which all are connected already, are
+dropped; copies that differ by edits of their own leave nothing behind.  The bound is at
+least one for all partners that are not smaller than the leader; where it is below one for
+smaller ones, x stays in its bucket for another round, with these alone.  Leaders are the
+sets that meet most others.  So no link is lost within a bucket, each round has one
+comparison with a leader for each member, and each round's leaders drop out of their
+buckets.  A leader's small group (FEW sets) is compared at once.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import cut
+from riverbed.llm.common import cut, delete
 from riverbed.llm.components import components
 
-#: So many unlinked members of a bucket are compared with each other at once.
-FEW = 64
-#: The growth of the number of leaders from round to round.
-MORE = 32
-#: So many of a leader's own are tried before all others.
-NEAREST = (8,)
+#: So many members of a leader's group at most are compared with each other in the first
+#: round, and half as many more in each further one, when ever fewer members are left.
+FEW = 32
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -41,85 +46,108 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     """Links between sets, and their components.
 
     ``members``: ``(bucket, id)``; ``nodes``: ``(id, n, sketch)`` with the set's size and
-    sketch; ``sets_of(ids)``: ``(id, items)`` with the full sets of those ids;
-    ``plausible(sketch, sketch, similarity)``: whether two sketches can have come from
-    sets of at least that similarity, or None where full sets are as small as sketches.  A link is ``100 * intersection >= percent *
-    union``.  Returns ``(a, b, inter, both)`` and ``(node, component)``.
+    sketch; ``sets_of(ids)``: ``(id, items)`` with the full sets of those ids, distinct
+    items; ``plausible(sketch, sketch, similarity)``: whether two sketches can have come
+    from sets of at least that similarity, or None where full sets are as small as
+    sketches.  A link is ``100 * intersection >= percent * union``.  Returns
+    ``(a, b, inter, both)``, links enough to connect each component, and
+    ``(node, component)``.
     """
-    t, twice = percent / 100, max(0, 2 * percent - 100)
-    members = cut(members, "members", free=True)
+    members = cut(members.select("bucket", "id"), "members")
     ids = members.select("id").distinct()
     if plausible:
-        small = cut(nodes.join(ids, "id", "left_semi").select("id", "n", "sketch"), "nodes")
-        ids = small.select("id")
-    sets = cut(sets_of(ids), "sets", free=True)
-
-    def compared(pairs: DataFrame, at_least: int) -> DataFrame:
-        """Exact overlaps of the pairs ``(a, b)`` that can be so similar (in hundredths)."""
-        likely = pairs
+        small = cut(nodes.join(ids, "id", "left_semi").select("id", F.col("n").cast("int").alias("n"), "sketch"), "nodes")
+        sets = cut(sets_of(small.select("id")), "sets")
+    else:
+        sets = cut(sets_of(ids), "sets")
+        small = sets.select("id", F.size("items").alias("n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``(a, b, na, nb)`` that are links."""
+        likely = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         if plausible:
-            one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-            two = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-            likely = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= at_least * F.greatest("na", "nb")).filter(plausible(F.col("sa"), F.col("sb"), at_least / 100)).select("a", "b")
-        full = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-        full = full.withColumns({"na": F.size("ia"), "nb": F.size("ib")}).filter(100 * F.least("na", "nb") >= at_least * F.greatest("na", "nb"))
-        inter = F.size(F.array_intersect("ia", "ib"))
-        return cut(full.select("a", "b", inter.alias("inter"), (F.col("na") + F.col("nb") - inter).alias("both")), "pairs", free=True)
-
-    linked = F.expr(f"100 * inter >= {percent} * both")
-    share = F.col("inter") / F.col("both")
+            sketch = lambda of, name: small.select(F.col("id").alias(of), F.col("sketch").alias(name))
+            likely = likely.join(sketch("a", "sa"), "a").join(sketch("b", "sb"), "b").filter(plausible(F.col("sa"), F.col("sb"), percent / 100))
+        items = lambda of, name: sets.select(F.col("id").alias(of), F.col("items").alias(name))
+        full = likely.select("a", "b", "na", "nb").join(items("a", "ia"), "a").join(items("b", "ib"), "b")
+        met = full.select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("inter"), (F.col("na") + F.col("nb")).alias("total"))
+        return met.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("both")).filter(f"100 * inter >= {percent} * both")
+
+    def group_of(df: DataFrame) -> DataFrame:
+        return df.join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id", "left").withColumn("g", F.coalesce("g", "id"))
+
+    def least_common(total: Column) -> Column:
+        """The fewest common items of a link between sets of ``total`` items together."""
+        return F.ceil(percent * total / (100 + percent)).cast("int")
+
+    now = cut(members.join(small.select("id", "n"), "id").join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket"), "round")
+    delete(members)
     found: list[DataFrame] = []
-    groups = components(members.limit(0).select(F.col("id").alias("u"), F.col("id").alias("v")))
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal groups
-        if pairs.filter(linked).isEmpty():
-            return
-        found.append(pairs.filter(linked))
-        edges = found[-1].select(F.col("a").alias("u"), F.col("b").alias("v"))
-        groups = components(edges.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-
-    def group_of(df: DataFrame, col: str, name: str) -> DataFrame:
-        named = groups.select(F.col("node").alias(col), F.col("component").alias(name))
-        return df.join(named, col, "left").withColumn(name, F.coalesce(name, col))
-
-    n_leaders = 1
-    while True:
-        if n_leaders == 1:
-            leaders = members.groupBy("bucket").agg(F.min("id").alias("b"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-            leaders = members.withColumn("place", place).filter(F.col("place") <= n_leaders).select("bucket", F.col("id").alias("b"))
-        star = members.join(leaders, "bucket").filter(F.col("id") > F.col("b"))
-        near = compared(star.select(F.col("id").alias("a"), "b").distinct(), twice)
-        add(near)
-        # what lies between, with the leader's own: the nearest of these first, as most
-        # others then are connected already
-        fringe = cut(near.filter(~linked & F.expr(f"100 * inter >= {twice} * both")).select("a", "b", share.alias("sf")), "fringe")
-        own = near.filter(linked).select("b", F.col("a").alias("own"), share.alias("sn"))
-        own = own.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sn"), "own")))
-        for low, high in zip((0, *NEAREST), (*NEAREST, None), strict=True):
-            apart = group_of(group_of(fringe, "a", "ga"), "b", "gb").filter("ga <> gb").select("b", F.col("a").alias("far"), "sf")
-            if apart.isEmpty():
-                break
-            some = own.filter((F.col("place") > low) & (F.lit(True) if high is None else F.col("place") <= high))
-            across = apart.join(some, "b").filter(F.col("sn") <= F.col("sf") + (1 - t) + 1e-9)
-            add(compared(across.select(F.greatest("far", "own").alias("a"), F.least("far", "own").alias("b")).distinct(), percent))
-        # what has no link to its leader goes on, where a bucket still has several components
-        solved = near.filter(linked).select(F.col("a").alias("id"), "b")
-        if n_leaders == 1:
-            left = star.join(solved, ["id", "b"], "left_anti").select("bucket", "id")
-        else:
-            met = star.join(solved.withColumn("hit", F.lit(1)), ["id", "b"], "left").groupBy("bucket", "id").agg(F.max("hit").alias("hit"))
-            left = met.filter("hit is null").join(leaders.withColumnRenamed("b", "id"), ["bucket", "id"], "left_anti").select("bucket", "id")
-        left = group_of(left, "id", "g")
-        open_ = left.groupBy("bucket").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("c")).filter("g1 <> g2").select("bucket", "c")
-        left = cut(left.join(open_, "bucket").select("bucket", "id", "g", "c"), "left")
-        few = left.filter(F.col("c") <= FEW)
-        pairs = few.alias("x").join(few.alias("y"), "bucket").filter("x.id > y.id and x.g <> y.g").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        if not few.isEmpty():
-            add(compared(pairs, percent))
-        members, n_leaders = left.filter(F.col("c") > FEW).select("bucket", "id"), n_leaders * MORE
-        if members.isEmpty():
-            none = near.filter(linked).limit(0)
-            return functools.reduce(DataFrame.unionByName, found, none), groups
+    groups = now.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    for turn in itertools.count():
+        few_now = int(FEW * 1.5**turn)
+        # the more a set meets others, the nearer it is to the middle of its copies
+        scores = now.groupBy("id").agg(F.sum("c").alias("score"))
+        leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))
+        lead = now.join(scores, "id").groupBy("bucket").agg(leader.alias("l"), F.min("n").alias("low")).select("bucket", "l.h", "l.nh", "low")
+        star = cut(now.join(lead, "bucket").filter("id <> h").groupBy("h", "id").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("nh").alias("nh")), "stars")
+        # all that is linked with its leader is one component
+        links = cut(verified(star.select(F.col("id").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb"))), "links")
+        found.append(links)
+        groups = _joined(groups, links)
+        grouped = group_of(star).join(links.select(F.col("a").alias("id"), F.col("b").alias("h"), F.lit(True).alias("linked")), ["id", "h"], "left").withColumn("linked", F.col("linked").isNotNull())
+        open_ = grouped.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("size")).filter("g1 <> g2").select("h", "size")
+        left = cut(grouped.join(open_, "h"), "open")
+        delete(star)
+        # a small group's pairs, each once
+        few = left.filter(F.col("size") <= few_now).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("id", "n", "g"))).alias("all"))
+        some = few.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["id"] < x["id"]) & (y["g"] != x["g"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))).alias("p")).select("p.*").distinct()
+        links = cut(verified(some), "links")
+        found.append(links)
+        many = left.filter(F.col("size") > few_now)
+        if many.isEmpty():
+            delete(left, now)
+            groups = _joined(groups, links)
+            break
+        # what each member has and its leader has not
+        apart = many.join(sets.select("id", "items"), "id").join(sets.select(F.col("id").alias("h"), F.col("items").alias("ih")), "h")
+        rest = F.array_except("items", "ih")
+        apart = apart.select("h", "nh", "id", "n", "g", "linked", "low", rest.alias("rest"))
+        needed = lambda least: least_common(F.col("n") + F.greatest(least, F.ceil(percent * F.col("n") / 100).cast("int"))) - (F.col("n") - F.size("rest"))
+        apart = apart.withColumn("again", ~F.col("linked") & (needed("low") < 1)).withColumn("need", needed(F.when(F.col("again"), F.col("nh")).otherwise(F.col("low"))))
+        apart = cut(apart.withColumn("apart", ~F.col("linked")), "apart")
+        items = apart.select("h", "id", "n", "g", "apart", F.explode("rest").alias("e"))
+        shared = items.groupBy("h", "e").agg(F.count(F.lit(1)).alias("c"), (F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks")).filter("c > 1 and seeks").select("h", "e", "c", "mixed")
+        common = cut(items.join(shared, ["h", "e"]), "common")
+        seekers = common.filter("apart").groupBy("h", "id").agg(F.sort_array(F.collect_list(F.struct("c", "e", "mixed"))).alias("own"))
+        seekers = seekers.join(apart.select("h", "id", "n", "g", F.size("rest").alias("all"), "need"), ["h", "id"])
+        take = F.col("all") - F.col("need") + 1 - (F.col("all") - F.size("own"))
+        seekers = seekers.filter(take > 0).select("h", "id", "n", "g", F.lit(True).alias("apart"), F.explode(F.slice("own", 1, take)).alias("o")).filter("o.mixed").select("h", "id", "n", "g", "apart", F.col("o.e").alias("e"))
+        others = common.filter("mixed and not apart").select("h", "id", "n", "g", "apart", "e")
+        after = seekers.unionByName(others).select(F.xxhash64("h", "e").alias("bucket"), "id", "n", "g", "apart")
+        # partners smaller than the leader, for those that may have them
+        again = now.join(lead, "bucket").filter("id <> h").join(apart.filter("again").select("h", "id", F.lit(True).alias("apart")), ["h", "id"], "left")
+        again = group_of(again.filter("apart or n < nh")).select(F.xxhash64("bucket", F.lit("again")).alias("bucket"), "id", "n", "g", F.col("apart").isNotNull().alias("apart"))
+        after = after.unionByName(again)
+        mixed = after.groupBy("bucket").agg((F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks"), F.count(F.lit(1)).alias("c")).filter("mixed and seeks").select("bucket", "c")
+        following = cut(after.join(mixed, "bucket").select("bucket", "id", "n", "c"), "round")
+        delete(now, left, apart, common)
+        fewer = cut(sets.join(following.select("id").distinct(), "id", "left_semi"), "sets")
+        delete(sets)
+        sets = fewer
+        groups, now = _joined(groups, links), following
+        if now.isEmpty():
+            delete(now)
+            break
+    delete(sets)
+    if plausible:
+        delete(small)
+    return functools.reduce(DataFrame.unionByName, found), groups
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with the links ``(a, b)`` added."""
+    if links.isEmpty():
+        return groups
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(edges.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))

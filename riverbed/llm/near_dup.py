@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     """
     texts = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     with_words = lambda df: df.select("id", words_of(F.col("text")).alias("words"))
-    every = cut(sketches(with_words(texts), words), "sketches", free=True)
+    every = cut(sketches(with_words(texts), words), "sketches")
     usable = every.filter("n > 0 and id is not null")
     # equal sets are one node, named by their smallest id
     first = usable.groupBy("k1", "k2").agg(F.min("id").alias("id"))

@@ -192,11 +192,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*hs, np.zeros(0, np.int64)])), b.column("k1").take(of), b.column("k2").take(of), pa.array(np.concatenate([*many, np.zeros(0, bool)]))], names=["h", "k1", "k2", "many"])
 
-    filed = cut(long.select("text", "k1", "k2").mapInArrow(keys, "h long, k1 long, k2 long, many boolean"), "minimizers", free=True)
+    filed = cut(long.select("text", "k1", "k2").mapInArrow(keys, "h long, k1 long, k2 long, many boolean"), "minimizers")
     shared = filed.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("many").alias("many")).filter("lo <> hi or many").select("h")
-    wanted = cut(filed.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs")), "wanted", free=True)
+    wanted = cut(filed.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs")), "wanted")
     delete(filed)
-    copies = cut(long.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies", free=True)
+    copies = cut(long.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "anchor", "content", "k1", "k2", "starts"]
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     runs = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(collect, "k1 long, k2 long, lo long, hi long")
     spans = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    found = cut(spans.join(copies.filter("copies > 1").select("k1", "k2", "copies"), ["k1", "k2"], "full_outer"), "spans", free=True)
+    found = cut(spans.join(copies.filter("copies > 1").select("k1", "k2", "copies"), ["k1", "k2"], "full_outer"), "spans")
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

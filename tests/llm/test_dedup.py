@@ -165,7 +165,7 @@ def test_lines(spark):
     texts = [f"{other[0]}\n{line}\n{short}", f"{near}\n{other[1]}\n{short}\n{other[1]}", line, None, "", f"{other[2]}\n\n{other[3]}", han, han + "、"]
     got = {r.doc_id: r for r in dedup_lines(frame(spark, texts)).collect()}
     assert got[0].kept_text == texts[0] and got[5].kept_text == texts[5]
-    assert got[1].kept_text == f"{other[1]}\n{short}" and got[1].n_removed == 2 and got[1].n_lines == 4
+    assert got[1].kept_text == other[1] and got[1].n_removed == 3 and got[1].n_lines == 4
     assert got[2].kept_text == "" and got[2].n_removed == 1
     assert (got[3].kept_text, got[3].n_lines, got[4].kept_text) == ("", 1, "")
     assert got[6].n_removed == 0 and got[7].n_removed == 1
