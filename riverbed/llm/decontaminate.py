@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import cut, text_of
+from riverbed.llm.common import text_of
 
 #: An item is found where its edit distance is at most this share of its length.
 MAX_EDITS = 0.1
@@ -41,6 +41,8 @@ PIECE_BITS, KEY_BITS = 22, 24
 BLOCK = 1 << 17
 #: Meetings whose items would begin in so many bytes are confirmed together.
 STEP = 32
+#: Stretches of so many bytes are tried for all items that meet them.
+STRETCH = 512
 #: Size and hash bits of the q-grams that a stretch is tried by.
 GRAM, GRAM_BITS = 7, 16
 #: Bytes of text that are searched at a time.
@@ -53,9 +55,9 @@ _PLACES = {s: [np.sort(_RNG.choice(np.arange(3 * PIECE, s * 5 // 4), PLACES, rep
 _ODD = _RNG.integers(0, 2**62, PLACES + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def normal(text: Column) -> Column:
-    """Lower case, runs of white space as one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+def normal(text: str | None) -> bytes:
+    """Lower case, runs of ASCII white space as one space, none at the ends; UTF-8."""
+    return b" ".join((text or "").lower().encode(errors="ignore").split())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -178,7 +180,7 @@ class Block:
         self.need = np.array([len(g) - k * (GRAM - 1 + w) for g, k, w in zip(self.grams, self.most, self.wide, strict=True)])
         self.piece = np.zeros(1 << PIECE_BITS, bool)
         self.exact = [i for i, k in enumerate(self.most) if not k]
-        self.stamp, self.round = np.zeros((1 << GRAM_BITS) + 1, np.int64), 0
+        self.held = np.zeros((1 << GRAM_BITS) + 1, np.uint8)
         # the items' q-grams by size, ends filled with one that no text has
         self.table = np.full((len(rows), max(map(len, self.grams))), 1 << GRAM_BITS)
         for i, g in enumerate(self.grams):
@@ -213,7 +215,7 @@ class Block:
         def add(at: np.ndarray, item: np.ndarray, off: np.ndarray) -> np.ndarray:
             doc = np.searchsorted(begins, at, side="right") - 1
             step = (at - begins[doc] - off + self.longest) // STEP
-            return np.unique((doc * len(self.rows) + item) * wide + step)
+            return (doc * len(self.rows) + item) * wide + step
 
         for size, p in self.parts.items():
             key = packed(data, size)
@@ -225,7 +227,8 @@ class Block:
             for size in SIZES:
                 for k in keys(walk, size):
                     found.append(add(*self.walks.meet(part, k.view(np.uint64))))
-        code = np.unique(np.concatenate(found))
+        code = np.sort(np.concatenate(found))
+        code = code[np.diff(code, prepend=-1) != 0]
         return code // wide // len(self.rows), code // wide % len(self.rows), code % wide
 
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
@@ -239,25 +242,37 @@ class Block:
             yield from ((d, i, 0) for d, t in enumerate(texts) if word in t)
         docs, items, steps = self._meetings(data, begins)
         held, sure = grams(data), set()
-        # first by the whole text, for all of its meetings at once
-        left = np.zeros(len(docs), bool)
-        ends = np.flatnonzero(np.diff(docs, prepend=-1, append=-1))
-        for a, b in zip(ends.tolist(), ends[1:].tolist()):
-            d = docs[a]
-            self.round += 1
-            self.stamp[held[begins[d] : begins[d] + max(0, sizes[d] - GRAM + 1)]] = self.round
-            for c in range(a, b, 4096):
-                i, back = np.unique(items[c : min(b, c + 4096)], return_inverse=True)
-                left[c : min(b, c + 4096)] = ((self.stamp[self.table[i]] == self.round).sum(axis=1) >= self.need[i])[back]
-        for d, i, s in zip(docs[left].tolist(), items[left].tolist(), steps[left].tolist(), strict=True):
+
+        def enough(d: int, lo: int, hi: int, tried: np.ndarray) -> np.ndarray:
+            """Which items have grams enough in a stretch of a document."""
+            own = held[begins[d] + lo : begins[d] + max(lo, min(hi, int(sizes[d])) - GRAM + 1)]
+            self.held[own] = 1
+            found = np.concatenate([self.held[self.table[t]].sum(axis=1, dtype=np.int32) for t in np.array_split(tried, len(tried) // 4096 + 1)])
+            self.held[own] = 0
+            return found >= self.need[tried]
+
+        # first by the whole text for all of its meetings at once, then by longer stretches
+        room = 4 * max(self.most)
+        begin = np.maximum(steps * STEP - self.longest, 0)
+        for size in (1 << 62, STRETCH):
+            part = begin // size
+            order = np.lexsort((part, docs))
+            docs, items, steps, begin, part = (x[order] for x in (docs, items, steps, begin, part))
+            ends = np.flatnonzero((np.diff(docs, prepend=-1, append=-1) != 0) | (np.diff(part, prepend=-1, append=-1) != 0))
+            left = np.zeros(len(docs), bool)
+            for a, b in zip(ends.tolist(), ends[1:].tolist()):
+                i, back = np.unique(items[a:b], return_inverse=True)
+                lo = max(0, int(part[a]) * size - room)
+                hi = int(begin[a:b].max()) + STEP + self.longest + room
+                left[a:b] = enough(docs[a], lo, hi if size == STRETCH else int(sizes[docs[a]]), i)[back]
+            docs, items, steps, begin = (x[left] for x in (docs, items, steps, begin))
+        for d, i, s in zip(docs.tolist(), items.tolist(), steps.tolist(), strict=True):
             if (d, i) in sure:
                 continue
             room = self.most[i] * 4
             lo = max(0, s * STEP - self.longest - room)
             hi = min(len(texts[d]), s * STEP - self.longest + STEP + len(self.data[i]) + room)
-            self.round += 1
-            self.stamp[held[begins[d] + lo : begins[d] + max(lo, hi - GRAM + 1)]] = self.round
-            if np.count_nonzero(self.stamp[self.grams[i]] == self.round) < self.need[i]:
+            if not enough(d, lo, hi, np.array([i]))[0]:
                 continue
             item, most = self.rows[i][1], self.most[i]
             if best_distance(item, texts[d][lo:hi].decode(errors="ignore"), most) <= most:
@@ -281,12 +296,10 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     nothing; rows with a null id are passed over; repeated rows give one row; further
     columns are ignored; empty tables give no rows.
     """
-    bench = items.select(items[item_col].cast("long").alias("item"), normal(text_of(items, "text")).alias("text")).filter("item is not null and text <> ''")
+    bench = items.select(items[item_col].cast("long").alias("item"), text_of(items, "text").alias("text")).filter("item is not null")
     size = int(bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     blocks = -(-size // BLOCK)
-    flat = docs.select(docs[id_col].cast("long").alias("doc"), normal(text_of(docs, text_col)).alias("text")).filter("doc is not null and text <> ''")
-    if blocks > 1:
-        bench, flat = cut(bench, "items"), cut(flat, "texts")
+    flat = docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs, text_col).alias("text")).filter("doc is not null and text <> ''")
     numbered = bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1))))
 
     def search(rows: tuple) -> DataFrame:
@@ -304,7 +317,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
                 ids, texts, size = [], [], 0
                 for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                     ids.append(doc)
-                    texts.append(text.encode())
+                    texts.append(normal(text))
                     size += len(texts[-1]) + _STEPS
                     if size >= SLICE:
                         yield found(ids, texts)
@@ -316,7 +329,8 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
 
     sure = docs.sparkSession.createDataFrame([], "doc long, item long, d long, n long")
     for k in range(blocks):
-        rows = tuple(sorted((r.item, r.text) for r in numbered.filter(F.col("block") == k).select("item", "text").distinct().collect()))  # about BLOCK bytes
+        read = numbered.filter(F.col("block") == k).select("item", "text").distinct().collect()  # about BLOCK bytes
+        rows = tuple(sorted({(r.item, text) for r in read if (text := normal(r.text).decode())}))
         if rows:
             sure = sure.unionByName(search(rows))
     return sure.groupBy("doc", "item").agg(F.min("d").alias("edit_distance"), F.min_by("n", "d").alias("item_chars")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "edit_distance", "item_chars")
