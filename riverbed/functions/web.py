@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ordered patterns; the first that matches names the class (fixed values).
 BOTS = r"(?i)bot\b|crawl|spider|slurp|curl|wget|python-requests|headless|preview|monitor"
-DEVICES = ((r"(?i)ipad|tablet|kindle|silk", "tablet"), (r"(?i)mobi|iphone|ipod|android", "phone"))
-SYSTEMS = ((r"(?i)iphone|ipad|ipod", "ios"), (r"(?i)android", "android"), (r"(?i)windows", "windows"), (r"(?i)mac os x|macintosh", "mac"), (r"(?i)cros", "chromeos"), (r"(?i)linux|x11", "linux"))
+DEVICES = ((r"(?i)ipad|tablet|playbook|silk|kindle|android(?!.*\bmobile\b)", "tablet"), (r"(?i)mobi|iphone|ipod|android|windows phone|harmonyos|openharmony", "phone"))
+SYSTEMS = ((r"(?i)iphone|ipad|ipod", "ios"), (r"(?i)harmonyos|openharmony", "harmony"), (r"(?i)android", "android"), (r"(?i)windows", "windows"), (r"(?i)mac os x|macintosh", "mac"), (r"(?i)cros", "chromeos"), (r"(?i)linux|x11", "linux"))
 
 
 def _first(text: Column, rules: tuple, otherwise: str) -> Column:

@@ -20,18 +20,25 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def resolve_chain(pointers: DataFrame, hops: int = 10) -> DataFrame:
-    """Follow ``(node, target)`` pointers by doubling, up to a number of hops.
+    """Follow ``(node, target)`` pointers to the end of their chain.
 
-    Returns ``node, root``; a null target or one that is no node ends the chain; a cycle
-    ends where the hops do.
+    Returns ``node, root``; the root is null (not found) where the chain has more hops than
+    allowed, runs in a circle or points to what is no node.  A null target ends a chain.
+    Steps are doubled, so ten hops take four joins.
     """
-    now = pointers.select("node", F.coalesce("target", "node").alias("root"))
-    done = 1
-    while done < hops:
-        ahead = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        now = now.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        done *= 2
-    return now
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.select("node", F.col("root").alias("_via")).join(second.select(F.col("node").alias("_via"), "root"), "_via", "left").select("node", "root")
+
+    step = pointers.select("node", F.coalesce("target", "node").alias("root"))
+    found, left = None, hops
+    while left:
+        if left & 1:
+            found = step if found is None else then(found, step)
+        left >>= 1
+        step = then(step, step) if left else step
+    ends = pointers.filter("target is null").select("node", F.col("node").alias("root"))
+    return then(found, ends)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -43,11 +43,15 @@ def half_covering(amounts: DataFrame, key: str, amount: str) -> DataFrame:
     return near.withColumn("before", F.col("above") + F.coalesce(inside, F.lit(0))).filter("before * 2 < total").select(key, amount)
 
 
-def adaptive_interval(seen: DataFrame, at: Column, shortest: int, longest: int) -> DataFrame:
-    """Minutes between fetches: half the mean distance of the last week's items, clamped."""
+def adaptive_interval(seen: DataFrame, at: Column, shortest: Column | int = 15, longest: Column | int = 60) -> DataFrame:
+    """Minutes between fetches: a third of the mean distance of the last week's items, clamped.
+
+    At most 0.15 items a day make a source quiet: it takes the longest interval.
+    """
     recent = seen.groupBy("source").agg(F.count_if(F.col("ts") > shift(at, -168)).alias("recent"))
-    wish = F.when(F.col("recent") == 0, F.lit(float(longest))).otherwise(F.floor(F.lit(7 * 24 * 60.0) / F.col("recent") / 2.0))
-    return recent.withColumn("interval_minutes", F.least(F.lit(longest), F.greatest(F.lit(shortest), wish)).cast("bigint"))
+    low, high = (b if isinstance(b, Column) else F.lit(b) for b in (shortest, longest))
+    wish = F.least(high, F.greatest(low, F.try_divide(F.lit(24 * 60.0), F.col("recent") / 7.0 * 3)))
+    return recent.withColumn("interval_minutes", F.when(F.col("recent") / 7.0 <= 0.15, high).otherwise(F.floor(wish + 0.5)).cast("bigint"))
 
 
 def confusion(rows: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverbed.functions.text import NEAR_BITS, bigrams, jaccard
+from riverbed.functions.text import NEAR_BITS, bigrams, jaccard, normal_text_udf
+
+#: So much of a normalised title is compared (a fixed value).
+TITLE_MOST = 300
 
 
 def near_fingerprints(prints: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
@@ -32,28 +35,39 @@ def near_fingerprints(prints: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
 def title_pairs(titles: DataFrame, block: list[str], least: float) -> DataFrame:
     """Pairs of one block whose titles' character pairs have a Jaccard similarity of at least ``least``.
 
-    ``titles``: id, title and the block's columns.  Equal titles of a block are one node.
+    ``titles``: id, title and the block's columns.  The first 300 letters and digits of a
+    title count, folded; titles that agree in them are one node.  Two titles that similar
+    share one of their rarest character pairs (all but ``least`` of them, and one more), so
+    only those that do are compared.  Titles without two letters are in no pair.
     """
-    nodes = titles.groupBy(*block, "title").agg(F.min("id").alias("id")).withColumn("grams", bigrams(F.col("title")))
-    x, y = nodes.alias("x"), nodes.alias("y")
-    same = F.expr(" and ".join([*(f"x.{b} = y.{b}" for b in block), "x.id < y.id"]))
-    sizes = F.least(F.size("x.grams"), F.size("y.grams")) >= least * F.greatest(F.size("x.grams"), F.size("y.grams"))
-    score = F.round(jaccard(F.col("x.grams"), F.col("y.grams")), 6)
-    return x.join(y, same & sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score")).filter(F.col("score") >= least)
+    plain = F.substring(normal_text_udf("title"), 1, TITLE_MOST)
+    nodes = titles.select("id", *block, plain.alias("title")).groupBy(*block, "title").agg(F.min("id").alias("id")).withColumn("grams", bigrams(F.col("title"))).filter(F.size("grams") > 0)
+    each = nodes.select(*block, "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    held = each.join(each.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("c")), [*block, "gram"])
+    first = F.col("n") - F.ceil(least * F.col("n")) + 1
+    rare = held.groupBy(*block, "id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("all")).select(*block, "id", "n", F.explode(F.slice("all", 1, first.cast("int"))).alias("g")).filter("g.c > 1").select(*block, "id", "n", "g.gram")
+    x, y = rare.alias("x"), rare.alias("y")
+    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    same = F.expr(" and ".join([*(f"x.{b} <=> y.{b}" for b in block), "x.gram = y.gram", "x.id < y.id"]))
+    pairs = x.join(y, same & sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    full = pairs.join(nodes.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(nodes.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    return full.select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("score")).filter(F.col("score") >= least)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
     """For each query vector its ``k`` nearest other vectors by cosine, at least ``least``.
 
     The query set is taken in blocks of bounded size, each against all vectors by one
-    matrix product a batch; a task sends on no more than ``k`` rows for each query.
+    matrix product a batch; a batch sends on no more than ``k`` rows for each query.
+    Scores are rounded to six digits, ties go to the least id; null vectors, and those of
+    another length than the queries', are passed over.
     """
     schema = "query long, id long, score double"
     found: DataFrame | None = None
     total = queries.count()
     size = 4096
     blocks = max(1, -(-total // size))
-    numbered = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    numbered = queries.filter("vector is not null").select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     for block in range(blocks):
         rows = numbered.filter(F.col("block") == block).select("id", "vector").collect()  # about `size` vectors
         if not rows:
@@ -64,13 +78,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> Dat
 
         def search(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
             for b in batches:
+                if not len(b):
+                    continue
+                b = b[[x is not None and len(x) == q.shape[1] for x in b["vector"]]].sort_values("id")
                 if not len(b):
                     continue
                 v = np.array(b["vector"].tolist(), np.float64)
                 norm = np.linalg.norm(v, axis=1)
                 score = np.where(norm > 0, q @ v.T / np.maximum(norm, 1e-300), 0.0)
+                score = np.round(score, 6)
                 score[ids[:, None] == b["id"].to_numpy()[None, :]] = -2
-                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 5]
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are in order, so ties are too
                 at = np.repeat(np.arange(len(ids)), top.shape[1])
                 out = pd.DataFrame({"query": ids[at], "id": b["id"].to_numpy()[top.ravel()], "score": score[at, top.ravel()]})
                 yield out[out["score"] >= least]

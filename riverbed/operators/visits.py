@@ -21,30 +21,47 @@ def suppress(minutes: list[int], after: int = REPEAT_MINUTES) -> list[bool]:
     return out
 
 
-def counted(views: DataFrame) -> DataFrame:
-    """Mark the views that count.
+def first_views(views: DataFrame) -> DataFrame:
+    """The views that count: ``client, path, ts, event_id``.
 
     ``views``: client, path, ts, event_id.  A view within 30 whole minutes of the last
     counted one of the same client, business day and path is a repeat; of the rest, the
-    first 60 of a client in a minute count.  A capped view is no anchor, so the two rules
-    are folded together over one client's day, whose size the cap of distinct minutes
-    bounds; different clients and days go to different groups.
+    first 60 of a client in a minute count, and a capped view is no anchor.  Of one path's
+    views in a minute only the earliest can count, so views shrink to these before they
+    move.  A path's minutes of a day (1,440 at most) are then folded by themselves; only
+    where a client asks for more than 60 paths in a minute do its paths have to be folded
+    together, that day alone.
     """
-    schema = "client long, path string, ts timestamp_ntz, event_id long, counted boolean"
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    least = F.min(F.struct("ts", "event_id")).alias("v")
+    each = views.withColumns({"day": local_day(F.col("ts")), "m": minute}).groupBy("client", "day", "path", "m").agg(least)
+    crowded = each.groupBy("client", "day", "m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PER_MINUTE).select("client", "day").distinct()
+    begin = F.struct(F.lit(None).cast("bigint").alias("m"), F.array().cast("array<bigint>").alias("kept"))
+    step = lambda s, x: F.when(s["m"].isNull() | (x["m"] - s["m"] >= REPEAT_MINUTES), F.struct(x["m"].alias("m"), F.concat(s["kept"], F.array(x["m"])).alias("kept"))).otherwise(s)
+    alone = each.join(crowded, ["client", "day"], "left_anti").groupBy("client", "day", "path").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("all"))
+    kept = alone.withColumn("kept", F.aggregate("all", begin, step)["kept"])
+    single = kept.select("client", "path", F.explode(F.filter("all", lambda x: F.array_contains("kept", x["m"]))).alias("x")).select("client", "path", "x.v.ts", "x.v.event_id")
 
     def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"], kind="stable")
+        frame = frame.sort_values(["m", "ts", "event_id"], kind="stable")
         anchors: dict[str, int] = {}
-        minute, used, marks = None, 0, []
-        for path, m in zip(frame["path"], (frame["ts"].astype("int64") // 60_000_000 if frame["ts"].dtype == "datetime64[us]" else frame["ts"].astype("int64") // 60_000_000_000), strict=True):
-            if m != minute:
-                minute, used = m, 0
+        now, used, marks = None, 0, []
+        for path, m in zip(frame["path"], frame["m"], strict=True):
+            if m != now:
+                now, used = m, 0
             anchor = anchors.get(path)
             ok = (anchor is None or m - anchor >= REPEAT_MINUTES) and used < PER_MINUTE
             if ok:
                 anchors[path], used = m, used + 1
             marks.append(ok)
-        return frame.assign(counted=marks)[["client", "path", "ts", "event_id", "counted"]]
+        return frame.loc[marks, ["client", "path", "ts", "event_id"]]
+
+    schema = each.select("client", "path", "v.ts", "v.event_id").schema
+    busy = each.join(crowded, ["client", "day"], "left_semi").select("client", "day", "path", "m", "v.ts", "v.event_id")
+    return single.unionByName(busy.groupBy("client", "day").applyInPandas(fold, schema))
 
-    return views.withColumn("day", local_day(F.col("ts"))).groupBy("client", "day").applyInPandas(fold, schema)
 
+def counted(views: DataFrame) -> DataFrame:
+    """All views, with ``counted`` for those that count."""
+    hits = first_views(views).select("client", "path", "ts", "event_id", F.lit(True).alias("counted"))
+    return views.join(hits, ["client", "path", "ts", "event_id"], "left").withColumn("counted", F.col("counted").isNotNull())

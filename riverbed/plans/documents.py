@@ -44,13 +44,13 @@ def title_copies(t: Tables) -> DataFrame:
     return titled(t).filter(F.length("title") >= 8).groupBy(F.lower("title").alias("title")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.count_distinct("source").alias("sources")).filter("copies > 1")
 
 
-@query(f"""WITH {_TITLED}, n AS (SELECT source, lang, title, min(doc_id) AS id FROM d WHERE length(title) BETWEEN 8 AND 60 GROUP BY 1, 2, 3),
+@query(rf"""WITH {_TITLED}, k AS (SELECT doc_id, source, lang, substring(regexp_replace(lower(coalesce(title, '')), '[^\p{{L}}\p{{N}}]', '', 'g'), 1, 300) AS title FROM d),
+n AS (SELECT source, lang, title, min(doc_id) AS id FROM k WHERE length(title) > 1 GROUP BY 1, 2, 3),
 g AS (SELECT *, list_distinct(list_transform(generate_series(1, length(title) - 1), lambda i: substring(title, i, 2))) AS grams FROM n),
 p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.grams, y.grams)) / len(list_distinct(list_concat(x.grams, y.grams))), 6) AS score FROM g x JOIN g y ON x.source = y.source AND x.lang = y.lang AND x.id < y.id)
-SELECT a, b, score FROM p WHERE score >= 0.3""")
+SELECT a, b, score FROM p WHERE score >= 0.6""")
 def bigram_pairs(t: Tables) -> DataFrame:
-    short = titled(t).filter(F.length("title").between(8, 60)).select(F.col("doc_id").alias("id"), "source", "lang", "title")
-    return similarity.title_pairs(short, ["source", "lang"], 0.3)
+    return similarity.title_pairs(titled(t).select(F.col("doc_id").alias("id"), "source", "lang", "title"), ["source", "lang"], 0.6)
 
 
 @query()
@@ -66,8 +66,8 @@ def cosine_topk(t: Tables) -> DataFrame:
     return similarity.nearest(vectors, vectors.filter("id % 100 = 0"), k=10, least=0.1)
 
 
-@query("""SELECT page_id, 'https://' || regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^(www\\.|m\\.)', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') ||
-  CASE WHEN regexp_extract(url, '[?&](page=[0-9]+)', 1) <> '' THEN '?' || regexp_extract(url, '[?&](page=[0-9]+)', 1) ELSE '' END AS identity FROM pages""")
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '[?&](page=[0-9]+)', 1) AS page FROM pages)
+SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '') || CASE WHEN page = '' AND path <> '/' THEN regexp_replace(path, '/$', '') ELSE path END || CASE WHEN page <> '' THEN '?' || page ELSE '' END AS identity FROM p""")
 def url_identity(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text_.normalize_url_udf("url").alias("identity"))
 
@@ -83,14 +83,6 @@ def pii_mask(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text_.mask_personal(F.col("text")).alias("text"))
 
 
-@query("""WITH s AS (SELECT doc_id, source, lang, CASE WHEN n_chars > 3000 THEN 60 WHEN n_chars > 1000 THEN 40 ELSE 15 END + CASE WHEN lang = 'en' THEN 5 ELSE 0 END AS score FROM documents)
-SELECT doc_id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 60 THEN 'selected' WHEN score >= 20 THEN 'listed' ELSE 'held' END AS gate FROM s""")
-def listing_gate(t: Tables) -> DataFrame:
-    score = F.when(F.col("n_chars") > 3000, 60).when(F.col("n_chars") > 1000, 40).otherwise(15) + F.when(F.col("lang") == "en", 5).otherwise(0)
-    scored = t.documents.select("doc_id", score.alias("score"))
-    return scored.withColumn("gate", F.when(F.col("score") >= 60, "selected").when(F.col("score") >= 20, "listed").otherwise("held"))
-
-
 @query(r"""WITH m AS (SELECT conv_id, turn, role, sha256(trim(regexp_replace(coalesce(role, ''), '\s+', ' ', 'g')) || chr(1) || trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS content_hash FROM conversations),
 f AS (SELECT *, coalesce(lag(content_hash) OVER (PARTITION BY conv_id ORDER BY turn) = content_hash, false) AS same FROM m)
 SELECT conv_id, turn, role, content_hash, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS revision FROM f WHERE NOT same""")
@@ -119,6 +111,14 @@ def page_text(t: Tables) -> DataFrame:
     return html.readable(t.pages)
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS paid, CAST(l_quantity AS INTEGER) AS n FROM lineitem),
+p AS (SELECT *, CAST(power(10, greatest(length(CAST(paid AS VARCHAR)) - 3, 0)) AS BIGINT) AS step FROM l)
+SELECT l_orderkey, l_linenumber, 'usd:' || ((2 * paid + step) // (2 * step) * step) AS amount FROM p UNION ALL SELECT l_orderkey, l_linenumber, 't:' || (n * 1000000) FROM p""")
 def key_amounts(t: Tables) -> DataFrame:
+    said = F.concat(F.lit("Paid US$"), F.floor("l_extendedprice").cast("string"), F.lit(" in 1996 for "), F.col("l_quantity").cast("int").cast("string"), F.lit(" million tonnes"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.explode(text_.key_amounts_udf(said)).alias("amount"))
+
+
+@query()
+def document_amounts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(text_.key_amounts_udf("text")).alias("amount"))

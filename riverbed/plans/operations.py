@@ -91,12 +91,20 @@ def comparable_heat(t: Tables) -> DataFrame:
     return rules.cohort_heat(signals(t).join(since, "participant"), as_of(t))
 
 
-@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'a' ELSE 'b' END AS tier, least(10.0, greatest(0.0, p_size / 4.0)) AS u, least(10.0, greatest(0.0, p_retailprice / 200.0)) AS v, p_partkey % 10 = 0 AS noise, p_partkey % 25 = 0 AS unusable FROM part),
-s AS (SELECT p_partkey, tier, round(CASE WHEN unusable THEN 0.0 WHEN noise THEN least((u * 2.0 + v) / 3.0, 3.0) ELSE (u * 2.0 + v) / 3.0 END, 6) AS attention FROM x)
-SELECT p_partkey, attention, attention >= CASE tier WHEN 'a' THEN 7.0 ELSE 4.0 END AS selected FROM s""")
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'a' WHEN p_size > 5 THEN 'b' ELSE 'c' END AS tier, CASE WHEN p_size % 2 = 0 THEN 'even' WHEN p_size % 3 = 0 THEN 'third' ELSE 'other' END AS kind,
+  floor(least(10.0, greatest(0.0, p_size / 4.0 + k)) * 10 + 0.5) AS u, floor(least(10.0, greatest(0.0, CAST(p_retailprice AS DOUBLE) / 200.0 - k)) * 10 + 0.5) AS v,
+  CASE p_size % 7 WHEN 0 THEN 30 WHEN 1 THEN 40 WHEN 2 THEN 55 ELSE 100 END AS cap, p_size % 11 = 0 AS unusable FROM part, range(2) g(k) WHERE k = 0 OR p_size % 4 = 0),
+s AS (SELECT p_partkey, tier, CAST(floor(least(CASE kind WHEN 'even' THEN u * 6.0 + v * 4.0 WHEN 'third' THEN u * 3.0 + v * 7.0 END, cap * 10, CASE WHEN unusable THEN 300 ELSE 1000 END) + 0.5) AS BIGINT) AS tenths FROM x WHERE kind <> 'other' UNION ALL SELECT p_partkey, tier, NULL FROM x WHERE kind = 'other')
+SELECT p_partkey, tier, CAST(sum(tenths) AS BIGINT) AS tenths, count(tenths) AS votes, coalesce(count(tenths) > 0 AND sum(tenths) >= round(CASE tier WHEN 'a' THEN 60.0 WHEN 'b' THEN 35.5 END * count(tenths) * 10), false) AS selected FROM s GROUP BY 1, 2""")
 def attention_score(t: Tables) -> DataFrame:
-    axes = t.part.select("p_partkey", F.when(F.col("p_size") > 25, "a").otherwise("b").alias("tier"), (F.col("p_size") / 4.0).alias("u"), (F.col("p_retailprice") / 200.0).alias("v"), (F.col("p_partkey") % 10 == 0).alias("noise"), (F.col("p_partkey") % 25 == 0).alias("unusable"))
-    return ranks.attention(axes, {"u": 2.0, "v": 1.0}, {"a": 7.0, "b": 4.0}).select("p_partkey", "attention", "selected")
+    size, k = F.col("p_size"), F.col("k")
+    votes = t.part.withColumn("k", F.explode(F.when(size % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    noise = F.when(size % 7 == 0, "out_of_scope").when(size % 7 == 1, "price_tick").when(size % 7 == 2, "junior_routine")
+    tier = F.when(size > 25, "a").when(size > 5, "b").otherwise("c")
+    kind = F.when(size % 2 == 0, "even").when(size % 3 == 0, "third").otherwise("other")
+    axes = votes.select("p_partkey", tier.alias("tier"), kind.alias("kind"), (size / 4.0 + k).alias("u"), (F.col("p_retailprice").cast("double") / 200.0 - k).alias("v"), noise.alias("noise"), (size % 11 == 0).alias("unusable"))
+    scored = ranks.attention(axes, {"even": {"u": 6, "v": 4}, "third": {"u": 3, "v": 7}})
+    return ranks.selected(scored, "p_partkey", {"a": 60.0, "b": 35.5})
 
 
 @query("""WITH e AS (SELECT strftime(o_orderdate, '%Y-%m') AS issue, o_custkey % 100 AS story, o_orderkey AS id, o_totalprice / 5000 AS score, o_custkey % 9 AS participants, o_orderpriority = '1-URGENT' AS official, o_orderstatus = 'P' AS follow_up FROM orders),

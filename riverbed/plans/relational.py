@@ -109,13 +109,14 @@ def seeded_sample(t: Tables) -> DataFrame:
     return latest.seeded_sample(t.part.select("p_partkey"), "p_partkey", "audit-1", 40)
 
 
-@query("""WITH RECURSIVE p AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 OR p_partkey <= 5 THEN NULL ELSE p_partkey - 1 - p_partkey % 4 END AS target FROM part),
-c AS (SELECT node, node AS here, 0 AS hops FROM p UNION ALL SELECT c.node, p.target, hops + 1 FROM c JOIN p ON p.node = c.here WHERE p.target IS NOT NULL AND hops < 16)
-SELECT node, arg_max(here, hops) AS root FROM c GROUP BY 1""")
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 40 = 0 OR p_partkey <= 5 THEN NULL WHEN p_partkey % 41 = 0 THEN p_partkey + 1 WHEN p_partkey % 41 = 1 THEN p_partkey - 1 WHEN p_partkey % 97 = 0 THEN -1 ELSE p_partkey - 1 - p_partkey % 4 END AS target FROM part),
+c AS (SELECT node, node AS here, 0 AS hops FROM p UNION ALL SELECT c.node, p.target, hops + 1 FROM c JOIN p ON p.node = c.here WHERE p.target IS NOT NULL AND hops < 10)
+SELECT c.node, max(CASE WHEN p.node IS NOT NULL AND p.target IS NULL THEN c.here END) AS root FROM c LEFT JOIN p ON p.node = c.here GROUP BY 1""")
 def merge_chain(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    pointers = t.part.select(k.alias("node"), F.when((k % 3 == 0) | (k <= 5), None).otherwise(k - 1 - k % 4).alias("target"))
-    return graphs.resolve_chain(pointers, hops=16)
+    target = F.when((k % 40 == 0) | (k <= 5), None).when(k % 41 == 0, k + 1).when(k % 41 == 1, k - 1).when(k % 97 == 0, F.lit(-1)).otherwise(k - 1 - k % 4)
+    pointers = t.part.select(k.alias("node"), target.alias("target"))
+    return graphs.resolve_chain(pointers)
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_custkey AS u, o_custkey + 7 * (o_orderkey % 11) AS v FROM orders WHERE o_totalprice > 250000 AND o_orderkey % 11 > 0),

