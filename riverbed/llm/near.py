@@ -39,7 +39,7 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     """``(bucket, id)`` of the band keys that at least two sets share."""
     keys = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    return keys.join(shared, "bucket").select("bucket", "id")
+    return keys.join(shared.hint("merge"), "bucket").select("bucket", "id")
 
 
 def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, plausible: Callable[[Column, Column, float], Column] | None) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +56,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     members = cut(members.select("bucket", "id"), "members")
     ids = members.select("id").distinct()
     if plausible:
-        small = cut(nodes.join(ids, "id", "left_semi").select("id", F.col("n").cast("int").alias("n"), "sketch"), "nodes")
+        small = cut(nodes.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("n").cast("int").alias("n"), "sketch"), "nodes")
         sets = cut(sets_of(small.select("id")), "sets")
     else:
         sets = cut(sets_of(ids), "sets")
@@ -67,20 +67,20 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         likely = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         if plausible:
             sketch = lambda of, name: small.select(F.col("id").alias(of), F.col("sketch").alias(name))
-            likely = likely.join(sketch("a", "sa"), "a").join(sketch("b", "sb"), "b").filter(plausible(F.col("sa"), F.col("sb"), percent / 100))
+            likely = likely.join(sketch("a", "sa").hint("merge"), "a").join(sketch("b", "sb").hint("merge"), "b").filter(plausible(F.col("sa"), F.col("sb"), percent / 100))
         items = lambda of, name: sets.select(F.col("id").alias(of), F.col("items").alias(name))
-        full = likely.select("a", "b", "na", "nb").join(items("a", "ia"), "a").join(items("b", "ib"), "b")
+        full = likely.select("a", "b", "na", "nb").join(items("a", "ia").hint("merge"), "a").join(items("b", "ib").hint("merge"), "b")
         met = full.select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("inter"), (F.col("na") + F.col("nb")).alias("total"))
         return met.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("both")).filter(f"100 * inter >= {percent} * both")
 
     def group_of(df: DataFrame) -> DataFrame:
-        return df.join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id", "left").withColumn("g", F.coalesce("g", "id"))
+        return df.join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")).hint("merge"), "id", "left").withColumn("g", F.coalesce("g", "id"))
 
     def least_common(total: Column) -> Column:
         """The fewest common items of a link between sets of ``total`` items together."""
         return F.ceil(percent * total / (100 + percent)).cast("int")
 
-    now = cut(members.join(small.select("id", "n"), "id").join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket"), "round")
+    now = cut(members.join(small.select("id", "n").hint("merge"), "id").join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).hint("merge"), "bucket"), "round")
     delete(members)
     found: list[DataFrame] = []
     groups = now.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
@@ -89,15 +89,15 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         # the more a set meets others, the nearer it is to the middle of its copies
         scores = now.groupBy("id").agg(F.sum("c").alias("score"))
         leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))
-        lead = now.join(scores, "id").groupBy("bucket").agg(leader.alias("l"), F.min("n").alias("low")).select("bucket", "l.h", "l.nh", "low")
-        star = cut(now.join(lead, "bucket").filter("id <> h").groupBy("h", "id").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("nh").alias("nh")), "stars")
+        lead = now.join(scores.hint("merge"), "id").groupBy("bucket").agg(leader.alias("l"), F.min("n").alias("low")).select("bucket", "l.h", "l.nh", "low")
+        star = cut(now.join(lead.hint("merge"), "bucket").filter("id <> h").groupBy("h", "id").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("nh").alias("nh")), "stars")
         # all that is linked with its leader is one component
         links = cut(verified(star.select(F.col("id").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb"))), "links")
         found.append(links)
         groups = _joined(groups, links)
-        grouped = group_of(star).join(links.select(F.col("a").alias("id"), F.col("b").alias("h"), F.lit(True).alias("linked")), ["id", "h"], "left").withColumn("linked", F.col("linked").isNotNull())
+        grouped = group_of(star).join(links.select(F.col("a").alias("id"), F.col("b").alias("h"), F.lit(True).alias("linked")).hint("merge"), ["id", "h"], "left").withColumn("linked", F.col("linked").isNotNull())
         open_ = grouped.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("size")).filter("g1 <> g2").select("h", "size")
-        left = cut(grouped.join(open_, "h"), "open")
+        left = cut(grouped.join(open_.hint("merge"), "h"), "open")
         delete(star)
         # a small group's pairs, each once
         few = left.filter(F.col("size") <= few_now).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("id", "n", "g"))).alias("all"))
@@ -110,7 +110,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
             groups = _joined(groups, links)
             break
         # what each member has and its leader has not
-        apart = many.join(sets.select("id", "items"), "id").join(sets.select(F.col("id").alias("h"), F.col("items").alias("ih")), "h")
+        apart = many.join(sets.select("id", "items").hint("merge"), "id").join(sets.select(F.col("id").alias("h"), F.col("items").alias("ih")).hint("merge"), "h")
         rest = F.array_except("items", "ih")
         apart = apart.select("h", "nh", "id", "n", "g", "linked", "low", rest.alias("rest"))
         needed = lambda least: least_common(F.col("n") + F.greatest(least, F.ceil(percent * F.col("n") / 100).cast("int"))) - (F.col("n") - F.size("rest"))
@@ -118,21 +118,21 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         apart = cut(apart.withColumn("apart", ~F.col("linked")), "apart")
         items = apart.select("h", "id", "n", "g", "apart", F.explode("rest").alias("e"))
         shared = items.groupBy("h", "e").agg(F.count(F.lit(1)).alias("c"), (F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks")).filter("c > 1 and seeks").select("h", "e", "c", "mixed")
-        common = cut(items.join(shared, ["h", "e"]), "common")
+        common = cut(items.join(shared.hint("merge"), ["h", "e"]), "common")
         seekers = common.filter("apart").groupBy("h", "id").agg(F.sort_array(F.collect_list(F.struct("c", "e", "mixed"))).alias("own"))
-        seekers = seekers.join(apart.select("h", "id", "n", "g", F.size("rest").alias("all"), "need"), ["h", "id"])
+        seekers = seekers.join(apart.select("h", "id", "n", "g", F.size("rest").alias("all"), "need").hint("merge"), ["h", "id"])
         take = F.col("all") - F.col("need") + 1 - (F.col("all") - F.size("own"))
         seekers = seekers.filter(take > 0).select("h", "id", "n", "g", F.lit(True).alias("apart"), F.explode(F.slice("own", 1, take)).alias("o")).filter("o.mixed").select("h", "id", "n", "g", "apart", F.col("o.e").alias("e"))
         others = common.filter("mixed and not apart").select("h", "id", "n", "g", "apart", "e")
         after = seekers.unionByName(others).select(F.xxhash64("h", "e").alias("bucket"), "id", "n", "g", "apart")
         # partners smaller than the leader, for those that may have them
-        again = now.join(lead, "bucket").filter("id <> h").join(apart.filter("again").select("h", "id", F.lit(True).alias("apart")), ["h", "id"], "left")
+        again = now.join(lead.hint("merge"), "bucket").filter("id <> h").join(apart.filter("again").select("h", "id", F.lit(True).alias("apart")).hint("merge"), ["h", "id"], "left")
         again = group_of(again.filter("apart or n < nh")).select(F.xxhash64("bucket", F.lit("again")).alias("bucket"), "id", "n", "g", F.col("apart").isNotNull().alias("apart"))
         after = after.unionByName(again)
         mixed = after.groupBy("bucket").agg((F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks"), F.count(F.lit(1)).alias("c")).filter("mixed and seeks").select("bucket", "c")
-        following = cut(after.join(mixed, "bucket").select("bucket", "id", "n", "c"), "round")
+        following = cut(after.join(mixed.hint("merge"), "bucket").select("bucket", "id", "n", "c"), "round")
         delete(now, left, apart, common)
-        fewer = cut(sets.join(following.select("id").distinct(), "id", "left_semi"), "sets")
+        fewer = cut(sets.join(following.select("id").distinct().hint("merge"), "id", "left_semi"), "sets")
         delete(sets)
         sets = fewer
         groups, now = _joined(groups, links), following
