@@ -31,7 +31,7 @@ from riverbed.llm.common import cut, delete
 from riverbed.llm.components import components
 
 #: So many members of a leader's group at most are compared with each other in the first
-#: round, and half as many more in each further one, when ever fewer members are left.
+#: round, and twice as many in each further one, when ever fewer members are left.
 FEW = 32
 
 
@@ -85,7 +85,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     found: list[DataFrame] = []
     groups = now.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     for turn in itertools.count():
-        few_now = int(FEW * 1.5**turn)
+        few_now = FEW * 2**turn
         # the more a set meets others, the nearer it is to the middle of its copies
         scores = now.groupBy("id").agg(F.sum("c").alias("score"))
         leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))

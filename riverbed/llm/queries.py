@@ -117,7 +117,7 @@ s AS (
     CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, coalesce(total, 0) AS total
   FROM d LEFT JOIN ln USING (r) LEFT JOIN cov USING (r) LEFT JOIN sc USING (r)
 ), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND total >= -7000 * greatest(2 * n_words - 1, 0) AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND total >= -1000 * greatest(2 * n_words - 1, 0) AS kept FROM f
 """
 
 OP9_SQL = r"""
