@@ -94,7 +94,7 @@ class _Packer:
     """Packs pieces ``(doc row, start, ids)`` of one split; see the module's docstring."""
 
     def __init__(self, tiers: tuple[int, ...], step_tokens: int, first_sequence: int):
-        self.tiers, self.step_tokens, self.next = tiers, step_tokens, first_sequence
+        self.tiers, self.step_tokens, self.next, self.first = tiers, step_tokens, first_sequence, first_sequence
         self.rest: dict[int, list[tuple[int, int]]] = {t: [] for t in tiers}  # (length, key), ascending
         self.pieces: dict[int, tuple] = {}
         self.key = 0
@@ -104,7 +104,7 @@ class _Packer:
 
     def emit(self, pieces: list[tuple], size: int) -> None:
         tier = min((t for t in self.tiers if t >= size), default=size)
-        step = self.made.setdefault(tier, 0) * tier // self.step_tokens
+        step = self.first + self.made.setdefault(tier, 0) * tier // self.step_tokens
         self.made[tier] += 1
         at = 0
         for doc, start, ids, total in pieces:
@@ -172,6 +172,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, ranks_file: str | None
 
     Returns a row for each piece: ``id_col, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier, step_group``.  ``tiers`` are powers of two, longest first.
+    A step group is a number of sequences of one tier with ``step_tokens`` tokens together;
+    only a split's last group of a tier may be shorter.
     A null or empty text is a document of one id.  Repeated rows are packed each; a null
     id is kept; further columns are ignored; an empty table gives no rows.
     """

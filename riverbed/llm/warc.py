@@ -6,7 +6,9 @@ and readers move them through any store; ``content`` is a byte-exact ``.warc.gz`
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -90,19 +92,40 @@ def _frame(parts: Iterator[bytes]) -> tuple[dict[str, str], bytes]:
     return headers, bytes(buffer[:size])
 
 
+def _agrees(stated: str | None, data: bytes) -> bool:
+    """Whether a stated SHA-1 (hexadecimal or Base32) is that of the data; other digests are not verified."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower() != "sha1":
+        return True
+    found = hashlib.sha1(data)
+    return value.lower() == found.hexdigest() or value.upper() == base64.b32encode(found.digest()).decode()
+
+
+def _page(header: str | None) -> int | None:
+    """The page of a record's name ``<urn:page:N>``; None for other names."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", header or "")
+    return int(found[1]) if found else None
+
+
 def records(content: bytes) -> Iterator[dict]:
-    """Read an archive in sequence, verifying every digest."""
+    """Read an archive in sequence, verifying every digest and length that it states.
+
+    Records without HTTP headers (``warcinfo`` and the like) are payload as a whole.
+    """
     for member in Members(content):
         headers, block = _frame(member)
-        if f"sha1:{hashlib.sha1(block).hexdigest()}" != headers["warc-block-digest"]:
+        if not _agrees(headers.get("warc-block-digest"), block):
             raise ValueError("block digest differs")
-        http, _, payload = block.partition(_END * 2)
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
-        kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-        if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["content-length"])):
+        http, payload, fields = b"", block, {}
+        if block.startswith(b"HTTP/"):
+            http, _, payload = block.partition(_END * 2)
+            fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+        kind, stated = headers["warc-type"], headers.get("warc-payload-digest")
+        size = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else len(payload)
+        if kind == "response" and (not _agrees(stated, payload) or len(payload) != size):
             raise ValueError("payload digest differs")
-        number = lambda h: int(headers[h][10:-1]) if h in headers else None  # noqa: E731  <urn:page:N>
-        yield {"page_id": number("warc-record-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"), "payload_digest": digest, "payload_bytes": int(fields["content-length"]), "payload": payload if kind == "response" else None}
+        digest = stated.partition(":")[2] if stated else hashlib.sha1(payload).hexdigest()
+        yield {"page_id": _page(headers.get("warc-record-id")), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": _page(headers.get("warc-refers-to")), "payload_digest": digest, "payload_bytes": size, "payload": payload if kind == "response" else None}
 
 
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
@@ -143,7 +166,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False, content_col:
     """Read archives (rows of ``write_archives``, or Spark's ``binaryFile`` format) record by record.
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to`` and, if
-    asked, ``url`` and ``payload``.  A record with a wrong length or digest raises.
+    asked, ``url`` and ``payload``.  A record with a wrong length or digest raises; digests
+    that are not stated are not asked for, and foreign records have no page_id.
     """
     schema = T.StructType([*_READ.fields, *([T.StructField("url", T.StringType()), T.StructField("payload", T.BinaryType())] if with_payload else [])])
 

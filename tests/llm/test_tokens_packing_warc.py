@@ -97,3 +97,26 @@ def test_a_broken_archive_is_refused():
     for bad in (_member(raw)[:-9], _member(raw.replace(b"hello", b"hellO")), _member(raw[:-4]), _member(raw + b"x")):
         with pytest.raises((ValueError, zlib.error)):
             list(records(bad))
+
+
+def test_foreign_records_need_no_digests():
+    """A warcinfo, a Base32 digest and a response without a length, in one archive."""
+    import base64
+    import gzip
+    import hashlib
+
+    from riverbed.llm.warc import records
+
+    def member(kind, block, **more):
+        lines = ["WARC/1.1", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", f"Content-Length: {len(block)}", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items())]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    payload = b"<p>x</p>"
+    b32 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    reply = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + payload
+    got = list(records(member("warcinfo", b"software: x\r\n") + member("response", reply, WARC_Payload_Digest=f"sha1:{b32}")))
+    assert [(r["record_type"], r["page_id"], r["payload_bytes"]) for r in got] == [("warcinfo", None, 13), ("response", None, 8)]
+    import pytest
+
+    with pytest.raises(ValueError):
+        list(records(member("response", reply, WARC_Payload_Digest="sha1:" + "A" * 32)))
