@@ -1,7 +1,11 @@
 """The corpus pipeline: filter, clean, deduplicate, decontaminate and pack documents.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept;
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``, further columns included, whatever
+their names.  An empty table gives an empty table.  A null text is an empty text: the
+quality rules reject it; the stages behind them, called by themselves, keep it.  Rows with a
+null id are judged by the quality rules like any other, have no copies, hold no items and
+are packed.  Repeated rows are judged each; those of one id are one document.
 """
 
 from __future__ import annotations
