@@ -40,3 +40,14 @@ def overlap_scores(direct: DataFrame, body: DataFrame, key: str, direct_points:
     a = direct.select(key).distinct().withColumn("_d", F.lit(direct_points))
     b = body.select(key).distinct().withColumn("_b", F.lit(body_points))
     return a.join(b, key, "full_outer").select(key, (F.coalesce("_d", F.lit(0)) + F.coalesce("_b", F.lit(0))).alias("points"))
+
+
+def same_version(left: DataFrame, right: DataFrame, keys: list[str], null_safe: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Join on keys and on versions that may be unknown on both sides (null meets null)."""
+    l, r = left.alias("l"), right.alias("r")  # noqa: E741
+    parts = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in null_safe or ()]
+    match = parts[0]
+    for p in parts[1:]:
+        match = match & p
+    shared = {*keys, *(null_safe or ())}
+    return l.join(r, match, how).select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in shared))

@@ -153,8 +153,8 @@ def top_facts(t: Tables) -> DataFrame:
 
 @query("""WITH c AS (SELECT l_orderkey AS query, l_linenumber AS id, l_partkey AS fact, CAST(l_discount AS DOUBLE) AS score, l_shipdate AS seen, l_quantity = 50 AS same_url, l_quantity = 49 AS same_hash, CASE WHEN l_quantity = 48 THEN l_suppkey % 7 END AS apart_bits, l_quantity = 47 AS certain, l_quantity > 25 AS date_apart FROM lineitem),
 q AS (SELECT o_orderkey AS query, CASE WHEN o_orderpriority = '5-LOW' THEN 'late' END AS gate, o_orderstatus <> 'P' AS specific, o_custkey % 5 > 0 AND o_orderpriority <> '4-NOT SPECIFIED' AS has_vector, o_orderstatus = 'F' AS scope_known FROM orders),
-l AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seen, id) AS n FROM c WHERE same_url) WHERE n = 1), h AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seen, id) AS n FROM c WHERE same_hash) WHERE n = 1),
-k AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY apart_bits, score DESC, id) AS n FROM c WHERE apart_bits IS NOT NULL) WHERE n = 1), s AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM c WHERE certain) WHERE n = 1),
+l AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seen, id, fact) AS n FROM c WHERE same_url) WHERE n = 1), h AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seen, id, fact) AS n FROM c WHERE same_hash) WHERE n = 1),
+k AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY apart_bits, score DESC, id, fact) AS n FROM c WHERE apart_bits IS NOT NULL) WHERE n = 1), s AS (SELECT query, fact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id, fact) AS n FROM c WHERE certain) WHERE n = 1),
 p AS (SELECT query, bool_and(date_apart) AS apart FROM c GROUP BY 1)
 SELECT q.query, CASE WHEN gate IS NOT NULL THEN 'not_judged' WHEN l.query IS NOT NULL OR (specific AND h.query IS NOT NULL) OR k.query IS NOT NULL OR s.query IS NOT NULL THEN 'same_fact' WHEN apart OR NOT has_vector THEN 'undecided' WHEN p.query IS NULL AND scope_known THEN 'new_event' ELSE 'undecided' END AS verdict,
   CASE WHEN gate IS NOT NULL THEN gate WHEN l.query IS NOT NULL THEN 'same_url' WHEN specific AND h.query IS NOT NULL THEN 'content_hash' WHEN k.query IS NOT NULL THEN 'fingerprint' WHEN s.query IS NOT NULL THEN 'certain_duplicate' WHEN apart THEN 'date_apart' WHEN NOT has_vector THEN 'vector_missing' WHEN p.query IS NULL THEN 'no_candidate' ELSE 'similar_unsure' END AS rule,

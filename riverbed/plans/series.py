@@ -12,11 +12,11 @@ from riverbed.plans.registry import Tables, query
 def prices(t: Tables) -> DataFrame:
     """Parts as series, order months as periods, order lines as fetched versions."""
     both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.select((F.col("l_partkey") % 200).alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).cast("decimal(18,2)").alias("value"), F.col("l_shipdate").alias("first_fetched"), F.col("o_orderdate").alias("released"), F.format_string("%012d-%d", "l_orderkey", "l_linenumber").alias("label"))
+    return both.select((F.col("l_partkey") % 200).alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).cast("decimal(18,2)").alias("value"), F.col("l_shipdate").alias("first_fetched"), F.col("o_orderdate").alias("released"), F.format_string("%012d-%d-%09d", "l_orderkey", "l_linenumber", "l_partkey").alias("label"))
 
 
 _PRICES = """p AS (SELECT l_partkey % 200 AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(floor(l_extendedprice / l_quantity * 100) / 100 AS DECIMAL(18,2)) AS value,
-  l_shipdate AS first_fetched, o_orderdate AS released, printf('%012d-%d', l_orderkey, l_linenumber) AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  l_shipdate AS first_fetched, o_orderdate AS released, printf('%012d-%d-%09d', l_orderkey, l_linenumber, l_partkey) AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, period ORDER BY first_fetched DESC, released DESC NULLS LAST, label DESC) AS n FROM p) WHERE n = 1)"""
 
 
