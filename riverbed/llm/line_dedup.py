@@ -107,12 +107,13 @@ def line_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
         texts = lines.select("doc", *_keys(F.col("line")), "line").join(wanted, ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2", "id"])
         return texts.select("id", shingles(F.col("line")).alias("items"))
 
-    _, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, None)
+    links, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, None)
+    delete(links)
     named = nodes.select("id", "h1", "h2", "first", "copies").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     several = named.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     keeper = several.groupBy("component").agg(F.min("first").alias("keeper"))
     out = cut(several.join(keeper, "component").select("h1", "h2", "component", "keeper"), "groups")
-    delete(nodes)
+    delete(nodes, groups)
     return out
 
 

@@ -83,7 +83,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     now = cut(members.join(small.select("id", "n").hint("merge"), "id").join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).hint("merge"), "bucket"), "round")
     delete(members)
     found: list[DataFrame] = []
-    groups = now.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    groups = now.sparkSession.createDataFrame([], "node long, component long")
     for turn in itertools.count():
         few_now = FEW * 2**turn
         # the more a set meets others, the nearer it is to the middle of its copies
@@ -150,4 +150,6 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return groups
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(edges.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    after = components(edges.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    delete(groups)
+    return after

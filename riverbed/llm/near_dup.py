@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riverbed.llm.common import cut, text_of, words_of
+from riverbed.llm.common import cut, delete, text_of, words_of
 from riverbed.llm.near import near_links, shared_buckets
 
 BANDS, ROWS = 32, 8
@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     def sets_of(ids: DataFrame) -> DataFrame:
         return shingle_sets(with_words(texts.join(ids, "id", "left_semi")), words).dropDuplicates(["id"])
 
-    _, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, plausible)
+    links, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, plausible)
+    delete(links)
     named = first.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     # a set that stands alone and has one row needs no join; its name is the row's own id
     several = named.join(usable.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), ["k1", "k2"]).filter("lo <> hi or component <> lo").select("k1", "k2", "component")
