@@ -17,6 +17,7 @@ size, each with one pass over the documents; nothing of a document is shuffled.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +36,16 @@ RUN, NEXT, EVERY = 3, 1, 32
 SIZES, PLACES, REPEATS = (32, 48), 10, 24
 #: Items of fewer bytes are met by their unchanged parts.
 SHORT = 80
-#: Bits of a task's tables of pieces and keys.
-PIECE_BITS, KEY_BITS = 22, 24
+#: Bits of a task's tables of pieces and of the keys of one repeat.
+PIECE_BITS, KEY_BITS = 22, 20
 #: Bytes of items in a block.
 BLOCK = 1 << 17
 #: Meetings whose items would begin in so many bytes are confirmed together.
 STEP = 32
 #: Stretches of so many bytes are tried for all items that meet them.
 STRETCH = 512
-#: Size and hash bits of the q-grams that a stretch is tried by.
-GRAM, GRAM_BITS = 7, 16
+#: Size and hash bits of the q-grams that a stretch is tried by, and how many counts are held at a time.
+GRAM, GRAM_BITS, COUNTS = 7, 16, 1 << 22
 #: Bytes of text that are searched at a time.
 SLICE = 1 << 21
 
@@ -130,12 +131,19 @@ def packed(data: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` bytes (8 at most) from each place, as one number."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(data) - size + 1, np.uint64)
-    for k in range(size):
-        out = out << np.uint64(8) | data[k : len(data) - size + 1 + k]
+    out, have = data.astype(np.uint64), 1
+    while have < size:  # each step joins two numbers, which overlap in the last one
+        more = min(have, size - have)
+        out = out[:-more] << np.uint64(8 * more) | out[more:] & np.uint64((1 << 8 * more) - 1)
+        have += more
     return out
 
 
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``first`` and are so long, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     return (_mix(packed(data, GRAM)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
@@ -156,15 +164,15 @@ class _Postings:
     def _slot(key: np.ndarray) -> np.ndarray:
         return (_mix(key) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
-    def meet(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, item and place in the item for all that has an equal key."""
+    def meet(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the key, item and place in the item for all that has an equal key."""
         on = np.flatnonzero(self.hit[self._slot(key)]) if len(self.key) else np.zeros(0, np.int64)
         j = np.minimum(np.searchsorted(self.key, key[on]), len(self.key) - 1)
         same = self.key[j] == key[on] if len(on) else np.zeros(0, bool)
         on, j = on[same], j[same]
         n = self.first[j + 1] - self.first[j]
-        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[j], n)
-        return np.repeat(at[on], n), self.item[p], self.off[p]
+        p = spans(self.first[j], n)
+        return np.repeat(on, n), self.item[p], self.off[p]
 
 
 class Block:
@@ -180,12 +188,12 @@ class Block:
         self.need = np.array([len(g) - k * (GRAM - 1 + w) for g, k, w in zip(self.grams, self.most, self.wide, strict=True)])
         self.piece = np.zeros(1 << PIECE_BITS, bool)
         self.exact = [i for i, k in enumerate(self.most) if not k]
-        self.held = np.zeros((1 << GRAM_BITS) + 1, np.uint8)
-        # the items' q-grams by size, ends filled with one that no text has
-        self.table = np.full((len(rows), max(map(len, self.grams))), 1 << GRAM_BITS)
-        for i, g in enumerate(self.grams):
-            self.table[i, : len(g)] = g
-        long, parts = ([], [], []), {}
+        self.held = np.zeros(1 << GRAM_BITS, bool)
+        # for each q-gram the items that hold it, as often as they do
+        code = np.sort(np.concatenate([g * len(rows) + i for i, g in enumerate(self.grams)]))
+        self.gram_item = code % len(rows)
+        self.gram_first = np.searchsorted(code, np.arange((1 << GRAM_BITS) + 1) * len(rows))
+        long, parts = {(size, r): ([], [], []) for size in SIZES for r in range(REPEATS)}, {}
         for i, d in enumerate(self.data):
             if not self.most[i]:
                 continue
@@ -201,36 +209,62 @@ class Block:
             self.piece[pieces(d)] = True
             for size in SIZES:
                 starts = np.arange(len(d) - size + 1)
-                for k in keys(walks(d, starts), size):
-                    long[0].append(k.view(np.uint64))
-                    long[1].append(np.full(len(k), i, np.int32))
-                    long[2].append(starts.astype(np.int32))
-        self.walks, self.parts = _Postings(*long), {size: _Postings(*p) for size, p in parts.items()}
+                for r, k in enumerate(keys(walks(d, starts), size)):
+                    for x, v in zip(long[size, r], (k.view(np.uint64), np.full(len(k), i, np.int32), starts.astype(np.int32)), strict=True):
+                        x.append(v)
+        self.walks, self.parts = {key: _Postings(*p) for key, p in long.items() if p[0]}, {size: _Postings(*p) for size, p in parts.items()}
         self.longest = max(map(len, self.data))
 
     def _meetings(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, item and the STEP bytes in which the item would begin, each once."""
         found, wide = [np.zeros(0, np.int64)], len(data) + self.longest
 
-        def add(at: np.ndarray, item: np.ndarray, off: np.ndarray) -> np.ndarray:
+        def all_met(at: np.ndarray, keyed: Iterator[tuple[_Postings, np.ndarray]]) -> None:
             doc = np.searchsorted(begins, at, side="right") - 1
-            step = (at - begins[doc] - off + self.longest) // STEP
-            return (doc * len(self.rows) + item) * wide + step
+            base, place = doc * len(self.rows) * wide, at - begins[doc] + self.longest
+            for postings, key in keyed:
+                on, item, off = postings.meet(key)
+                found.append(base[on] + item * np.int64(wide) + (place[on] - off) // STEP)
 
         for size, p in self.parts.items():
             key = packed(data, size)
             for lo in range(0, len(key), 1 << 19):
-                found.append(add(*p.meet(np.arange(lo, min(lo + (1 << 19), len(key))), key[lo : lo + (1 << 19)])))
-        starts = window_starts(self.piece[pieces(data)]) if len(self.walks.key) else np.zeros(0, np.int64)
+                all_met(np.arange(lo, min(lo + (1 << 19), len(key))), iter([(p, key[lo : lo + (1 << 19)])]))
+        starts = window_starts(self.piece[pieces(data)]) if self.walks else np.zeros(0, np.int64)
         for part in np.array_split(starts, len(starts) // 10_000 + 1) if len(starts) else ():
             walk = walks(data, part)
             for size in SIZES:
-                for k in keys(walk, size):
-                    found.append(add(*self.walks.meet(part, k.view(np.uint64))))
+                all_met(part, ((self.walks[size, r], k.view(np.uint64)) for r, k in enumerate(keys(walk, size)) if (size, r) in self.walks))
         code = np.sort(np.concatenate(found))
         code = code[np.diff(code, prepend=-1) != 0]
         return code // wide // len(self.rows), code // wide % len(self.rows), code % wide
 
+    def _enough(self, held: np.ndarray, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which meetings have as many of their item's q-grams in their group's stretch as the edits must leave.
+
+        ``held``: the q-gram at each place, ``known``: the places of those that items have,
+        ``lo, hi``: each group's places, ``group, items``: of each meeting, by group.
+        """
+        out = np.zeros(len(items), bool)
+        first = np.searchsorted(known, lo)
+        size = np.maximum(np.searchsorted(known, hi) - first, 0)
+        most = np.concatenate(([0], np.cumsum(np.diff(self.gram_first)[held[known]])))
+        work = np.maximum(most[first + size] - most[first], max(len(self.rows), COUNTS >> 15))
+        turn = (np.cumsum(work) - 1) // COUNTS
+        for a, b in itertools.pairwise(np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(turn)).tolist()):
+            # at most 2**15 groups at a time, so that a group and a gram are 32 bits
+            of = np.repeat(np.arange(b - a, dtype=np.uint32), size[a:b])
+            code = np.sort(of << np.uint32(GRAM_BITS) | held[known[spans(first[a:b], size[a:b])]].astype(np.uint32))
+            code = code[np.append(True, code[1:] != code[:-1])[: len(code)]].astype(np.int64)
+            gram = code & (1 << GRAM_BITS) - 1
+            n = self.gram_first[gram + 1] - self.gram_first[gram]
+            p = spans(self.gram_first[gram], n)
+            cell = np.repeat(code >> GRAM_BITS, n) * len(self.rows) + self.gram_item[p]
+            counts = np.bincount(cell, minlength=(b - a) * len(self.rows))
+            m = slice(*np.searchsorted(group, (a, b)))
+            out[m] = counts[(group[m] - a) * len(self.rows) + items[m]] >= self.need[items[m]]
+        return out
+
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """``(number of the text, item, edit distance)`` of all items found."""
         gap = bytes(_STEPS)
@@ -242,37 +276,38 @@ class Block:
             yield from ((d, i, 0) for d, t in enumerate(texts) if word in t)
         docs, items, steps = self._meetings(data, begins)
         held, sure = grams(data), set()
-
-        def enough(d: int, lo: int, hi: int, tried: np.ndarray) -> np.ndarray:
-            """Which items have grams enough in a stretch of a document."""
-            own = held[begins[d] + lo : begins[d] + max(lo, min(hi, int(sizes[d])) - GRAM + 1)]
-            self.held[own] = 1
-            found = np.concatenate([self.held[self.table[t]].sum(axis=1, dtype=np.int32) for t in np.array_split(tried, len(tried) // 4096 + 1)])
-            self.held[own] = 0
-            return found >= self.need[tried]
-
+        known = np.flatnonzero(self.gram_first[held + 1] > self.gram_first[held])
         # first by the whole text for all of its meetings at once, then by longer stretches
         room = 4 * max(self.most)
         begin = np.maximum(steps * STEP - self.longest, 0)
         for size in (1 << 62, STRETCH):
             part = begin // size
-            order = np.lexsort((part, docs))
-            docs, items, steps, begin, part = (x[order] for x in (docs, items, steps, begin, part))
-            ends = np.flatnonzero((np.diff(docs, prepend=-1, append=-1) != 0) | (np.diff(part, prepend=-1, append=-1) != 0))
-            left = np.zeros(len(docs), bool)
-            for a, b in zip(ends.tolist(), ends[1:].tolist()):
-                i, back = np.unique(items[a:b], return_inverse=True)
-                lo = max(0, int(part[a]) * size - room)
-                hi = int(begin[a:b].max()) + STEP + self.longest + room
-                left[a:b] = enough(docs[a], lo, hi if size == STRETCH else int(sizes[docs[a]]), i)[back]
+            if size == STRETCH:  # they come by document
+                order = np.lexsort((part, docs))
+                docs, items, steps, begin, part = (x[order] for x in (docs, items, steps, begin, part))
+            new = (np.diff(docs, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)
+            at, group = np.flatnonzero(new), np.cumsum(new) - 1
+            end = sizes[docs[at]]
+            lo = np.maximum(part[at] * size - room, 0) if size == STRETCH else np.zeros(len(at), np.int64)
+            hi = np.minimum(np.maximum.reduceat(begin, at) + STEP + self.longest + room, end) if size == STRETCH and len(at) else end
+            left = self._enough(held, known, begins[docs[at]] + lo, begins[docs[at]] + hi - GRAM + 1, group, items)
             docs, items, steps, begin = (x[left] for x in (docs, items, steps, begin))
+
+        def enough(d: int, lo: int, hi: int, i: int) -> bool:
+            """Whether a stretch of a document holds grams enough of an item."""
+            own = held[begins[d] + lo : begins[d] + max(lo, hi - GRAM + 1)]
+            self.held[own] = True
+            found = np.count_nonzero(self.held[self.grams[i]])
+            self.held[own] = False
+            return found >= self.need[i]
+
         for d, i, s in zip(docs.tolist(), items.tolist(), steps.tolist(), strict=True):
             if (d, i) in sure:
                 continue
             room = self.most[i] * 4
             lo = max(0, s * STEP - self.longest - room)
             hi = min(len(texts[d]), s * STEP - self.longest + STEP + len(self.data[i]) + room)
-            if not enough(d, lo, hi, np.array([i]))[0]:
+            if not enough(d, lo, hi, i):
                 continue
             item, most = self.rows[i][1], self.most[i]
             if best_distance(item, texts[d][lo:hi].decode(errors="ignore"), most) <= most:
