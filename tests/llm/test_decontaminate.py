@@ -55,3 +55,18 @@ def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2000)
     items = [prose(200) for _ in range(40)]
     check(spark, items, [(k, rewritten(t, "head", False)) for k, t in enumerate(items)], 1)
+
+
+def test_counts_in_turns_change_nothing(monkeypatch):
+    items = tuple((k, prose(n)) for k, n in enumerate([40, 70, 90, 150, 240, 390] * 4)) + ((90, "ab"), (91, "短い文章は一字だけ違う" * 12))
+    texts = [prose(60) for _ in range(20)] + [f"{prose(700)} {spread(t)} {prose(900)} {t}" for _, t in items] + ["", "x", prose(30_000)]
+    block, data = decontaminate.Block(items, 0.1), [decontaminate.normal(t) for t in texts]
+    at_once = sorted(block.find(data))
+    monkeypatch.setattr(decontaminate, "COUNTS", 300)
+    assert sorted(block.find(data)) == at_once
+    # the items' own copies are there, and nothing that brute force does not find
+    assert {(20 + k, k) for k in range(len(items))} <= {(d, i) for d, i, _ in at_once}
+    for d, i, e in at_once:
+        item = items[i][1]
+        assert e == best_distance(item, data[d].decode(), len(item)) <= len(item) // 10
+    assert list(block.find(["".encode()])) == []
