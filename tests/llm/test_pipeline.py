@@ -61,3 +61,19 @@ def test_near_stage_keeps_one_of_each_group(spark, planted):
 def test_run(spark, planted):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, planted[0]).count() > 30
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_with_odd_rows(spark, planted, empty):
+    folder, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false" if empty else "doc_id in (0, 1)")
+    lost = docs.selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(lost).selectExpr("*", "1 as row", "'a' as text_", "true as kept", "'b' as id", "2 as bucket")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = cut(stage(spark, docs, folder), "test-odd")
+        assert out.columns == docs.columns
+        assert out.filter("doc_id is null").count() == (0 if empty else 2)
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).filter("doc_id is null").collect()
+    first = [p for p in pieces if p.start == 0]
+    assert len(first) == (0 if empty else 2) and sum(p.length for p in pieces) == sum(p.doc_tokens for p in first)
