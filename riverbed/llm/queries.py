@@ -79,6 +79,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, labels.filter(~held_out(F.col("doc_id")))))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.prefix_trie import prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.cross_polytope import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverbed.llm.codebooks import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
@@ -133,7 +152,56 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-QUERIES = (op1_substring_dedup, op2_chunk_dedup, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_packing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_quality_classifier)
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)"
+
+OP11_SQL = f"""
+WITH crc AS ({_CRC_TABLE}), t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({{'s': md5(length(role)::VARCHAR || ':' || role || text), 'n': length(text)::BIGINT}} ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS ts FROM t GROUP BY 1
+), hd AS (
+  SELECT c, ts, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(c::VARCHAR)), lambda k: ascii(substr(c::VARCHAR, CAST(k + 1 AS BIGINT), 1))::BIGINT)),
+    lambda a, x: xor(a >> 8, tab[1 + xor(a % 256, x)])), 4294967295) % 6 AS h FROM own, crc
+), r AS (SELECT hd.c, list_concat(coalesce(b.ts[1:h], []), hd.ts[h + 1:]) AS ts FROM hd LEFT JOIN own b ON b.c = hd.c - hd.c % 100), p AS (
+  SELECT c, d, len(ts) AS size, list_transform(ts[1:d], lambda x: x.s) AS k, CASE WHEN d > 0 THEN ts[d].n ELSE 0 END AS n FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM r)
+), node AS (
+  SELECT k, d, min(c) AS c, count(*) AS m, any_value(n) AS n, coalesce(string_agg(CASE WHEN size = d THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM p GROUP BY 1, 2
+), kids AS (SELECT k[1:d - 1] AS k, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1), f AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (k)), up AS (
+  SELECT k[1:a] AS k, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((m - 1) * n) AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM f) GROUP BY 1
+)
+SELECT f.c AS conv_id, f.d AS depth, g.c AS parent_conv_id, f.m AS n_convs, f.kids AS n_children, CAST(up.leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN up USING (k) LEFT JOIN f g ON f.d > 0 AND g.k = f.k[1:f.d - 1]
+"""
+
+
+def _op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, round by round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS (
+  SELECT x.r, x.p, arg_min(b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + b.e) AS e,
+    min(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM part x JOIN book{k} b USING (p) GROUP BY 1, 2
+)""")
+        if k < rounds:
+            steps.append(f"""comp{k} AS (
+  SELECT p, e, i, CAST(floor(sum(c)::DOUBLE / count(*)) AS BIGINT) AS c FROM (SELECT n.p, n.e, unnest(x.v) AS c, unnest(range(len(x.v))) AS i FROM near{k} n JOIN part x USING (r, p)) GROUP BY 1, 2, 3
+), book{k + 1} AS (
+  SELECT b.p, b.e, coalesce(f.v, b.v) AS v FROM book{k} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM comp{k} GROUP BY 1, 2) f USING (p, e)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM (SELECT r, v, unnest(range({parts})) AS p FROM kept)),
+book0 AS (SELECT p, r AS e, v FROM part WHERE r < {entries}), {", ".join(steps)},
+sha AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM book{rounds}), coded AS (
+  SELECT r, string_agg(lpad(printf('%x', e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY 1
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM kept JOIN coded USING (r), sha
+"""
+
+
+QUERIES = (op1_substring_dedup, op2_chunk_dedup, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_packing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_quality_classifier, op11_prefix_trie, op12_nearest_vectors, op13_vector_codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -141,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL}
+    return {"op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": _op13_sql()}
