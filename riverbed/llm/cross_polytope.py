@@ -12,7 +12,8 @@ each band, so the nearest direction is the largest inner product.
 Equal vectors are one vector with its smallest ids, as many as an answer can name.  Tables
 come two at a time, which bounds the disk that their copies of the vectors take.  A bucket
 of more than BLOCK vectors falls into blocks, each of which meets the bucket's queries: no
-candidate is dropped and no bucket is one task's.  Candidates are ranked by their inner
+candidate is dropped and no bucket is one task's.  A query carries the least score that can
+still be among its best, so later tables answer only with what is better.  Candidates are ranked by their inner
 products in double precision, summed in one order for all.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import cut, delete
+from riverbed.llm.common import cut, delete, let
 
 TABLES, AT_ONCE = 10, 2
 #: Buckets and probes of a table over so many vectors; others by powers of the ratio.
@@ -46,8 +47,8 @@ def shape_of(vectors: int, wide: int) -> tuple[list[int], int]:
     while buckets > 2 * wide:
         axes.append(wide)
         buckets /= 2 * wide
-    if round(buckets / 2):
-        axes.append(round(buckets / 2))
+    if buckets > 1.5:
+        axes.append(max(1, round(buckets / 2)))
     total = float(np.prod([2.0 * a for a in axes]))
     return axes, int(min(total, np.ceil(PROBES * (total / BUCKETS) ** PROBE_POWER)))
 
@@ -132,8 +133,8 @@ class _Buckets:
         self.vectors.append(v)
         self.ids.append(ids)
 
-    def ask(self, names: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(query, id, score)`` of the nearest ones; ties at the end are all kept."""
+    def ask(self, names: np.ndarray, q: np.ndarray, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(query, id, score)`` of the nearest ones that reach the query's floor; ties at the end are all kept."""
         if not self.ids:
             return
         if self.all is None:
@@ -148,7 +149,10 @@ class _Buckets:
             k = min(self.most, near.shape[1])
             # products of matrices round by place; what may be among the first is summed again
             least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - self.slack * np.sqrt(np.square(part).sum(axis=1))
+            least = np.maximum(least, floors[lo : lo + QUERIES] - self.slack * np.sqrt(np.square(part).sum(axis=1)))
             row, col = np.nonzero(near >= least[:, None])
+            if not len(row):
+                continue
             score = (part[row] * self.all[col]).sum(axis=1)
             order = np.lexsort((-score, row))
             row, col, score = row[order], col[order], score[order]
@@ -181,7 +185,8 @@ def _met(sent: DataFrame, most: int) -> DataFrame:
                     at, block = key, _Buckets(most)
                 v = _matrix(b.column("v").slice(lo, hi - lo))
                 if keys[lo, 5]:
-                    for found in block.ask(b.column("id").slice(lo, hi - lo).to_numpy(zero_copy_only=False), v):
+                    ids, floors = (b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("id", "floor"))
+                    for found in block.ask(ids, v, floors):
                         out.append(found)
                         n += len(found[0])
                 else:
@@ -201,6 +206,11 @@ def _first(found: DataFrame, most: int) -> DataFrame:
     return ranked.groupBy("q", "id").agg(F.first("score").alias("score"))
 
 
+def _floors(best: DataFrame, most: int) -> DataFrame:
+    """``(q, floor)``: the least score that can still be among a query's ``most`` best."""
+    return best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= most).select("q", "floor")
+
+
 def nearest(vectors: DataFrame, asks: Column, count: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The nearest other rows of the rows for which ``asks`` holds.
 
@@ -222,7 +232,7 @@ def nearest(vectors: DataFrame, asks: Column, count: int = 20, id_col: str = "ve
     some = some.withColumns({"k": F.row_number().over(Window.partitionBy("h").orderBy("at")), "asks": F.max("asks").over(Window.partitionBy("h"))}).filter(F.col("k") <= count + 1)
     one = some.groupBy("h").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, count + 1).alias("ids"), F.max("asks").alias("asks")).withColumn("id", F.col("ids")[0])
     most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / most, F.lit(2))))
+    norm = let(most, lambda m: m * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") / m * (x.cast("double") / m))))
     nodes = hashed.select("id", "h", "v").join(one, ["id", "h"]).dropDuplicates(["id", "h"])
     nodes = cut(nodes.select("id", "h", "ids", "asks", "v", F.size("v").alias("wide"), norm.alias("norm"), F.least(F.ceil(F.log2(norm) - 1e-6), F.lit(1023)).cast("int").alias("band")), "vectors")
     # a row for each length and band; bands are at most as many as exponents
@@ -238,7 +248,7 @@ def nearest(vectors: DataFrame, asks: Column, count: int = 20, id_col: str = "ve
 
     def placed(tables: range, asking: bool, slim: bool = False) -> DataFrame:
         """The vectors at their buckets, or the queries at those into which they look; slim: the buckets alone."""
-        own = [] if slim else ["id", "ids", "v"]
+        own = [] if slim else ["id", "ids", "v", "floor"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -264,24 +274,29 @@ def nearest(vectors: DataFrame, asks: Column, count: int = 20, id_col: str = "ve
                 fixed = [pa.array(np.full(len(v) * n, x), pa.int32()) for x in (t, band, wide)]
                 yield pa.RecordBatch.from_arrays([*(of.column(c) for c in own), fixed[0], pa.array(keys.ravel(), pa.int64()), *fixed[1:], pa.array(np.full(len(v) * n, asking))], names=[*own, *place, "query"])
 
-        schema = ["id long", "ids array<long>", f"v {kind}"] * (not slim) + ["t int", "bucket long", "band int", "wide int", "query boolean"]
-        return nodes.filter("asks" if asking else "true").select("id", "ids", "v", "wide", "band").mapInArrow(run, ", ".join(schema))
+        schema = ["id long", "ids array<long>", f"v {kind}", "floor double"] * (not slim) + ["t int", "bucket long", "band int", "wide int", "query boolean"]
+        rows = nodes.withColumn("floor", F.lit(float("-inf")))
+        if asking:
+            rows = nodes.filter("asks")
+            rows = rows.withColumn("floor", F.lit(float("-inf"))) if best is None else rows.join(_floors(best, count + 1), F.col("id") == F.col("q"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        return rows.select("id", "ids", "v", "floor", "wide", "band").mapInArrow(run, ", ".join(schema))
 
     crowded = placed(range(TABLES), False, True).groupBy(place).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK)
     hot = cut(crowded.select(*place, F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "hot")
     few = F.broadcast(hot) if hot.count() <= HOT else hot.hint("merge")
     parts = F.coalesce("parts", F.lit(1))
-    found = []
+    best: DataFrame | None = None
     for begin in range(0, TABLES, AT_ONCE):
         tables = range(begin, min(begin + AT_ONCE, TABLES))
         own = placed(tables, False).join(few, place, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
         asking = placed(tables, True).join(few, place, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         both = own.unionByName(asking).drop("parts").repartition(*place, "part").sortWithinPartitions(*place, "part", "query")
-        found.append(cut(_first(_met(both, count + 1), count + 1), "found"))
-    best = found[0]
-    for f in found[1:]:
-        best = best.unionByName(f)
-    best = _first(best, count + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))).alias("best"))
+        found = _met(both, count + 1)
+        after = cut(_first(found if best is None else found.unionByName(best), count + 1), "found")
+        if best is not None:
+            delete(best)
+        best = after
+    best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))).alias("best"))
     who = names.filter("asks").select(F.col("id").alias("query_id"), "h").join(nodes.select("h", F.col("id").alias("q")), "h").select("query_id", "q")
     others = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, count)
     out = who.join(best, "q").select("query_id", F.posexplode(others).alias("k", "r"))
