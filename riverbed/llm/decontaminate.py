@@ -3,15 +3,17 @@
 The CGK random walk copies a text symbol by symbol, staying or stepping on by a random
 bit for each place and symbol; texts at a small edit distance fall into step again after
 each edit, so their walks differ in few places.  Repeated samples of walk places are the
-LSH keys under which windows of documents meet the items.  Windows of an item begin at
-each of its bytes, so it does not matter which part of it is edited or left out.  Items
-too short for that meet a document where one of their parts stands in it unchanged, of
-one part more than there may be edits: no match of theirs is missed.
-
-Windows of documents begin where a run of eight-byte pieces of items begins.  A meeting
-stands if the stretch holds so many of the item's q-grams as the edits must leave, and is
-then confirmed by the exact edit distance.  Items go to the tasks in blocks of bounded
-size, each with one pass over the documents; nothing of a document is shuffled.
+LSH keys under which windows of documents meet windows of items.  Windows are as long as
+the items (sizes go by quarters) and begin at several places of an item, so that a
+rewritten head does not matter.
+
+Windows of documents begin at every place but those that a count of q-grams excludes: an
+item within so many edits leaves so many of its q-grams as they were, all at nearly one
+distance from their places in the item; where no item has as many, none can be.  This
+filter loses nothing, so the walks alone decide about recall.  Items too short for sampled
+walks are taken as the filter (of shorter q-grams) leaves them.  What has met is confirmed
+by the exact edit distance.  Nothing of a document is shuffled, and each is read once for
+SCAN bytes of items.
 """
 
 from __future__ import annotations
@@ -29,31 +31,24 @@ from riverbed.llm.common import text_of
 
 #: An item is found where its edit distance is at most this share of its length.
 MAX_EDITS = 0.1
-PIECE = 8
-#: Pieces in a row that begin a window, and how many places after a run's begin are taken too.
-RUN, NEXT, EVERY = 3, 1, 32
-#: Window sizes in bytes; a key samples PLACES walk places, REPEATS keys for each size and walk.
-SIZES, PLACES, REPEATS = (32, 48), 10, 24
-#: Items of fewer bytes are met by their unchanged parts.
-SHORT = 80
-#: Bits of a task's tables of pieces and of the keys of one repeat.
-PIECE_BITS, KEY_BITS = 22, 20
-#: Bytes of items in a block.
-BLOCK = 1 << 17
-#: Meetings whose items would begin in so many bytes are confirmed together.
-STEP = 32
-#: Stretches of so many bytes are tried for all items that meet them.
-STRETCH = 512
-#: Size and hash bits of the q-grams that a stretch is tried by, and how many counts are held at a time.
-GRAM, GRAM_BITS, COUNTS = 7, 16, 1 << 22
+#: q-grams by which places are excluded: of items for walks, and of shorter ones.
+GRAM, SHORT_GRAM = 8, 4
+#: Shorter q-grams by which a stretch is tried before the edit distance, and the bits of their hashes.
+TRIED_GRAM, TRIED_BITS = 5, 16
+#: Items of fewer bytes, or of which the edits may leave fewer q-grams, are short.
+SHORT, LEAST = 80, 4
+#: Keys are WALKS walks with KEYS samples of PLACES places each.
+WALKS, KEYS, PLACES = 4, 12, 3
+#: Eighths of an item at which its windows begin.
+BEGINS = (0, 2)
+#: Bits of the table of q-grams, bytes of items in a block and in one pass over the documents.
+BITS, BLOCK, SCAN = 22, 1 << 20, 1 << 22
+#: Meetings of q-grams that are counted, and windows that are walked, at a time.
+COUNTS, STARTS = 1 << 22, 10_000
 #: Bytes of text that are searched at a time.
 SLICE = 1 << 21
 
-_RNG = np.random.Generator(np.random.PCG64(11))
-_STEPS = max(SIZES) * 5 // 4
-_BITS = _RNG.integers(0, 2, (_STEPS, 256), dtype=np.uint8)
-_PLACES = {s: [np.sort(_RNG.choice(np.arange(3 * PIECE, s * 5 // 4), PLACES, replace=False)) for _ in range(REPEATS)] for s in SIZES}
-_ODD = _RNG.integers(0, 2**62, PLACES + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 2**62, PLACES + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(text: str | None) -> bytes:
@@ -66,42 +61,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pieces(data: np.ndarray) -> np.ndarray:
-    """The eight-byte piece that begins at each byte, hashed to the table."""
-    if len(data) < PIECE:
-        return np.zeros(0, np.int64)
-    x = data.astype(np.uint64)
-    for k in (1, 2, 4):
-        x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    return (_mix(x) >> np.uint64(64 - PIECE_BITS)).astype(np.int64)
-
-
-def walks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """CGK walks ``(place, window)`` over the bytes from each start; ends read as 0."""
-    padded = np.concatenate([data, np.zeros(_STEPS + 1, np.uint8)])
-    at, out = starts.copy(), np.empty((_STEPS, len(starts)), np.uint8)
-    for t in range(_STEPS):
-        out[t] = padded[at]
-        at += _BITS[t][out[t]]
-    return out
-
-
-def keys(walk: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The LSH keys of the windows, one array for each repeat."""
-    for r, places in enumerate(_PLACES[size]):
-        key = (walk[places].astype(np.uint64) * _ODD[:PLACES, None]).sum(axis=0, dtype=np.uint64)
-        yield _mix(key + np.array([size * 1000 + r], np.uint64) * _ODD[PLACES]).view(np.int64)
+def size_of(length: int) -> int:
+    """The largest window size up to a length: 32 bytes, and a quarter more each time."""
+    size = 32
+    while size + size // 4 <= length:
+        size += size // 4
+    return size
+
+
+class Walks:
+    """The walks over windows of one size and the keys sampled from them."""
+
+    def __init__(self, size: int):
+        rng = np.random.Generator(np.random.PCG64(size))
+        self.steps, self.size = 2 * size, size
+        self.bits = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.uint8)
+        self.places = np.array([[rng.choice(self.steps, PLACES, replace=False) for _ in range(KEYS)] for _ in range(WALKS)])
+
+    def keys(self, w: int, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The keys ``(key, window)`` of a walk over the windows at the starts; the data go on for ``steps`` bytes behind the last."""
+        wanted, at, met = set(self.places[w].ravel().tolist()), starts.copy(), {}
+        for t in range(max(wanted) + 1):
+            symbol = data[at]
+            if t in wanted:
+                met[t] = symbol.astype(np.uint64)
+            at += self.bits[w, t][symbol]
+        out = np.empty((KEYS, len(starts)), np.uint64)
+        for k, places in enumerate(self.places[w].tolist()):
+            key = sum(met[t] * o for t, o in zip(places, _ODD[:PLACES], strict=True))
+            out[k] = _mix(key + np.array([self.size * 1000 + w * KEYS + k], np.uint64) * _ODD[PLACES])
+        return out
 
 
-def window_starts(hit: np.ndarray) -> np.ndarray:
-    """Places in runs of pieces: the first ones of each run and every EVERY-th after."""
-    if len(hit) < RUN:
-        return np.zeros(0, np.int64)
-    total = np.concatenate(([0], np.cumsum(hit)))
-    full = total[RUN:] - total[:-RUN] == RUN
-    at = np.flatnonzero(full)
-    first = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), at, 0)) if len(at) else at
-    return at[(at - first < NEXT) | ((at - first) % EVERY == 0)]
+@functools.lru_cache(maxsize=64)
+def walks_of(size: int) -> Walks:
+    return Walks(size)
 
 
 def best_distance(item: str, text: str, most: int) -> int:
@@ -144,35 +138,66 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    return (_mix(packed(data, GRAM)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
-
-
-class _Postings:
-    """Keys with the items and the places in them at which they stand."""
-
-    def __init__(self, key: list[np.ndarray], item: list[np.ndarray], off: list[np.ndarray]):
-        key, item, off = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((key, np.uint64), (item, np.int32), (off, np.int32)))
-        order = np.argsort(key, kind="stable")
-        self.key, self.first = np.unique(key[order], return_index=True)
-        self.first = np.append(self.first, len(key))
-        self.item, self.off = item[order], off[order]
-        self.hit = np.zeros(1 << KEY_BITS, bool)
-        self.hit[self._slot(self.key)] = True
-
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return (_mix(key) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-
-    def meet(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the key, item and place in the item for all that has an equal key."""
-        on = np.flatnonzero(self.hit[self._slot(key)]) if len(self.key) else np.zeros(0, np.int64)
-        j = np.minimum(np.searchsorted(self.key, key[on]), len(self.key) - 1)
-        same = self.key[j] == key[on] if len(on) else np.zeros(0, bool)
-        on, j = on[same], j[same]
-        n = self.first[j + 1] - self.first[j]
-        p = spans(self.first[j], n)
-        return np.repeat(on, n), self.item[p], self.off[p]
+class Filter:
+    """Where in a text items can begin, by the q-grams that their edits must leave."""
+
+    def __init__(self, items: list[int], data: list[np.ndarray], edits: list[int], wide: list[int], gram: int):
+        self.items, self.gram = np.array(items), gram
+        self.reach = max(len(data[i]) for i in items)
+        # an edit changes the q-grams that overlap one character, and moves what is behind it by as much
+        self.need = np.array([max(1, len(data[i]) - gram + 1 - edits[i] * (gram - 1 + wide[i])) for i in items])
+        self.room = np.array([edits[i] * wide[i] for i in items])
+        slots = [self._slots(data[i]) for i in items]
+        order = np.argsort(np.concatenate(slots), kind="stable")
+        self.item = np.repeat(np.arange(len(items)), [len(s) for s in slots])[order]
+        self.off = np.concatenate([np.arange(len(s)) for s in slots])[order]
+        self.first = np.searchsorted(np.concatenate(slots)[order], np.arange((1 << BITS) + 1)).astype(np.int32)
+        self.hit = np.diff(self.first) > 0
+
+    def _slots(self, data: np.ndarray) -> np.ndarray:
+        return (_mix(packed(data, self.gram)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def stride(self, size: int) -> int:
+        """``item * stride + begin + reach`` tells items and places apart, and items by more than their room."""
+        return size + 2 * self.reach + 4 * int(self.room.max()) + 1
+
+    def left(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where items may begin: the first and last ``item * stride + begin + reach`` of each stretch, in order."""
+        slots = self._slots(data)
+        at = np.flatnonzero(self.hit[slots]) if len(slots) else np.zeros(0, np.int64)
+        slots = slots[at]
+        n = (self.first[slots + 1] - self.first[slots]).astype(np.int64)
+        turn = np.cumsum(n) // COUNTS
+        parts, stride = [], self.stride(len(data))
+        for lo, hi in itertools.pairwise(np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(turn)).tolist()):
+            p = spans(self.first[slots[lo:hi]].astype(np.int64), n[lo:hi])
+            met = self.item[p] * stride + (np.repeat(at[lo:hi], n[lo:hi]) - self.off[p] + self.reach)
+            met.sort()
+            if not turn[-1]:
+                parts.append((met, None))
+            else:
+                new = np.flatnonzero(np.diff(met, prepend=-1))
+                parts.append((met[new], np.diff(np.append(new, len(met)))))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys = parts[0][0]
+        item = keys // stride
+        if len(parts) == 1 and parts[0][1] is None:
+            last = np.arange(len(keys)) + self.need[item] - 1
+        else:
+            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            item = keys // stride
+            total = np.cumsum(np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64))
+            last = np.searchsorted(total, np.append(0, total[:-1]) + self.need[item])
+        # so many q-grams at places that differ by no more than the edits can move them
+        i = np.flatnonzero(last < len(keys))
+        room = self.room[item[i]]
+        near = keys[last[i]] - keys[i] <= 2 * room
+        i, room = i[near], room[near]
+        lo, hi = keys[last[i]] - room, keys[i] + room
+        new = np.append(True, lo[1:] > np.maximum.accumulate(hi)[:-1] + 1)[: len(lo)]
+        first = np.flatnonzero(new)
+        return (lo[first], np.maximum.reduceat(hi, first)) if len(lo) else (lo, hi)
 
 
 class Block:
@@ -182,140 +207,96 @@ class Block:
         self.rows = rows
         self.most = [int(np.floor(len(t) * max_edits)) for _, t in rows]
         self.data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
-        # an edit changes at most the q-grams that overlap one character
         self.wide = [max(len(c.encode()) for c in set(t)) for _, t in rows]
-        self.grams = [grams(d) for d in self.data]
-        self.need = np.array([len(g) - k * (GRAM - 1 + w) for g, k, w in zip(self.grams, self.most, self.wide, strict=True)])
-        self.piece = np.zeros(1 << PIECE_BITS, bool)
         self.exact = [i for i, k in enumerate(self.most) if not k]
-        self.held = np.zeros(1 << GRAM_BITS, bool)
-        # for each q-gram the items that hold it, as often as they do
-        code = np.sort(np.concatenate([g * len(rows) + i for i, g in enumerate(self.grams)]))
-        self.gram_item = code % len(rows)
-        self.gram_first = np.searchsorted(code, np.arange((1 << GRAM_BITS) + 1) * len(rows))
-        long, parts = {(size, r): ([], [], []) for size in SIZES for r in range(REPEATS)}, {}
-        for i, d in enumerate(self.data):
-            if not self.most[i]:
-                continue
-            if len(d) < SHORT:
-                text, n = rows[i][1], self.most[i] + 1
-                cuts = [k * len(text) // n for k in range(n + 1)]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    part = np.frombuffer(text[lo:hi].encode()[:8], np.uint8)
-                    p = parts.setdefault(len(part), ([], [], []))
-                    for x, v in zip(p, (packed(part, len(part)), np.array([i], np.int32), np.array([len(text[:lo].encode())], np.int32)), strict=True):
-                        x.append(v)
-                continue
-            self.piece[pieces(d)] = True
-            for size in SIZES:
-                starts = np.arange(len(d) - size + 1)
-                for r, k in enumerate(keys(walks(d, starts), size)):
-                    for x, v in zip(long[size, r], (k.view(np.uint64), np.full(len(k), i, np.int32), starts.astype(np.int32)), strict=True):
-                        x.append(v)
-        self.walks, self.parts = {key: _Postings(*p) for key, p in long.items() if p[0]}, {size: _Postings(*p) for size, p in parts.items()}
-        self.longest = max(map(len, self.data))
-
-    def _meetings(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, item and the STEP bytes in which the item would begin, each once."""
-        found, wide = [np.zeros(0, np.int64)], len(data) + self.longest
-
-        def all_met(at: np.ndarray, keyed: Iterator[tuple[_Postings, np.ndarray]]) -> None:
-            doc = np.searchsorted(begins, at, side="right") - 1
-            base, place = doc * len(self.rows) * wide, at - begins[doc] + self.longest
-            for postings, key in keyed:
-                on, item, off = postings.meet(key)
-                found.append(base[on] + item * np.int64(wide) + (place[on] - off) // STEP)
-
-        for size, p in self.parts.items():
-            key = packed(data, size)
-            for lo in range(0, len(key), 1 << 19):
-                all_met(np.arange(lo, min(lo + (1 << 19), len(key))), iter([(p, key[lo : lo + (1 << 19)])]))
-        starts = window_starts(self.piece[pieces(data)]) if self.walks else np.zeros(0, np.int64)
-        for part in np.array_split(starts, len(starts) // 10_000 + 1) if len(starts) else ():
-            walk = walks(data, part)
-            for size in SIZES:
-                all_met(part, ((self.walks[size, r], k.view(np.uint64)) for r, k in enumerate(keys(walk, size)) if (size, r) in self.walks))
-        code = np.sort(np.concatenate(found))
-        code = code[np.diff(code, prepend=-1) != 0]
-        return code // wide // len(self.rows), code // wide % len(self.rows), code % wide
-
-    def _enough(self, held: np.ndarray, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which meetings have as many of their item's q-grams in their group's stretch as the edits must leave.
-
-        ``held``: the q-gram at each place, ``known``: the places of those that items have,
-        ``lo, hi``: each group's places, ``group, items``: of each meeting, by group.
-        """
-        out = np.zeros(len(items), bool)
-        first = np.searchsorted(known, lo)
-        size = np.maximum(np.searchsorted(known, hi) - first, 0)
-        most = np.concatenate(([0], np.cumsum(np.diff(self.gram_first)[held[known]])))
-        work = np.maximum(most[first + size] - most[first], max(len(self.rows), COUNTS >> 15))
-        turn = (np.cumsum(work) - 1) // COUNTS
-        for a, b in itertools.pairwise(np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(turn)).tolist()):
-            # at most 2**15 groups at a time, so that a group and a gram are 32 bits
-            of = np.repeat(np.arange(b - a, dtype=np.uint32), size[a:b])
-            code = np.sort(of << np.uint32(GRAM_BITS) | held[known[spans(first[a:b], size[a:b])]].astype(np.uint32))
-            code = code[np.append(True, code[1:] != code[:-1])[: len(code)]].astype(np.int64)
-            gram = code & (1 << GRAM_BITS) - 1
-            n = self.gram_first[gram + 1] - self.gram_first[gram]
-            p = spans(self.gram_first[gram], n)
-            cell = np.repeat(code >> GRAM_BITS, n) * len(self.rows) + self.gram_item[p]
-            counts = np.bincount(cell, minlength=(b - a) * len(self.rows))
-            m = slice(*np.searchsorted(group, (a, b)))
-            out[m] = counts[(group[m] - a) * len(self.rows) + items[m]] >= self.need[items[m]]
+        remains = [len(d) - GRAM + 1 - k * (GRAM - 1 + w) for d, k, w in zip(self.data, self.most, self.wide, strict=True)]
+        long = [i for i, d in enumerate(self.data) if self.most[i] and len(d) >= SHORT and remains[i] >= LEAST]
+        short = [i for i in range(len(rows)) if self.most[i] and not (len(self.data[i]) >= SHORT and remains[i] >= LEAST)]
+        self.filters = [(Filter(own, self.data, self.most, self.wide, gram), walked) for own, gram, walked in ((long, GRAM, True), (short, SHORT_GRAM, False)) if own]
+        self.tried = [self._tried(d) for d in self.data]
+        self.held = np.zeros(1 << TRIED_BITS, bool)
+        # windows of the long items: number in the filter, begin, size
+        self.windows = np.array([(k, len(self.data[i]) * e // 8, size_of(len(self.data[i]) - len(self.data[i]) * e // 8)) for k, i in enumerate(long) for e in BEGINS], np.int64).reshape(-1, 3)
+        self.first = np.searchsorted(self.windows[:, 0], np.arange(len(long) + 1))
+        self.known = {}
+        for size in np.unique(self.windows[:, 2]).tolist():
+            own = self.windows[self.windows[:, 2] == size]
+            text = np.concatenate([x for k, begin, _ in own.tolist() for x in (self.data[long[k]][begin:], np.zeros(2 * size, np.uint8))])
+            sizes = np.array([len(self.data[long[k]]) - begin + 2 * size for k, begin, _ in own.tolist()])
+            for w in range(WALKS):
+                keys = walks_of(size).keys(w, text, np.cumsum(sizes) - sizes).ravel()
+                order = np.argsort(keys, kind="stable")
+                self.known[size, w] = keys[order], np.tile(np.arange(len(own)), KEYS)[order], own
+
+    @staticmethod
+    def _tried(data: np.ndarray) -> np.ndarray:
+        return (_mix(packed(data, TRIED_GRAM)) >> np.uint64(64 - TRIED_BITS)).astype(np.int64)
+
+    def _distance(self, i: int, text: bytes) -> int:
+        """The least edit distance of an item in a stretch, or what is more than it may be."""
+        most, grams = self.most[i], self._tried(np.frombuffer(text, np.uint8))
+        # the edits leave so many of the item's shorter q-grams somewhere in the stretch
+        self.held[grams] = True
+        enough = np.count_nonzero(self.held[self.tried[i]]) >= len(self.tried[i]) - most * (TRIED_GRAM - 1 + self.wide[i])
+        self.held[grams] = False
+        return best_distance(self.rows[i][1], text.decode(errors="ignore"), most) if enough else most + 1
+
+    def _met(self, f: Filter, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In which of the stretches that are left a window has met its item under a key."""
+        stride, out = f.stride(len(data)), np.zeros(len(lo), bool)
+        padded = np.concatenate([data, np.zeros(2 * int(self.windows[:, 2].max()) + 1, np.uint8)])
+        for w in range(WALKS):  # the next walk for those that have not met their item
+            open_ = np.flatnonzero(~out)
+            items = lo[open_] // stride
+            n = self.first[items + 1] - self.first[items]
+            windows = self.windows[spans(self.first[items], n)]
+            begin = np.repeat(lo[open_] % stride - f.reach, n) + windows[:, 1]
+            end = begin + np.repeat(hi[open_] - lo[open_] + 1, n)
+            for size in np.unique(windows[:, 2]).tolist():
+                mine, (known, number, own) = windows[:, 2] == size, self.known[size, w]
+                a, b = np.clip(begin[mine], 0, len(data)), np.clip(end[mine], 0, len(data))
+                starts = np.unique(spans(a, b - a))
+                for at in range(0, len(starts), STARTS):
+                    some = starts[at : at + STARTS]
+                    keys = walks_of(size).keys(w, padded, some).ravel()
+                    a, b = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+                    on = np.flatnonzero(b > a)
+                    window = own[number[spans(a[on], b[on] - a[on])]]
+                    start = np.repeat(np.tile(some, KEYS)[on], b[on] - a[on]) - window[:, 1] + f.reach
+                    place = window[:, 0] * stride + np.maximum(start, 0)
+                    of = np.searchsorted(lo, place, side="right") - 1
+                    out[of[(of >= 0) & (place <= hi[of])]] = True
         return out
 
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """``(number of the text, item, edit distance)`` of all items found."""
-        gap = bytes(_STEPS)
+        """``(number of the text, item, least edit distance)`` of all items found."""
+        gap = bytes(GRAM)
         data = np.frombuffer(gap.join(texts) + gap, np.uint8)
         sizes = np.array([len(x) for x in texts], np.int64)
         begins = np.cumsum(sizes + len(gap)) - sizes - len(gap)
         for i in self.exact:
             word = self.data[i].tobytes()
             yield from ((d, i, 0) for d, t in enumerate(texts) if word in t)
-        docs, items, steps = self._meetings(data, begins)
-        held, sure = grams(data), set()
-        known = np.flatnonzero(self.gram_first[held + 1] > self.gram_first[held])
-        # first by the whole text for all of its meetings at once, then by longer stretches
-        room = 4 * max(self.most)
-        begin = np.maximum(steps * STEP - self.longest, 0)
-        for size in (1 << 62, STRETCH):
-            part = begin // size
-            if size == STRETCH:  # they come by document
-                order = np.lexsort((part, docs))
-                docs, items, steps, begin, part = (x[order] for x in (docs, items, steps, begin, part))
-            new = (np.diff(docs, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)
-            at, group = np.flatnonzero(new), np.cumsum(new) - 1
-            end = sizes[docs[at]]
-            lo = np.maximum(part[at] * size - room, 0) if size == STRETCH else np.zeros(len(at), np.int64)
-            hi = np.minimum(np.maximum.reduceat(begin, at) + STEP + self.longest + room, end) if size == STRETCH and len(at) else end
-            left = self._enough(held, known, begins[docs[at]] + lo, begins[docs[at]] + hi - GRAM + 1, group, items)
-            docs, items, steps, begin = (x[left] for x in (docs, items, steps, begin))
-
-        def enough(d: int, lo: int, hi: int, i: int) -> bool:
-            """Whether a stretch of a document holds grams enough of an item."""
-            own = held[begins[d] + lo : begins[d] + max(lo, hi - GRAM + 1)]
-            self.held[own] = True
-            found = np.count_nonzero(self.held[self.grams[i]])
-            self.held[own] = False
-            return found >= self.need[i]
-
-        for d, i, s in zip(docs.tolist(), items.tolist(), steps.tolist(), strict=True):
-            if (d, i) in sure:
-                continue
-            room = self.most[i] * 4
-            lo = max(0, s * STEP - self.longest - room)
-            hi = min(len(texts[d]), s * STEP - self.longest + STEP + len(self.data[i]) + room)
-            if not enough(d, lo, hi, i):
-                continue
-            item, most = self.rows[i][1], self.most[i]
-            if best_distance(item, texts[d][lo:hi].decode(errors="ignore"), most) <= most:
-                sure.add((d, i))
-                yield d, i, 0 if self.data[i].tobytes() in texts[d] else best_distance(item, texts[d].decode(), most)
-
-
-@functools.lru_cache(maxsize=1)
+        for f, walked in self.filters:
+            first, last = f.left(data)
+            met = self._met(f, data, first, last) if walked and len(first) else np.ones(len(first), bool)
+            pairs: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
+            stride = f.stride(len(data))
+            for a, b, hit in zip(first.tolist(), last.tolist(), met.tolist(), strict=True):
+                i, room = int(f.items[a // stride]), int(f.room[a // stride])
+                lo, hi = a % stride - f.reach - room, b - a // stride * stride - f.reach + len(self.data[i]) + 2 * room
+                for d in range(int(np.searchsorted(begins + sizes, lo, side="right")), int(np.searchsorted(begins, hi))):
+                    if sizes[d]:
+                        pairs.setdefault((d, i), []).append((max(0, lo - int(begins[d])), max(0, hi - int(begins[d])), hit))
+            for (d, i), stretches in pairs.items():
+                if any(hit for *_, hit in stretches):
+                    near = lambda met: min((self._distance(i, texts[d][lo:hi]) for lo, hi, hit in stretches if hit is met), default=self.most[i] + 1)  # noqa: E731,B023
+                    least = near(True)
+                    if least <= self.most[i]:  # whatever is that near lies in one of the stretches
+                        yield d, i, min(least, near(False))
+
+
+@functools.lru_cache(maxsize=SCAN // BLOCK)
 def block_of(rows: tuple[tuple[int, str], ...], max_edits: float) -> Block:
     """A worker builds a block once for all of its tasks."""
     return Block(rows, max_edits)
@@ -333,27 +314,24 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     """
     bench = items.select(items[item_col].cast("long").alias("item"), text_of(items, "text").alias("text")).filter("item is not null")
     size = int(bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    blocks = -(-size // BLOCK)
+    scans = -(-size // SCAN)
     flat = docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs, text_col).alias("text")).filter("doc is not null and text <> ''")
-    numbered = bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1))))
+    numbered = bench.withColumn("scan", F.pmod(F.xxhash64("item", "text"), F.lit(max(scans, 1))))
 
-    def search(rows: tuple) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
+    def search(blocks: list[tuple]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = block_of(shared.value, max_edits)
-
             def found(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-                hits = [(ids[d], rows_[i][0], e, len(rows_[i][1])) for d, i, e in block.find(texts)]
+                hits = [(ids[d], rows[i][0], e, len(rows[i][1])) for rows in shared.value for d, i, e in block_of(rows, max_edits).find(texts)]
                 return pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in range(4)], names=["doc", "item", "d", "n"])
 
-            rows_ = block.rows
             for b in batches:
                 ids, texts, size = [], [], 0
                 for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                     ids.append(doc)
                     texts.append(normal(text))
-                    size += len(texts[-1]) + _STEPS
+                    size += len(texts[-1]) + GRAM
                     if size >= SLICE:
                         yield found(ids, texts)
                         ids, texts, size = [], [], 0
@@ -363,9 +341,16 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
         return flat.mapInArrow(run, "doc long, item long, d long, n long")
 
     sure = docs.sparkSession.createDataFrame([], "doc long, item long, d long, n long")
-    for k in range(blocks):
-        read = numbered.filter(F.col("block") == k).select("item", "text").distinct().collect()  # about BLOCK bytes
-        rows = tuple(sorted({(r.item, text) for r in read if (text := normal(r.text).decode())}))
-        if rows:
-            sure = sure.unionByName(search(rows))
+    for k in range(scans):
+        read = numbered.filter(F.col("scan") == k).select("item", "text").distinct().collect()  # about SCAN bytes
+        blocks, now, size = [], [], 0
+        for row in sorted({(r.item, text) for r in read if (text := normal(r.text).decode())}):
+            now.append(row)
+            size += len(row[1].encode())
+            if size >= BLOCK:
+                blocks.append(tuple(now))
+                now, size = [], 0
+        blocks += [tuple(now)] if now else []
+        if blocks:
+            sure = sure.unionByName(search(blocks))
     return sure.groupBy("doc", "item").agg(F.min("d").alias("edit_distance"), F.min_by("n", "d").alias("item_chars")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "edit_distance", "item_chars")
