@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What scripted clients call themselves; "bot" counts at a word's end only (fixed values).
+BOT_WORDS = (
+    "spider", "crawl", "slurp", "preview", "monitor", "uptime", "pingdom", "lighthouse", "pagespeed", "headless", "phantomjs", "selenium", "puppeteer", "playwright",
+    "curl", "wget", "python", "go-http", "java/", "okhttp", "axios", "node-fetch", "undici", "scrapy", "httpclient", "facebookexternalhit", "bytespider",
+)
+BOT_ENDS = r"bot(?:\b|_)"
 #: Ordered patterns; the first that matches names the class (fixed values).
-BOTS = r"(?i)bot\b|crawl|spider|slurp|curl|wget|python-requests|headless|preview|monitor"
 DEVICES = ((r"(?i)ipad|tablet|playbook|silk|kindle|android(?!.*\bmobile\b)", "tablet"), (r"(?i)mobi|iphone|ipod|android|windows phone|harmonyos|openharmony", "phone"))
 SYSTEMS = ((r"(?i)iphone|ipad|ipod", "ios"), (r"(?i)harmonyos|openharmony", "harmony"), (r"(?i)android", "android"), (r"(?i)windows", "windows"), (r"(?i)mac os x|macintosh", "mac"), (r"(?i)cros", "chromeos"), (r"(?i)linux|x11", "linux"))
 
@@ -19,7 +26,8 @@ def _first(text: Column, rules: tuple, otherwise: str) -> Column:
 
 
 def is_bot(agent: Column) -> Column:
-    return F.coalesce(F.trim(agent) == "", F.lit(True)) | agent.rlike(BOTS)
+    said = F.lower(agent)
+    return F.coalesce(F.trim(agent) == "", F.lit(True)) | functools.reduce(Column.__or__, (F.contains(said, F.lit(w)) for w in BOT_WORDS), said.rlike(BOT_ENDS))
 
 
 def device(agent: Column) -> Column:

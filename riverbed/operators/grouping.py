@@ -2,50 +2,39 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riverbed.functions.calendar import local_day
 
 #: What a document's name ends with, and how long it is at least (fixed values).
 DOCUMENT_ENDS = ("法", "法典", "条例", "规定", "办法", "细则", "决定", "决议", "通知", "意见", "方案", "规划", "目录", "名录", "清单", "标准", "公告", "指南", "纲要", "准则", "规则", "计划", "措施", "法案", "协定", "协议", "基准", "要点", "批复", "章程", "制度", "令")
 DOCUMENT_CHARS = 5
-_PUNCTUATION = str.maketrans("", "", "·・-—_\"'“”‘’、,，。.:：;；!！?？<>〈〉")
+#: What a document's name may begin with and is left out, and the marks that count for nothing (fixed values).
+COUNTRY_NAMES = ("中华人民共和国", "中国")
+NAME_MARKS = "·・-—_\"'“”‘’、,，。.:：;；!！?？<>〈〉"
+#: Full-width forms and their common ones: one distance for all, and the wide space.
+_WIDE, _NARROW = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000", "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 #: Reports this alike, of one day and without a conflict of countries, are one (a fixed value).
 CERTAIN_COSINE = 0.92
 
 
-def document_key(name: str) -> str | None:
-    """What the copies of a document's name share, or None for what is no document's name.
+def document_key(name: Column) -> Column:
+    """What the copies of a document's name share, or null for what is no document's name.
 
-    Width folded, without spaces, punctuation, the country's name before and notes in
-    brackets behind.
+    Full-width forms count as common ones; white space, notes in brackets at the end, the
+    country's name at the begin and marks count for nothing.
     """
-    key = "".join(unicodedata.normalize("NFKC", name).split())
-    while (shorter := re.sub(r"\([^()]*\)$", "", key)) != key:
-        key = shorter
-    for country in ("中华人民共和国", "中国"):
-        if key.startswith(country):
-            key = key[len(country) :]
-            break
-    key = key.translate(_PUNCTUATION)
-    return key if len(key) >= DOCUMENT_CHARS and key.endswith(DOCUMENT_ENDS) else None
-
-
-def document_keys(title: str | None) -> list[str]:
-    """The keys of the documents that a title names in book-title marks."""
-    found = (document_key(n) for n in re.findall(r"《([^《》]{1,120})》", title or ""))
-    return list(dict.fromkeys(k for k in found if k))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def document_keys_udf(titles: pd.Series) -> pd.Series:
-    return titles.map(document_keys)
+    folded = F.regexp_replace(F.translate(name, _WIDE, _NARROW), r"\s+", "")
+    bare = F.regexp_replace(F.regexp_replace(folded, r"(\([^()]*\))+$", ""), f"^({'|'.join(COUNTRY_NAMES)})", "")
+    key = F.translate(bare, NAME_MARKS, "")
+    return F.when((F.length(key) >= DOCUMENT_CHARS) & key.rlike(f"({'|'.join(DOCUMENT_ENDS)})$"), key)
+
+
+def document_keys(title: Column) -> Column:
+    """The keys of the documents that a title names in book-title marks, each once."""
+    names = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("《([^《》]{1,120})》"), F.lit(1))
+    return F.array_distinct(F.array_compact(F.transform(names, document_key)))
 
 
 def conflict(a: Column, b: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.functions.text import NEAR_BITS, bigrams, jaccard, normal_text_udf
@@ -15,21 +18,36 @@ from riverbed.functions.text import NEAR_BITS, bigrams, jaccard, normal_text_udf
 TITLE_MOST = 300
 
 
-def near_fingerprints(prints: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
+def near_fingerprints(prints: DataFrame, bits: int = NEAR_BITS, expected: int = 1 << 20) -> DataFrame:
     """Pairs of distinct 64-bit fingerprints at most ``bits`` apart.
 
     ``prints``: id, fp.  Equal fingerprints are one node named by its least id (``copies``
-    counts them), so a large group of copies makes no pairs.  Of ``bits + 1`` bands, two
-    such fingerprints agree on one at least; each band is a join key.
+    counts them), so a large group of copies makes no pairs.  Of ``n`` bands, two such
+    fingerprints agree on ``n - bits`` at least; every choice of so many bands is a join key.
+    ``n`` is the least for which a key has more values than fingerprints are ``expected``, so
+    the pairs that share a key by chance grow no faster than the table.  A pair is handed on
+    under the first bands on which it agrees, and so once.
     """
     nodes = prints.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    n = bits + 1
-    edges = [round(k * 64 / n) for k in range(n + 1)]
-    band = lambda k: F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    keyed = nodes.withColumn("band", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), band(k).alias("v")) for k in range(n)))))
-    pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.band = y.band and x.id < y.id"))
-    apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    return pairs.filter(apart <= bits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), apart.alias("apart")).distinct()
+    n = next(n for n in range(bits + 1, 65) if 64 // n * (n - bits) >= math.log2(max(expected, 2)) or n == bits + 6)
+    edges = [k * 64 // n for k in range(n + 1)]
+
+    def band(fp: Column, k: int) -> Column:
+        return F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+
+    def key(chosen: tuple[int, ...]) -> Column:
+        mask = functools.reduce(int.__or__, (((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen))
+        signed = mask - (1 << 64) if mask >> 63 else mask
+        return F.struct(F.lit(sum(1 << k for k in chosen)).alias("bands"), F.col("fp").bitwiseAND(F.lit(signed)).alias("value"))
+
+    keyed = nodes.select("id", "fp", F.explode(F.array(*map(key, itertools.combinations(range(n), n - bits)))).alias("key")).select("id", "fp", "key.bands", "key.value")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    apart = F.bit_count(differ)
+    agreed = F.slice(F.filter(F.array(*(F.when(band(differ, k) == 0, 1 << k) for k in range(n))), lambda b: b.isNotNull()), 1, n - bits)
+    first = F.col("x.bands") == F.aggregate(agreed, F.lit(0), lambda s, b: s + b)
+    pairs = x.join(y, F.expr("x.bands = y.bands and x.value = y.value and x.id < y.id") & (apart <= bits))
+    return pairs.filter(first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), apart.alias("apart"))
 
 
 def title_pairs(titles: DataFrame, block: list[str], least: float) -> DataFrame:
@@ -37,19 +55,32 @@ def title_pairs(titles: DataFrame, block: list[str], least: float) -> DataFrame:
 
     ``titles``: id, title and the block's columns.  The first 300 letters and digits of a
     title count, folded; titles that agree in them are one node.  Two titles that similar
-    share one of their rarest character pairs (all but ``least`` of them, and one more), so
-    only those that do are compared.  Titles without two letters are in no pair.
+    share one of their rarest character pairs (all but ``least`` of them, and one more), and
+    behind the first that they share each must have enough left; their 256-bit maps of
+    character pairs differ in no more bits than their sets may.  All of that is tried as the
+    keys meet, so only pairs that pass are compared by their sets.  Titles without two
+    letters are in no pair.
     """
     plain = F.substring(normal_text_udf("title"), 1, TITLE_MOST)
     nodes = titles.select("id", *block, plain.alias("title")).groupBy(*block, "title").agg(F.min("id").alias("id")).withColumn("grams", bigrams(F.col("title"))).filter(F.size("grams") > 0)
-    each = nodes.select(*block, "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    held = each.join(each.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("c")), [*block, "gram"])
+    slots = F.transform("grams", lambda g: F.pmod(F.hash(g), F.lit(256)))
+    word = lambda k: F.aggregate(F.filter(slots, lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))))
+    each = nodes.select(*block, "id", F.size("grams").alias("n"), *(word(k).alias(f"m{k}") for k in range(4)), F.explode("grams").alias("gram"))
+    counted = each.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("c"))
+    both = F.expr(" and ".join(f"e.{b} <=> c.{b}" for b in [*block, "gram"]))  # a null is a block of its own
+    held = each.alias("e").join(counted.alias("c"), both).select("e.*", "c.c")
+    own = ["id", "n", "m0", "m1", "m2", "m3"]
     first = F.col("n") - F.ceil(least * F.col("n")) + 1
-    rare = held.groupBy(*block, "id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("all")).select(*block, "id", "n", F.explode(F.slice("all", 1, first.cast("int"))).alias("g")).filter("g.c > 1").select(*block, "id", "n", "g.gram")
+    sorted_ = held.groupBy(*block, *own).agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("all"))
+    rare = sorted_.select(*block, *own, F.posexplode(F.slice("all", 1, first.cast("int"))).alias("at", "g")).filter("g.c > 1").select(*block, *own, "at", "g.gram")
     x, y = rare.alias("x"), rare.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    shared = F.ceil(both * (least / (1 + least)) - 1e-9)
     sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= shared
+    differ = functools.reduce(Column.__add__, (F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(4)))
     same = F.expr(" and ".join([*(f"x.{b} <=> y.{b}" for b in block), "x.gram = y.gram", "x.id < y.id"]))
-    pairs = x.join(y, same & sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = x.join(y, same & sizes & enough & (differ <= both - 2 * shared)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     full = pairs.join(nodes.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(nodes.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return full.select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("score")).filter(F.col("score") >= least)
 

@@ -35,4 +35,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from riverbed.plans import documents, events, items, operations, relational, series, states  # noqa: F401
+    from riverbed.plans import documents, events, grouping, items, operations, relational, series, states  # noqa: F401
