@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.functions import calendar
-from riverbed.operators import heat, rollups, visits
+from riverbed.operators import heat, heat_store, rollups, visits
 from riverbed.plans.registry import Tables, query
+from riverbed.sources.shared import shared_dir
+from riverbed.streaming import late
 
 #: Event types that count as editorial signals.
 EDITORIAL = ("purchase", "signup")
@@ -226,3 +230,48 @@ def timeline_decision(t: Tables) -> DataFrame:
     future = F.col("claimed") > calendar.shift(F.col("discovered"), 1)
     old = F.col("claimed") < calendar.shift(F.col("discovered"), -2)
     return found.select("event_id", F.when(future, "unknown").when(old, "backfill").otherwise("live").alias("mode"), F.when(~future & old, F.col("claimed")).otherwise(F.col("discovered")).alias("filed_at"))
+
+
+def clocks(t: Tables, hours: int) -> DataFrame:
+    """How far each source has been read: one in thirteen some hours less than the others."""
+    at, who = as_of(t), F.col("user_id")
+    return t.events.select(who.alias("participant"), F.when(who % 13 == 0, calendar.shift(at, -hours)).otherwise(at).alias("fetched_to")).distinct()
+
+
+_STORED_HEAT = """c AS (SELECT DISTINCT user_id AS participant, CASE WHEN user_id % 13 = 0 AND user_id % 2 = 1 THEN now_ - INTERVAL 5 HOUR ELSE now_ END AS fetched_to FROM events, a),
+e AS (SELECT story, hour, participant, max(ts) AS latest, bool_or(editorial) AS editorial FROM s, g WHERE ts <= hour AND ts > hour - INTERVAL 72 HOUR GROUP BY 1, 2, 3)
+SELECT story, hour, floor(round(sum(power(0.5, (epoch_us(hour) - epoch_us(latest)) / 1e6 / 86400.0)), 6) * 100 + 0.5) / 10 AS heat, count(*) AS participants, count(*) FILTER (WHERE editorial) AS editorial,
+  NOT bool_or(fetched_to < hour) AS complete FROM e JOIN c USING (participant) GROUP BY 1, 2"""
+
+
+@query(f"WITH {_SIGNALS}, g AS (SELECT unnest([date_trunc('hour', now_ - INTERVAL 3 HOUR), date_trunc('hour', now_)]) AS hour FROM a), {_STORED_HEAT}")
+def heat_repair(t: Tables) -> DataFrame:
+    """Two snapshots; at the second the even ones of the sources that were behind have caught up."""
+    root = f"{shared_dir(t.spark)}/riverbed-heat-{uuid.uuid4().hex}"
+    at, said = as_of(t), signals(t)
+    heat_store.snapshot(t.spark, f"{root}/heat", said, clocks(t, 5), calendar.shift(at, -3), root)
+    later = clocks(t, 5).withColumn("fetched_to", F.when(F.col("participant") % 2 == 0, at).otherwise(F.col("fetched_to")))
+    heat_store.snapshot(t.spark, f"{root}/heat", said, later, at, root)
+    return heat_store.stored(t.spark, f"{root}/heat")
+
+
+@query(f"""WITH {_SIGNALS}, w AS (SELECT story, date_trunc('hour', min(ts)) AS first, date_trunc('hour', least(max(now_), max(ts) + INTERVAL 72 HOUR)) AS last FROM s, a WHERE story % 10 = 0 GROUP BY 1),
+h AS (SELECT story, unnest(generate_series(greatest(first, last - INTERVAL 168 HOUR), last, INTERVAL 1 HOUR)) AS hour FROM w), c AS (SELECT DISTINCT user_id AS participant, CASE WHEN user_id % 13 = 0 THEN now_ - INTERVAL 5 HOUR ELSE now_ END AS fetched_to FROM events, a),
+e AS (SELECT story, hour, participant, max(ts) AS latest, bool_or(editorial) AS editorial FROM s JOIN h USING (story) WHERE ts <= hour AND ts > hour - INTERVAL 72 HOUR GROUP BY 1, 2, 3)
+SELECT story, hour, floor(round(sum(power(0.5, (epoch_us(hour) - epoch_us(latest)) / 1e6 / 86400.0)), 6) * 100 + 0.5) / 10 AS heat, count(*) AS participants, count(*) FILTER (WHERE editorial) AS editorial,
+  NOT bool_or(fetched_to < hour) AS complete FROM e JOIN c USING (participant) GROUP BY 1, 2""")
+def heat_backfill(t: Tables) -> DataFrame:
+    """The last week of the stories that were regrouped (every tenth stands for them)."""
+    root = f"{shared_dir(t.spark)}/riverbed-heat-{uuid.uuid4().hex}"
+    said = signals(t)
+    heat_store.backfill(t.spark, f"{root}/heat", said, said.filter("story % 10 = 0").select("story"), clocks(t, 5), as_of(t), root)
+    return heat_store.stored(t.spark, f"{root}/heat")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN ts END AS claimed, ts + to_minutes(CAST(floor(value) AS BIGINT) * 60 - 120) AS discovered FROM events),
+p AS (SELECT *, CASE WHEN claimed <= discovered + INTERVAL 1 HOUR THEN claimed END AS published FROM e),
+r AS (SELECT *, CASE WHEN published IS NULL THEN 'unknown-publication-time' WHEN published < discovered - INTERVAL 48 HOUR THEN 'stale-on-discovery' END AS reason FROM p)
+SELECT event_id, published, reason, CASE WHEN reason IS NOT NULL AND published IS NOT NULL THEN published ELSE discovered END AS filed_at, reason IS NOT NULL AS historical FROM r""")
+def late_filing(t: Tables) -> DataFrame:
+    arrivals = t.events.select("event_id", F.when(F.col("event_id") % 10 > 0, F.col("ts")).alias("claimed"), (F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int") * 60 - 120)).alias("discovered"))
+    return late.filed(arrivals).select("event_id", "published", "reason", "filed_at", "historical")
