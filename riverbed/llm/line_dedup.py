@@ -103,8 +103,8 @@ def line_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     def sets_of(ids: DataFrame) -> DataFrame:
         # each line is looked up in its first document: no key is hot
-        wanted = nodes.join(ids, "id", "left_semi").select("id", "h1", "h2", F.col("first").alias("doc"))
-        texts = lines.select("doc", *_keys(F.col("line")), "line").join(wanted, ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2", "id"])
+        wanted = nodes.join(ids.hint("merge"), "id", "left_semi").select("id", "h1", "h2", F.col("first").alias("doc"))
+        texts = lines.select("doc", *_keys(F.col("line")), "line").join(wanted.hint("merge"), ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2", "id"])
         return texts.select("id", shingles(F.col("line")).alias("items"))
 
     links, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, None)

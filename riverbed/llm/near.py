@@ -31,8 +31,9 @@ from riverbed.llm.common import cut, delete
 from riverbed.llm.components import components
 
 #: So many members of a leader's group at most are compared with each other in the first
-#: round, and twice as many in each further one, when ever fewer members are left.
-FEW = 32
+#: round, twice as many in each further one, when ever fewer members are left, and never
+#: more than MOST: a task holds no more pairs of a group than these make.
+FEW, MOST = 32, 256
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     found: list[DataFrame] = []
     groups = now.sparkSession.createDataFrame([], "node long, component long")
     for turn in itertools.count():
-        few_now = FEW * 2**turn
+        few_now = min(FEW * 2**turn, MOST)
         # the more a set meets others, the nearer it is to the middle of its copies
         scores = now.groupBy("id").agg(F.sum("c").alias("score"))
         leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))

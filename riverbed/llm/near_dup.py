@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     nodes = usable.join(first, ["k1", "k2", "id"], "left_semi").select("id", "n", "bands", "sketch").dropDuplicates(["id"])
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return shingle_sets(with_words(texts.join(ids, "id", "left_semi")), words).dropDuplicates(["id"])
+        return shingle_sets(with_words(texts.join(ids.hint("merge"), "id", "left_semi")), words).dropDuplicates(["id"])
 
     links, groups = near_links(shared_buckets(nodes), nodes, sets_of, percent, plausible)
     delete(links)
