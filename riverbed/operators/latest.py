@@ -60,6 +60,38 @@ def seeded_sample(rows: DataFrame, key: str, seed: str, size: int) -> DataFrame:
     return rows.orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(seed)), 256), F.asc(key)).limit(size)
 
 
+#: Points between two scores of one item from which they disagree (a fixed value).
+DISAGREE = 10
+
+
+def stratified_deck(judged: DataFrame, seats: int, split: int, blocked: int, seed: Column) -> DataFrame:
+    """``day, place, id, kind, system`` of each day's cards: a draw by strata, refilled from the last.
+
+    ``judged``: day, id, blocked, score, threshold, gap (between two scores), selected.  First
+    come up to ``split`` items whose scores disagree, the widest gap first; then up to
+    ``blocked`` blocked ones; whatever seats are left go to those nearest to the threshold
+    on either side.  No item has two cards.  Ties and the dealing order go by a hash of the
+    id and the seed, the same on every run.  Each stratum is limited to the seats before the
+    shuffle that numbers it.  Items without a score are in no stratum but the blocked one.
+    """
+    rows = judged.withColumn("h", F.sha2(F.concat(F.col("id").cast("string"), seed), 256))
+    scored = rows.filter(~F.col("blocked") & F.col("score").isNotNull() & F.col("threshold").isNotNull())
+    apart = first_per_key(scored.filter(F.col("gap") >= DISAGREE), ["day"], min(split, seats), F.desc("gap"), F.asc("h")).withColumn("kind", F.lit("split"))
+    room = apart.groupBy("day").agg(F.count(F.lit(1)).alias("taken"))
+    out = first_per_key(rows.filter("blocked"), ["day"], min(blocked, seats), F.asc("h"))
+    n = F.row_number().over(Window.partitionBy("day").orderBy("h"))
+    out = out.join(room, "day", "left").withColumn("n", n).filter(F.col("n") <= seats - F.coalesce("taken", F.lit(0))).drop("n", "taken").withColumn("kind", F.lit("blocked"))
+    room = apart.select("day").unionByName(out.select("day")).groupBy("day").agg(F.count(F.lit(1)).alias("taken"))
+    # the nearest ones, as many as there are seats, also hold all that are left after those taken
+    close = first_per_key(scored.join(apart.select("day", "id"), ["day", "id"], "left_anti"), ["day"], seats, F.abs(F.col("score") - F.col("threshold")), F.asc("h"))
+    n = F.row_number().over(Window.partitionBy("day").orderBy(F.abs(F.col("score") - F.col("threshold")), F.asc("h")))
+    close = close.join(room, "day", "left").withColumn("n", n).filter(F.col("n") <= seats - F.coalesce("taken", F.lit(0))).drop("n", "taken").withColumn("kind", F.when(F.col("selected"), "near_pass").otherwise("near_miss"))
+    every = apart.unionByName(out).unionByName(close)
+    system = F.when(F.col("blocked"), "blocked").when(F.col("selected"), "selected").otherwise("kept")
+    place = F.row_number().over(Window.partitionBy("day").orderBy("h"))
+    return every.select("day", place.alias("place"), "id", "kind", system.alias("system"))
+
+
 def balanced_draw(have: dict[str, int], size: int) -> dict[str, int]:
     """Share a draw evenly over strata, refilling from those that have more."""
     frame = pd.Series(have, dtype="int64").sort_index()

@@ -20,12 +20,23 @@ def hysteresis(used: DataFrame, key: str, share: str, *order: Column) -> DataFra
     return used.withColumn("open", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(False)))
 
 
-def tally(answers: DataFrame, decisions: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """One row: answers that the decision missed, those it took too many, all, and their days.
-
-    ``answers``: keys and wanted; ``decisions``: keys and decided.  Answers without a
-    decision are not counted.
+def tally(answers: DataFrame, cards: DataFrame, keys: list[str], day: str, revision: list[str]) -> DataFrame:
+    """One row: how the answers stand against what the system had decided.
+
+    ``answers``: keys, answer (no, yes, star) and the revision's columns, of which the last
+    counts; one that was taken back (null) does not.  ``cards``: keys and system (selected,
+    kept, blocked).  ``missed`` are stars that were not selected, ``extra`` selected ones
+    without a star, ``widened`` blocked ones with a yes or star; an answer without a card
+    has no decision, so a star of that kind is missed.
     """
-    met = answers.join(decisions, keys)
-    wanted, decided = F.col("wanted"), F.col("decided")
-    return met.agg(F.count_if(wanted & ~decided).alias("missed"), F.count_if(~wanted & decided).alias("extra"), F.count(F.lit(1)).alias("answers"), F.count_distinct(day).alias("days"))
+    newest = answers.groupBy(*keys).agg(F.max_by("answer", F.struct(*revision)).alias("answer")).filter(F.col("answer").isin("no", "yes", "star"))
+    decided = newest.join(cards.groupBy(*keys).agg(F.first("system").alias("system")), keys, "left")
+    said, system = F.col("answer"), F.coalesce("system", F.lit(""))
+    return decided.agg(
+        F.count_distinct(day).alias("days"),
+        F.count(F.lit(1)).alias("answered"),
+        *(F.count_if(said == a).alias(a) for a in ("no", "yes", "star")),
+        F.count_if((said == "star") & (system != "selected")).alias("missed"),
+        F.count_if((said != "star") & (system == "selected")).alias("extra"),
+        F.count_if((said != "no") & (system == "blocked")).alias("widened"),
+    )

@@ -62,10 +62,23 @@ def confusion(rows: DataFrame, key: str) -> DataFrame:
     return counted.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn")})
 
 
-def spend_breaker(daily: DataFrame, today: Column, floor: int, multiple: int, days: int) -> DataFrame:
-    """Whether today's spend is beyond a multiple of the last days' mean, in whole micros without division."""
-    now = F.sum(F.when(F.col("day") == today, F.col("micros")))
+def spend_breaker(daily: DataFrame, today: Column, first: Column, floor: int, no_history: int, multiple: int, days: int, warning_millionths: int = 800_000) -> DataFrame:
+    """Whether today's spend opens the breaker, or is near to it; in whole micros, without division.
+
+    ``daily``: day, micros; ``first``: the day of the first attempt ever.  History is the
+    days since then, ``days`` at most, whether anything was spent on them or not.  With history and some
+    spend in it, the breaker opens beyond the floor and beyond a multiple of the mean day;
+    without, beyond ``no_history``.  A warning comes at a share of each of these bounds.
+    """
+    exact = lambda c: c.cast("decimal(38,0)")
     past = (F.col("day") < today) & (F.col("day") >= F.date_sub(today, days))
-    row = daily.agg(now.alias("micros"), F.count_if(past).alias("n"), F.sum(F.when(past, F.col("micros"))).alias("sum"))
-    open_ = (F.col("micros") > floor) & (F.col("micros") * F.col("n") > F.col("sum") * multiple)
-    return row.select(today.alias("today"), "micros", open_.alias("open"))
+    spent = lambda when: exact(F.coalesce(F.sum(F.when(when, F.col("micros"))), F.lit(0)))
+    row = daily.agg(spent(F.col("day") == today).alias("micros"), spent(past).alias("sum"))
+    row = row.withColumn("days", exact(F.coalesce(F.least(F.lit(days), F.greatest(F.lit(0), F.date_diff(today, first))), F.lit(0))))
+    historic = (F.col("days") > 0) & (F.col("sum") > 0)
+    mean = F.col("sum") * multiple
+    opens = F.when(historic, (F.col("micros") > floor) & (F.col("micros") * F.col("days") > mean)).otherwise(F.col("micros") > no_history)
+    of = lambda bound: exact(F.col("micros") * 1_000_000) >= exact(F.lit(str(bound * warning_millionths)))
+    near = exact(F.col("micros") * F.col("days")) * 1_000_000 >= exact(mean) * warning_millionths
+    warns = F.when(historic, of(floor) & near).otherwise(of(no_history))
+    return row.select(today.alias("today"), F.col("micros").cast("bigint").alias("micros"), F.col("days").cast("int").alias("days"), opens.alias("open"), warns.alias("warning"))

@@ -186,13 +186,15 @@ def model_comparison(t: Tables) -> DataFrame:
     return t.events.withColumn("model", (F.col("user_id") % 4).cast("string")).groupBy(F.col("event_type").alias("case_id")).pivot("model", ["0", "1", "2", "3"]).agg(F.round(F.avg("value"), 6)).select("case_id", *(F.col(str(k)).alias(f"model_{k}") for k in range(4)))
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(value * 1000000 AS BIGINT)) AS BIGINT) AS micros FROM events GROUP BY 1),
-l AS (SELECT max(day) AS today FROM d)
-SELECT today, (SELECT micros FROM d WHERE day = today) AS micros,
-  (SELECT micros FROM d WHERE day = today) > 1000000 AND (SELECT micros FROM d WHERE day = today) * (SELECT count(*) FROM d WHERE day < today AND day >= today - 7) > (SELECT sum(micros) FROM d WHERE day < today AND day >= today - 7) * 3 AS open FROM l""")
+@query("""WITH e AS (SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, CAST(round(value * 1000000) AS BIGINT) AS micros FROM events), l AS (SELECT CAST(max(ts) + INTERVAL 8 HOUR AS DATE) AS today, min(CAST(ts + INTERVAL 8 HOUR AS DATE)) AS first FROM events),
+s AS (SELECT today, least(7, greatest(0, today - first)) AS days, coalesce(sum(micros) FILTER (WHERE day = today), 0)::HUGEINT AS micros, coalesce(sum(micros) FILTER (WHERE day < today AND day >= today - 7), 0)::HUGEINT AS past FROM l, e GROUP BY today, first)
+SELECT today, CAST(micros AS BIGINT) AS micros, CAST(days AS INTEGER) AS days, CASE WHEN days > 0 AND past > 0 THEN micros > 1000000 AND micros * days > past * 3 ELSE micros > 5000000 END AS open,
+  CASE WHEN days > 0 AND past > 0 THEN micros * 10 >= 1000000 * 8 AND micros * days * 10 >= past * 3 * 8 ELSE micros * 10 >= 5000000 * 8 END AS warning FROM s""")
 def spend_breaker(t: Tables) -> DataFrame:
-    daily = t.events.groupBy(F.col("ts").cast("date").alias("day")).agg(F.sum(F.round(F.col("value") * 1000000).cast("bigint")).alias("micros"))
-    return rollups.spend_breaker(daily, as_of(t).cast("date"), floor=1_000_000, multiple=3, days=7)
+    day = calendar.local_day(F.col("ts"))
+    daily = t.events.groupBy(day.alias("day")).agg(F.sum(F.round(F.col("value") * 1000000).cast("bigint")).alias("micros"))
+    first = F.lit(t.events.agg(F.min(day)).first()[0]).cast("date")
+    return rollups.spend_breaker(daily, calendar.local_day(as_of(t)), first, floor=1_000_000, no_history=5_000_000, multiple=3, days=7)
 
 
 @query("""WITH r AS (SELECT user_id, event_type, props, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2, 3)

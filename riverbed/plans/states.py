@@ -128,10 +128,30 @@ def exact_cost(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_returnflag").alias("currency"), F.col("l_linestatus").alias("basis")).agg(cost.cast("string").alias("cost"), F.count(F.lit(1)).alias("calls"))
 
 
-@query("""WITH d AS (SELECT l_shipdate::DATE AS day, l_orderkey AS id, l_quantity > 25 AS decided, l_linenumber AS line FROM lineitem), a AS (SELECT l_shipdate::DATE AS day, l_orderkey AS id, l_linenumber AS line, l_discount > 0.05 AS wanted FROM lineitem WHERE l_returnflag <> 'N')
-SELECT count(*) FILTER (WHERE wanted AND NOT decided) AS missed, count(*) FILTER (WHERE NOT wanted AND decided) AS extra, count(*) AS answers, count(DISTINCT day) AS days FROM a JOIN d USING (day, id, line)""")
+@query("""WITH a AS (SELECT l_shipdate::DATE AS day, l_partkey AS id, CASE WHEN l_quantity < 3 THEN NULL WHEN l_returnflag = 'A' THEN 'no' WHEN l_returnflag = 'R' THEN 'star' ELSE 'yes' END AS answer, l_orderkey AS o, l_linenumber AS l FROM lineitem),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, id ORDER BY o DESC, l DESC) AS r FROM a) WHERE r = 1 AND answer IS NOT NULL),
+c AS (SELECT DISTINCT l_shipdate::DATE AS day, l_partkey AS id, CASE l_partkey % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'kept' ELSE 'blocked' END AS system FROM lineitem WHERE l_partkey % 7 > 0)
+SELECT count(DISTINCT day) AS days, count(*) AS answered, count(*) FILTER (WHERE answer = 'no') AS no, count(*) FILTER (WHERE answer = 'yes') AS yes, count(*) FILTER (WHERE answer = 'star') AS star,
+  count(*) FILTER (WHERE answer = 'star' AND system IS DISTINCT FROM 'selected') AS missed, count(*) FILTER (WHERE answer <> 'star' AND system = 'selected') AS extra, count(*) FILTER (WHERE answer <> 'no' AND system = 'blocked') AS widened FROM n LEFT JOIN c USING (day, id)""")
 def answer_tally(t: Tables) -> DataFrame:
-    keys = [F.col("l_shipdate").cast("date").alias("day"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")]
-    decisions = t.lineitem.select(*keys, (F.col("l_quantity") > 25).alias("decided"))
-    answers = t.lineitem.filter("l_returnflag <> 'N'").select(*keys, (F.col("l_discount") > 0.05).alias("wanted"))
-    return meters.tally(answers, decisions, ["day", "id", "line"], "day")
+    keys = [F.col("l_shipdate").cast("date").alias("day"), F.col("l_partkey").alias("id")]
+    said = F.when(F.col("l_quantity") < 3, F.lit(None).cast("string")).when(F.col("l_returnflag") == "A", "no").when(F.col("l_returnflag") == "R", "star").otherwise("yes")
+    answers = t.lineitem.select(*keys, said.alias("answer"), "l_orderkey", "l_linenumber")
+    part = F.col("l_partkey")
+    cards = t.lineitem.filter(part % 7 > 0).select(*keys, F.when(part % 3 == 0, "selected").when(part % 3 == 1, "kept").otherwise("blocked").alias("system")).distinct()
+    return meters.tally(answers, cards, ["day", "id"], "day", ["l_orderkey", "l_linenumber"])
+
+
+@query("""WITH j AS (SELECT l_shipdate::DATE AS day, l_orderkey * 10 + l_linenumber AS id, l_returnflag = 'R' AS blocked, CASE WHEN l_linenumber <> 7 THEN l_quantity * 2 END AS score, 50.0 AS threshold, l_suppkey % 14 AS gap,
+  l_quantity >= 25 AS selected, sha256((l_orderkey * 10 + l_linenumber)::VARCHAR || l_shipdate::DATE::VARCHAR) AS h FROM lineitem),
+sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY gap DESC, h) AS n FROM j WHERE NOT blocked AND score IS NOT NULL AND gap >= 10) WHERE n <= 2),
+bl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY h) AS n FROM j WHERE blocked) WHERE n <= 3),
+ne AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY abs(score - threshold), h) AS n FROM j WHERE NOT blocked AND score IS NOT NULL AND id NOT IN (SELECT id FROM sp)),
+tk AS (SELECT day, count(*) AS k FROM (SELECT day FROM sp UNION ALL SELECT day FROM bl) GROUP BY 1),
+al AS (SELECT day, id, h, 'split' AS kind, CASE WHEN selected THEN 'selected' ELSE 'kept' END AS system FROM sp UNION ALL SELECT day, id, h, 'blocked', 'blocked' FROM bl
+  UNION ALL SELECT ne.day, id, h, CASE WHEN selected THEN 'near_pass' ELSE 'near_miss' END, CASE WHEN selected THEN 'selected' ELSE 'kept' END FROM ne LEFT JOIN tk USING (day) WHERE n <= 8 - coalesce(k, 0))
+SELECT day, CAST(row_number() OVER (PARTITION BY day ORDER BY h) AS INTEGER) AS place, id, kind, system FROM al""")
+def review_deck(t: Tables) -> DataFrame:
+    day, line = F.col("l_shipdate").cast("date"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    judged = t.lineitem.select(day.alias("day"), line.alias("id"), (F.col("l_returnflag") == "R").alias("blocked"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity") * 2).alias("score"), F.lit(50.0).alias("threshold"), (F.col("l_suppkey") % 14).alias("gap"), (F.col("l_quantity") >= 25).alias("selected"))
+    return latest.stratified_deck(judged, seats=8, split=2, blocked=3, seed=F.col("day").cast("string"))

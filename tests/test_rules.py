@@ -1,6 +1,7 @@
 """Rule cases at their boundaries, on a few rows each."""
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -38,9 +39,17 @@ def test_repeats_and_the_rate_cap(spark):
 
 
 def test_held_prices():
-    assert series.judge([100, 101, 200, 199, 198], 0.1) == ["accepted", "accepted", "released", "accepted", "accepted"]
-    assert series.judge([100, 200, 101, 300], 0.1) == ["accepted", "discarded", "accepted", "held"]
-    assert series.judge([], 0.1) == []
+    one = lambda values, band=(0.5, 2.0): [next(iter(v.values())) for v in series.judge([{"a": v} for v in values], band)]
+    assert one([100, 101, 203, 199, 198]) == ["accepted", "accepted", "released", "accepted", "accepted"]
+    assert one([100, 201, 100, 50, 24]) == ["accepted", "discarded", "accepted", "accepted", "held"]
+    assert one([100, 200, 399, 900]) == ["accepted", "accepted", "accepted", "held"] and one([100, 151, 151], (0.67, 1.5)) == ["accepted", "released", "accepted"]
+    assert one([100, 0, None, -1, 100]) == ["accepted", "refused", "refused", "refused", "accepted"] and one([]) == []
+    # the held value is neither confirmed nor is the new one plausible: it is held in its place
+    assert one([100, 300, 1000, 1100]) == ["accepted", "discarded", "released", "accepted"]
+    many = [{"a": 10, "b": 10, "c": 10}, {"a": 30, "b": 30, "c": 10}, {"a": 11, "b": 11, "c": 30}, {"a": 11}, {"a": 11, "b": 12, "c": 31}]
+    assert series.judge(many, (0.5, 2.0)) == [
+        dict.fromkeys("abc", "accepted"), dict.fromkeys("abc", "refused"), {"a": "accepted", "b": "accepted", "c": "released"}, {"a": "accepted"}, dict.fromkeys("abc", "accepted")
+    ]
 
 
 def test_percent_change_rounds_halves_away_from_zero(spark):
@@ -150,3 +159,54 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, "<nav><a href='/x'>no</a></nav><p>Hi <b>there</b> &amp; <script>var t='</p>'</script>you<p>End<a href=/y>y</a>"), (2, None)], "page_id long, html string")
     assert {r.page_id: r.text for r in html.readable(pages).collect()} == {1: "Hi there & you\nEndy", 2: ""}
     assert [(r.href, r.label) for r in html.admitted(html.links(pages), ["/"], ["/x"]).collect()] == [("/y", "y")]
+
+
+def test_spend_breaker(spark):
+    from riverbed.operators import rollups
+
+    day = lambda n: dt.date(2024, 1, n)
+
+    def said(rows, first, today=10):
+        df = spark.createDataFrame([(day(d), m) for d, m in rows], "day date, micros long")
+        r = rollups.spend_breaker(df, F.lit(day(today)), F.lit(None if first is None else day(first)).cast("date"), floor=100, no_history=500, multiple=3, days=7).first()
+        return r.micros, r.days, r.open, r.warning
+
+    # days without spend are history too: 70 over 7 days are 10 a day
+    assert said([(9, 70), (10, 101)], 1) == (101, 7, True, True) and said([(9, 70), (10, 100)], 1) == (100, 7, False, True)
+    assert said([(9, 70), (10, 79)], 1) == (79, 7, False, False) and said([(9, 700), (10, 299)], 1) == (299, 7, False, True) and said([(9, 700), (10, 301)], 1) == (301, 7, True, True)
+    # two days of history; what lies before the days is not counted
+    assert said([(9, 100), (10, 151)], 8) == (151, 2, True, True) and said([(2, 9999), (9, 70), (10, 101)], 1)[2]
+    # no history, or none with spend
+    assert said([(10, 500)], None) == (500, 0, False, True) and said([(10, 501)], 10) == (501, 0, True, True) and said([(10, 399)], 1) == (399, 7, False, False)
+    assert said([], 1) == (0, 7, False, False) and said([(9, 2**50), (10, 2**55)], 9)[2:] == (True, True)
+
+
+def test_answers_against_decisions(spark):
+    from riverbed.operators import meters
+
+    answers = [("d1", 1, "star", 1), ("d1", 1, "no", 2), ("d1", 2, "star", 1), ("d1", 3, "yes", 1), ("d2", 4, "star", 1), ("d2", 5, None, 2), ("d2", 5, "yes", 1), ("d2", 6, "maybe", 1), ("d3", 7, "star", 1)]
+    cards = [("d1", 1, "selected"), ("d1", 2, "selected"), ("d1", 3, "blocked"), ("d2", 4, "kept"), ("d2", 5, "selected"), ("d2", 9, "selected")]
+    row = meters.tally(spark.createDataFrame(answers, "day string, id long, answer string, r int"), spark.createDataFrame(cards, "day string, id long, system string"), ["day", "id"], "day", ["r"]).first()
+    assert row.asDict() == {"days": 3, "answered": 5, "no": 1, "yes": 1, "star": 3, "missed": 2, "extra": 1, "widened": 1}
+
+
+def test_decks(spark):
+    from riverbed.operators import latest
+
+    rows = [("d", k, k % 3 == 0, None if k == 7 else float(k), 20.0, k % 13, k > 20) for k in range(40)] + [("e", 100, True, 1.0, 2.0, 0, False)]
+    df = spark.createDataFrame(rows, "day string, id long, blocked boolean, score double, threshold double, gap int, selected boolean")
+    for seats, split, blocked in ((12, 3, 4), (5, 3, 4), (2, 3, 4), (100, 3, 4)):
+        got = latest.stratified_deck(df, seats, split, blocked, F.lit("s")).collect()
+        h = lambda k: hashlib.sha256(f"{k}s".encode()).hexdigest()
+        want = {}
+        for r in sorted((r for r in rows if not r[2] and r[3] is not None and r[5] >= 10 and r[0] == "d"), key=lambda r: (-r[5], h(r[1])))[:split]:
+            if len(want) < seats:
+                want[r[1]] = "split"
+        for r in sorted((r for r in rows if r[2] and r[0] == "d"), key=lambda r: h(r[1]))[:blocked]:
+            if len(want) < seats:
+                want[r[1]] = "blocked"
+        for r in sorted((r for r in rows if not r[2] and r[3] is not None and r[0] == "d"), key=lambda r: (abs(r[3] - 20), h(r[1]))):
+            if len(want) < seats and r[1] not in want:
+                want[r[1]] = "near_pass" if r[6] else "near_miss"
+        assert {r.id: r.kind for r in got if r.day == "d"} == want
+        assert [r.id for r in sorted(got, key=lambda r: r.place) if r.day == "d"] == sorted(want, key=h) and [(r.id, r.kind, r.system, r.place) for r in got if r.day == "e"] == [(100, "blocked", "blocked", 1)]
