@@ -11,32 +11,65 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from riverbed.functions.figures import han_number
+
 #: Similarity that two provisions need to be one, and what an equal number adds (fixed values).
 SAME, SAME_NUMBER = 0.45, 0.2
+_HAN = "0-9一二三四五六七八九十百零〇两"
 #: Headings by numbering family (fixed patterns).
-FAMILIES = (r"^(?:Article|Section|Sec\.|Art\.)\s+(\d+)\b", r"^第([0-9一二三四五六七八九十百零〇]+)条", r"^(\d+)[.)]\s+\S")
+FAMILIES = (r"^(?:Article|Section|Sec\.|Art\.)\s+(\d+)\b", rf"^第\s*([{_HAN}]+)\s*条", r"^(\d+)[.)]\s+\S")
+#: Lines that head a group of provisions and belong to none (fixed patterns).
+GROUPS = re.compile(rf"^(?:第\s*[{_HAN}]+\s*[编章节]|(?:Chapter|Part|Title|Division|Cap[ií]tulo|T[ií]tulo|Secci[oó]n)\s+(?:\d+|[IVXLC]+)\b)", re.I)
+#: What begins an annex, whose provisions count anew (fixed words).
+ANNEXES = ("附件", "附表", "附录", "annex", "appendix", "schedule", "anexo")
+_ANNEX = re.compile(rf"^({'|'.join(ANNEXES)})\s*([{_HAN}]+|[IVXLC]+\b|[A-Z]\b)?\s*[:：.]?\s*(.*)$", re.I)
+_QUOTES = "\"'“”«‘’"
+
+
+def _value(number: str) -> int | None:
+    return int(number) if number.isdigit() else han_number(number)
+
+
+def _annex(line: str) -> str | None:
+    """The annex that a line begins, or None."""
+    m = _ANNEX.match(line)
+    if not m or not m[2] and m[3] or m[3][-1:] in ("。", "；", ";", "."):
+        return None
+    return m[1].lower() + (f"-{m[2]}" if m[2] else "")
 
 
 def split(text: str) -> list[tuple[str, str, str]]:
-    """``(number, text, sha256)`` of each provision, by the numbering family with most hits; a head comes first."""
-    lines = (text or "").split("\n")
-    hits = {f: [k for k, x in enumerate(lines) if re.match(f, x.strip())] for f in FAMILIES}
-    family = max(FAMILIES, key=lambda f: len(hits[f]))
-    starts, last = [], 0
-    for k in hits[family]:
-        number = re.match(family, lines[k].strip())[1]
-        if not number.isdigit() or int(number) > last:  # numbers rise, others are cross references
-            starts.append((k, number))
-            last = int(number) if number.isdigit() else last
-    bounds = [(0, "head"), *starts] if not starts or starts[0][0] else starts
+    """``(number, text, sha256)`` of each provision, by the numbering family with most hits; a head comes first.
+
+    Numbers rise, in figures or in Han numerals: a line with a lower or an equal one refers
+    to another provision and belongs to the one before.  An annex counts from the beginning
+    and names its provisions ``annex-2/1``; lines that head chapters belong to none, quoted
+    lines head nothing.
+    """
+    lines = [x.strip() for x in (text or "").split("\n")]
+    hits = {f: sum(1 for x in lines if x[:1] not in _QUOTES and re.match(f, x)) for f in FAMILIES if lines}
+    family = max(FAMILIES, key=lambda f: hits.get(f, 0))
+    parts: list[tuple[str, list[str]]] = [("head", [])]
+    annex, last = "", 0
+    for line in lines:
+        if not line:
+            continue
+        heads = None if line[0] in _QUOTES else re.match(family, line)
+        value = _value(heads[1]) if heads else None
+        if len(parts) > 1 and (named := _annex(line)):
+            annex, last = f"{named}/", 0
+        elif value is not None and value > last:
+            last = value
+            parts.append((f"{annex}{value}", [line]))
+        elif heads or not GROUPS.match(line) or len(line) > 160 or line[-1] in ";,":
+            parts[-1][1].append(line)
     seen: Counter = Counter()
     out = []
-    for (k, number), end in zip(bounds, [b[0] for b in bounds[1:]] + [len(lines)], strict=True):
-        body = "\n".join(lines[k:end]).strip()
-        if body:
+    for number, body in parts:
+        if plain := "\n".join(body):
             seen[number] += 1
             key = number if seen[number] == 1 else f"{number}#{seen[number]}"
-            out.append((key, body, hashlib.sha256(body.encode()).hexdigest()))
+            out.append((key, plain, hashlib.sha256(plain.encode()).hexdigest()))
     return out
 
 

@@ -64,3 +64,15 @@ def test_table_functions(spark):
     assert [tuple(r) for r in got] == [(1, 0, "head", "Title"), (1, 1, "1", "Article 1 a"), (1, 2, "2", "Article 2 b")]
     got = spark.sql("SELECT t.k, i.* FROM {t} t, LATERAL feed_items(t.feed) i", t=texts).collect()
     assert [tuple(r)[1:5] for r in got] == [(0, "A & B", "http://x/1", None), (1, "T & U", "http://y?a&b", "9"), (2, None, None, None)]
+
+
+def test_provisions_rise_and_annexes_count_anew():
+    from riverbed.operators import provisions
+
+    law = "某法\n第一章 总则\n第一条 为了管理\n第九条 见下文\n第二条规定的除外\n“第三十条”如下\n第十条 施行\n第二章 附则\n第二十一条 完\n附件1：名录\n第一条 甲\n第二条 乙\n附件 本附件说明。\n附件2\n第一条 丙"
+    got = provisions.split(law)
+    assert [p[0] for p in got] == ["head", "1", "9", "10", "21", "附件-1/1", "附件-1/2", "附件-2/1"]
+    text = {p[0]: p[1] for p in got}
+    assert text["9"] == "第九条 见下文\n第二条规定的除外\n“第三十条”如下" and text["10"] == "第十条 施行" and text["head"] == "某法" and text["附件-1/2"] == "第二条 乙\n附件 本附件说明。"
+    act = "Act\nChapter I\nArticle 1 a\nArticle 2 b\nArticle 1 refers back\nSchedule A\nArticle 1 c\nSchedule A\nArticle 1 d"
+    assert [p[0] for p in provisions.split(act)] == ["head", "1", "2", "schedule-A/1", "schedule-A/1#2"] and provisions.split("") == [] and provisions.split(None) == []
