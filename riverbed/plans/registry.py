@@ -35,4 +35,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from riverbed.plans import documents, events, grouping, items, lookups, operations, relational, series, states, tables  # noqa: F401
+    from riverbed.plans import documents, editions, events, grouping, items, lookups, operations, relational, series, states, tables  # noqa: F401
