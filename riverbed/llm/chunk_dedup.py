@@ -1,8 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash places chunk ends by content, so an insertion changes the chunks
-around it and no others.  Each distinct chunk (by digest) is kept once, at its first place
-in the smallest document that has it, and removed everywhere else.
+around it and no others.  Each distinct chunk (by digest) is kept at its first place in the
+smallest document that has it; everywhere else it is removed where it stands in a run of
+such chunks of LEAST bytes or more, or where these are the whole text.  Small chunks find
+most of a passage that repeats; the run keeps what two texts have in common by chance.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from riverbed.llm.common import cut, text_of
 
 #: Chunk sizes in bytes: none ends before MIN (but a text's last), ends are 1 in 2**BITS bytes after it.
 MIN_BYTES, BITS, MAX_BYTES = 32, 5, 1024
+#: Bytes of a run of repeated chunks from which it is removed.
+LEAST = 96
 #: A chunk ends where the top BITS bits of the gear hash, which 32 bytes decide, are zero.
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -61,7 +65,7 @@ def chunks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every chunk that an earlier place of the corpus holds.
+    """Remove the runs of chunks that an earlier place of the corpus holds.
 
     Returns ``id_col, n_bytes, n_chunks, n_shared_chunks, n_removed, n_spans,
     kept_sha256`` for each input row: ``n_shared_chunks`` counts chunks that another
@@ -95,18 +99,22 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data = text.encode()
                 known = {np.array([h["d1"], h["d2"]], np.int64).tobytes(): h["first"] for h in hits or ()}
                 seen: set[bytes] = set()
-                kept, at, removed, spans, n, shared = hashlib.sha256(), -1, 0, 0, 0, 0
+                runs, n, shared = [], 0, 0
                 for start, end, digest in chunks(data):
                     n += 1
                     shared += digest in known
                     if doc is not None and (digest in seen or known.get(digest) is False):
-                        removed += end - start
-                        spans += at != start
-                        at = end
-                    else:
-                        kept.update(data[start:end])
+                        if runs and runs[-1][1] == start:
+                            runs[-1][1] = end
+                        else:
+                            runs.append([start, end])
                     seen.add(digest)
-                rows.append((doc, len(data), n, shared, removed, spans, kept.hexdigest()))
+                gone = [(a, z) for a, z in runs if z - a >= LEAST or z - a == len(data)]
+                kept, at = hashlib.sha256(), 0
+                for a, z in [*gone, (len(data), len(data))]:
+                    kept.update(data[at:a])
+                    at = z
+                rows.append((doc, len(data), n, shared, sum(z - a for a, z in gone), len(gone), kept.hexdigest()))
             cols = list(zip(*rows, strict=True)) or [[] for _ in schema.names]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.string())], names=schema.names)
 

@@ -85,26 +85,54 @@ def test_chunks_resist_shifts_and_rebuild():
     assert sum(d in moved for *_, d in cut) >= len(cut) - 3
 
 
+def plain_chunks(data):
+    """A byte at a time: the hash of the last 32 bytes ends a chunk of 32 to 1024 bytes."""
+    from riverbed.llm.chunk_dedup import _GEAR
+
+    out, start, h = [], 0, 0
+    for i, c in enumerate(data):
+        h = (h << 1) + int(_GEAR[c]) & 0xFFFFFFFF
+        if i + 1 - start >= 32 and h < 1 << 27 or i + 1 - start == 1024:
+            out.append((start, i + 1, data[start : i + 1]))
+            start = i + 1
+    return out + [(start, len(data), data[start:])] * (start < len(data))
+
+
 def test_chunk_dedup_equals_brute_force(spark):
     passage = prose(60)
     texts = samples(40) + [None, "", "short", prose(50) + passage + prose(40), passage + prose(30), prose(300)]
-    texts += [texts[2], texts[3] + texts[3], "z" * 5000]
+    texts += [texts[2], texts[3] + texts[3], "z" * 5000, "short", "a common begin of some forty characters " + prose(90), "a common begin of some forty characters " + prose(90), prose(9000)]
     first = {}
     for i, t in enumerate(texts):
-        for *_, d in chunks((t or "").encode()):
-            first.setdefault(d, i)
+        data = (t or "").encode()
+        assert [data[a:b] for a, b, _ in chunks(data)] == [c for *_, c in plain_chunks(data)]
+        for *_, c in plain_chunks(data):
+            first.setdefault(c, i)
     got = {r.doc_id: r for r in dedup_chunks(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        data, own, kept = (t or "").encode(), set(), b""
-        for a, b, d in chunks(data):
-            if first[d] == i and d not in own:
-                kept += data[a:b]
-            own.add(d)
-        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(data), len(data) - len(kept), hashlib.sha256(kept).hexdigest())
+        data, own, marks = (t or "").encode(), set(), bytearray(len(t.encode() if t else b""))
+        for a, b, c in plain_chunks(data):
+            if first[c] != i or c in own:
+                marks[a:b] = b"x" * (b - a)
+            own.add(c)
+        spans = [(m.start(), m.end()) for m in re.finditer(b"x+", bytes(marks)) if m.end() - m.start() >= 96 or m.end() - m.start() == len(data)]
+        kept = b"".join(data[a:b] for (_, a), (b, _) in zip([(0, 0), *spans], [*spans, (len(data), 0)]))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
     assert got[44].n_shared_chunks > 0 and got[44].n_removed > 100 and got[45].n_removed == 0
+    # a short copy goes whole, a short common begin stays
+    assert got[49].n_removed == 5 and got[51].n_removed == 0
     assert dedup_chunks(frame(spark, texts).filter("false")).collect() == []
 
 
+def test_null_ids_take_no_part(spark):
+    text = prose(120)
+    rows = spark.createDataFrame([(None, text), (None, text), (1, text), (2, text), (2, text)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_removed) for r in dedup_chunks(rows).collect()), key=str)
+    assert got == [(1, 0), (2, len(text.encode())), (2, len(text.encode())), (None, 0), (None, 0)]
+    # repeated strings count whatever the rows' ids are
+    assert [r.n_removed for r in remove_repeats(rows).collect()] == [len(text.encode())] * 5
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
