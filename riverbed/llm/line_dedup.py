@@ -59,14 +59,20 @@ def with_band_keys(df: DataFrame, hashes: str, name: str) -> DataFrame:
     fewer is its own only band.  Equal keys of one line count once; no hashes, no keys.
     """
     points = [(2 * b + 1) * (1 << 62) // BANDS for b in range(BANDS)]
-    # steps of their own, so that each is compiled and evaluated once for a row
-    out = df.withColumn("s_", F.sort_array(hashes))
-    out = out.withColumn("m_", F.sort_array(F.concat("s_", F.array(*map(F.lit, points)))))
-    out = out.withColumns({f"p{b}_": F.array_position("m_", points[b]).cast("int") - (1 + b) for b in range(BANDS)} | {"n_": F.size("s_")})
-    after = lambda b, k: F.get("s_", (F.col(f"p{b}_") + k) % F.greatest("n_", F.lit(1)))
-    bands = F.array_distinct(F.array(*(F.xxhash64(*(after(b, k) for k in range(ROWS))) for b in range(BANDS))))
-    keys = F.when(F.col("n_") >= ROWS, bands).when(F.col("n_") > 0, F.array(F.xxhash64("s_"))).otherwise(F.array().cast("array<bigint>"))
-    return out.withColumn(name, keys).drop("s_", "m_", "n_", *(f"p{b}_" for b in range(BANDS)))
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+
+        def bands(merged: Column) -> Column:
+            # the place of a point among the hashes is how many of them come before it
+            key = lambda b: let(F.array_position(merged, F.lit(points[b])).cast("int") - (1 + b), lambda at: F.xxhash64(*(F.get(own, (at + k) % n) for k in range(ROWS))))
+            return F.array_distinct(F.array(*map(key, range(BANDS))))
+
+        few = F.when(n > 0, F.array(F.xxhash64(own))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= ROWS, let(F.sort_array(F.concat(own, F.array(*map(F.lit, points)))), bands)).otherwise(few)
+
+    # bound variables, so that each sort is evaluated once for a row
+    return df.withColumn(name, let(F.sort_array(hashes), of))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -33,7 +33,7 @@ from riverbed.llm.components import components
 #: So many members of a leader's group at most are compared with each other in the first
 #: round, twice as many in each further one, when ever fewer members are left, and never
 #: more than MOST: a task holds no more pairs of a group than these make.
-FEW, MOST = 32, 256
+FEW, MOST = 32, 1024
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
