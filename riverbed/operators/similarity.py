@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.functions.text import NEAR_BITS, bigrams, jaccard, normal_text_udf
+from riverbed.sources.shared import shared_dir
 
 #: So much of a normalised title is compared (a fixed value).
 TITLE_MOST = 300
@@ -65,7 +67,12 @@ def title_pairs(titles: DataFrame, block: list[str], least: float) -> DataFrame:
     nodes = titles.select("id", *block, plain.alias("title")).groupBy(*block, "title").agg(F.min("id").alias("id")).withColumn("grams", bigrams(F.col("title"))).filter(F.size("grams") > 0)
     slots = F.transform("grams", lambda g: F.pmod(F.hash(g), F.lit(256)))
     word = lambda k: F.aggregate(F.filter(slots, lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))))
-    each = nodes.select(*block, "id", F.size("grams").alias("n"), *(word(k).alias(f"m{k}") for k in range(4)), F.explode("grams").alias("gram"))
+    nodes = nodes.withColumns({f"m{k}": word(k) for k in range(4)})
+    # read four times below, so it is written once
+    path = f"{shared_dir(titles.sparkSession)}/riverbed-titles-{uuid.uuid4().hex}"
+    nodes.write.parquet(path)
+    nodes = titles.sparkSession.read.schema(nodes.schema).parquet(path)
+    each = nodes.select(*block, "id", F.size("grams").alias("n"), "m0", "m1", "m2", "m3", F.explode("grams").alias("gram"))
     counted = each.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("c"))
     both = F.expr(" and ".join(f"e.{b} <=> c.{b}" for b in [*block, "gram"]))  # a null is a block of its own
     held = each.alias("e").join(counted.alias("c"), both).select("e.*", "c.c")
