@@ -171,7 +171,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, othe
 def group_candidates(t: Tables) -> DataFrame:
     scored = t.orders.select(F.col("o_custkey").alias("anchor"), F.col("o_orderkey").alias("other"), F.round(F.col("o_totalprice") / 500000, 6).alias("score")).filter("score >= 0.25")
     top = latest.first_per_key(scored, ["anchor"], 10, F.desc("score"), F.asc("other"))
-    return top.groupBy("anchor").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("candidates"), F.max_by("other", "score").alias("top"))
+    return top.groupBy("anchor").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("candidates"), F.max_by("other", F.struct("score", -F.col("other"))).alias("top"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderpriority AS old FROM orders), m AS (SELECT '1-URGENT' AS old, 'top' AS new UNION ALL SELECT '2-HIGH', 'top' UNION ALL SELECT '5-LOW', 'rest'),
