@@ -44,14 +44,15 @@ def resolve_chain(pointers: DataFrame, hops: int = 10) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` by spreading the least label and jumping over it until nothing changes."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u is not null and v is not null").distinct()
+    # merge joins at every size: labels grow with the table, and no round sends them to the driver
     both = _kept(both)
     labels = _kept(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")).withColumnRenamed("u", "node"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("u", "node"), "node").withColumn("next", F.least("label", "near"))
+        near = both.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        spread = labels.join(near.withColumnRenamed("u", "node").hint("merge"), "node").withColumn("next", F.least("label", "near"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         jumped = F.least("next", F.coalesce("far", "next"))
-        after = _kept(spread.join(jump, "next", "left").select("node", jumped.alias("label"), F.col("label").alias("before")))
+        after = _kept(spread.join(jump.hint("merge"), "next", "left").select("node", jumped.alias("label"), F.col("label").alias("before")))
         if after.filter("label <> before").isEmpty():
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")
