@@ -51,3 +51,20 @@ def same_version(left: DataFrame, right: DataFrame, keys: list[str], null_safe:
         match = match & p
     shared = {*keys, *(null_safe or ())}
     return l.join(r, match, how).select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in shared))
+
+
+#: Numbers of 64 bits in the map of ``maybe_among``: every task gets 131,072 rows at most (a fixed value).
+MAP_WORDS = 1 << 17
+
+
+def maybe_among(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be one of ``others``; most of those that are none are left out.
+
+    A bit map of a fixed size, by a hash of the keys, goes to every task, so a join behind
+    it shuffles little more than what it keeps, however large the sides are.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(64 * MAP_WORDS))
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))
+    marks = others.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit(F.col("_slot"))).alias("_bits"))
+    placed = df.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6))
+    return placed.join(F.broadcast(marks), "_word").filter(F.col("_bits").bitwiseAND(bit(F.col("_slot"))) != 0).select(df.columns)

@@ -22,8 +22,10 @@ def phrase_search(t: Tables) -> DataFrame:
     phrases.build(t.documents.select(F.col("doc_id").alias("doc"), "text"), path)
     first = F.array_join(F.slice(phrases.terms(F.col("text")), 1, 3), " ")
     asked = t.documents.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("phrase"), first.alias("text"))
-    found = phrases.search(phrases.load(t.spark, path), asked)
-    return found.groupBy("phrase").agg(F.count_distinct("doc").alias("documents"), F.count(F.lit(1)).alias("places"), F.min("doc").alias("first"))
+    # documents that begin alike ask for one phrase, which is searched and counted once
+    found = phrases.search(phrases.load(t.spark, path), asked.select(F.col("text").alias("phrase"), "text").distinct())
+    counts = found.groupBy(F.col("phrase").alias("text"), "doc").agg(F.count(F.lit(1)).alias("n")).groupBy("text").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("places"), F.min("doc").alias("first"))
+    return asked.join(counts, "text").select("phrase", "documents", "places", "first")
 
 
 @query("""SELECT CAST(l_orderkey AS BIGINT) AS page, 'Part ' || l_partkey AS name, 'box' AS unit, l_suppkey || '001' AS value, l_orderkey % 5 = 0 AS held FROM lineitem""")
