@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riverbed.operators import joins
+
 #: Legal forms that names are looked up without (fixed values).
 LEGAL_FORMS = ("inc", "ltd", "limited", "corp", "corporation", "plc", "sa", "ag", "gmbh", "llc", "co", "company", "group", "holdings", "股份有限公司", "有限责任公司", "有限公司", "集团")
 
@@ -59,7 +61,8 @@ def link(docs: DataFrame, dictionary: DataFrame, head_words: int = 12) -> DataFr
     begin no other.  An entity in the first words is the subject, others are mentions.
     Names with one key are all linked; an entity's name is no blocker.  Names are read by
     their words: runs of words of the names' lengths meet the keys in a join, of any size
-    on either side, and only matches go on.  Null texts and names hold nothing.
+    on either side; runs that a bit map of the keys tells to be none are not shuffled, and only
+    matches go on.  Null texts and names hold nothing.
     """
     keyed = dictionary.select(lookup_key_udf("name").alias("key"), "entity").filter("key <> ''")
     names = keyed.groupBy("key").agg(F.array_sort(F.collect_set("entity")).alias("entities")).withColumn("n", F.size(F.split("key", " ")))
@@ -67,7 +70,7 @@ def link(docs: DataFrame, dictionary: DataFrame, head_words: int = 12) -> DataFr
     words = docs.filter("doc_id is not null").select("doc_id", plain_words("text").alias("words")).crossJoin(F.broadcast(sizes))
     spans = F.flatten(F.transform("lengths", lambda n: F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("place"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("key")))))
     grams = words.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*")
-    met = grams.join(names.select("key", "entities"), "key")
+    met = joins.maybe_among(grams, names, "key").join(names.select("key", "entities"), "key")
     longest = met.groupBy("doc_id", "place").agg(F.max(F.struct("n", "entities")).alias("m"))
     found = longest.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "m.n", "m.entities"))).alias("all"))
     kept = found.withColumn("stay", leftmost(F.col("all.place"), F.col("all.n")))
