@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from riverbed.operators import changes, graphs, joins, latest
 from riverbed.plans.registry import Tables, query
 
+#: The pairs of about so many order lines are counted by one task (a fixed value).
+PAIRED_LINES = 250_000
+
 
 @query("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def latest_per_key(t: Tables) -> DataFrame:
@@ -200,8 +203,9 @@ SELECT x, y, count(*) AS together FROM q GROUP BY 1, 2 HAVING count(*) >= 2""")
 def pairs_related(t: Tables) -> DataFrame:
     # an order has at most seven lines, so its pairs are few
     p = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    pairs = p.alias("a").join(p.alias("b"), F.expr("a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey"))
-    return pairs.groupBy(F.col("a.l_partkey").alias("x"), F.col("b.l_partkey").alias("y")).agg(F.count(F.lit(1)).alias("together")).filter("together >= 2")
+    pairs = p.alias("a").join(p.alias("b"), F.expr("a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey")).select(F.col("a.l_partkey").alias("x"), F.col("b.l_partkey").alias("y"))
+    # most pairs are there once, so they are dealt out before they are counted; a task's share does not grow with the table
+    return pairs.repartition(-(-t.lineitem.count() // PAIRED_LINES) or 1, "x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("together")).filter("together >= 2")
 
 
 @query("""SELECT * FROM (SELECT o_custkey AS place, o_orderkey, o_orderdate, 'newest' AS slot FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 9)
