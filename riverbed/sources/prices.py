@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -49,27 +52,53 @@ class _Cells(HTMLParser):
             self.cells[-1][0] += data
 
 
+#: A tag that a page can be cut at; pages with anything else in angle brackets, or with references, are parsed sign by sign.
+_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \n\t]+[A-Za-z-]+(?:=(?:"[^"<>&]*"|'[^'<>&]*'|[A-Za-z0-9_-]+))?)*)[ \n\t]*>""")
+_ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:=(?:"([^"]*)"|'([^']*)'|([A-Za-z0-9_-]+)))?""")
+#: Tags behind which no other tags count (fixed names).
+_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"))
+
+
+def _read(html: str) -> _Cells:
+    """The page's cells; plain pages are cut at their tags, which is several times faster than the parser."""
+    page = _Cells()
+    parts = _TAG.split(html)
+    names = [t.lower() for t in parts[2::4]]
+    if "&" in html or any("<" in text for text in parts[::4]) or not _RAW.isdisjoint(names) or any(a for end, a in zip(parts[1::4], parts[3::4], strict=True) if end):
+        page.feed(html)
+        page.close()
+        return page
+    page.handle_data(parts[0])
+    for end, name, attributes, text in zip(parts[1::4], names, parts[3::4], parts[4::4], strict=True):
+        if end:
+            page.handle_endtag(name)
+        else:
+            page.handle_starttag(name, [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)] if attributes else ())
+        if text:
+            page.handle_data(text)
+    return page
+
+
 def grids(html: str | None) -> list[list[tuple[int, int, str]]]:
     """``(row, column, text)`` of each table, a cell repeated wherever its spans reach.
 
     A row span of 0 reaches to the table's end.  Where two cells would share a place, the
     first keeps it.  White space is collapsed.
     """
-    page = _Cells()
-    page.feed(html or "")
-    page.close()
+    page = _read(html or "")
     out = []
     for rows in page.tables:
         taken: dict[tuple[int, int], str] = {}
         for r, cells in enumerate(rows):
             c = 0
             for text, down, across in cells:
+                plain = " ".join(text.split())
                 while (r, c) in taken:
                     c += 1
                 down = min(down or len(rows), len(rows) - r)
                 for y in range(r, r + down):
                     for x in range(c, c + across):
-                        taken.setdefault((y, x), " ".join(text.split()))
+                        taken.setdefault((y, x), plain)
                 c += across
         out.append([(y, x, t) for (y, x), t in sorted(taken.items())])
     return out
@@ -82,6 +111,20 @@ class TableCells:
         yield from ((k, y, x, t) for k, cells in enumerate(grids(html)) for y, x, t in cells)
 
 
+def priced(html: str | None, header: list[str]) -> tuple[list[tuple[str, str, str]], bool]:
+    """The rows of a page's first table with the header that has any, and whether another one has others."""
+    copies = []
+    for cells in grids(html):
+        rows: dict[int, list[str]] = {}
+        for y, x, text in cells:
+            if x < 3:
+                rows.setdefault(y, [""] * 3)[x] = text if x < 2 else text.replace(",", "")
+        if rows.get(0) == [header[0], header[1], header[2].replace(",", "")]:
+            if body := [(y, *row) for y, row in rows.items() if y > 0 and row[0] != ""]:
+                copies.append(body)
+    return ([row[1:] for row in copies[0]], any(c != copies[0] for c in copies)) if copies else ([], False)
+
+
 def register(spark: SparkSession) -> None:
     """Name the table function for SQL: ``LATERAL table_cells(html)``."""
     spark.udtf.register("table_cells", udtf(TableCells, returnType="tab int, row int, col int, text string"))
@@ -96,15 +139,17 @@ def table_prices(pages: DataFrame, header: list[str]) -> DataFrame:
     have no rows.
     """
     register(pages.sparkSession)
-    cells = pages.sparkSession.sql("SELECT p.page, c.* FROM {pages} p, LATERAL table_cells(p.html) c", pages=pages).filter(F.col("col") < len(header))
-    rows = cells.groupBy("page", "tab", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("c"))
-    plain = lambda k: F.coalesce(F.col("c")[k], F.lit(""))
-    rows = rows.select("page", "tab", "row", plain(0).alias("name"), plain(1).alias("unit"), F.replace(plain(2), F.lit(","), F.lit("")).alias("value"))
-    heads = rows.filter((F.col("row") == 0) & (F.col("name") == header[0]) & (F.col("unit") == header[1]) & (F.col("value") == header[2].replace(",", ""))).select("page", "tab")
-    body = rows.join(heads, ["page", "tab"]).filter((F.col("row") > 0) & (F.col("name") != ""))
-    copies = body.groupBy("page", "tab").agg(F.sort_array(F.collect_list(F.struct("row", "name", "unit", "value"))).alias("all"))
-    first = copies.groupBy("page").agg(F.min_by("all", "tab").alias("all"), (F.count_distinct("all") > 1).alias("held"))
-    return first.select("page", F.explode("all").alias("r"), "held").select("page", "r.name", "r.unit", "r.value", "held")
+
+    # a page's tables stay in one row, so no cell is shuffled
+    @F.arrow_udf("struct<rows: array<struct<name: string, unit: string, value: string>>, held: boolean>")
+    def read(html: pa.Array) -> pa.Array:
+        found = [priced(h, header) for h in html.to_pylist()]
+        ends = pa.array(itertools.accumulate((len(rows) for rows, _ in found), initial=0), pa.int32())
+        cells = pa.StructArray.from_arrays([pa.array([r[k] for rows, _ in found for r in rows], pa.string()) for k in range(3)], ["name", "unit", "value"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, cells), pa.array([held for _, held in found], pa.bool_())], ["rows", "held"])
+
+    found = pages.filter("page is not null").select("page", read("html").alias("f"))
+    return found.select("page", F.explode("f.rows").alias("r"), "f.held").select("page", "r.name", "r.unit", "r.value", "held")
 
 
 _FIXING = "_FromDate string, Record array<struct<_Date string, _Code string, Buy string, Sell string>>"
