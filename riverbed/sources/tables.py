@@ -8,10 +8,13 @@ no rows.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from riverbed.operators import provisions as provisions_
@@ -53,8 +56,29 @@ class FeedItems:
         return (raw[1] if raw else entities.unescape(found[1])).strip() or None
 
 
+def name_function(spark: SparkSession, name: str, rows: Callable[[str], Iterable[tuple]], fields: str) -> None:
+    """Name a table function of one text for SQL; ``rows`` gives a text's rows as ``fields`` says.
+
+    Python gets whole batches of texts, and a text's rows come back as one array, which the
+    function lays out: several times faster than a call and a message for each row.
+    """
+
+    kinds = [tuple(f.split()) for f in fields.split(", ")]
+
+    @F.arrow_udf(f"array<struct<{fields}>>")
+    def found(texts: pa.Array) -> pa.Array:
+        each = [list(rows(t)) for t in texts.to_pylist()]
+        flat = [r for own in each for r in own]
+        columns = [pa.array([r[k] for r in flat], pa.int32() if kind == "int" else pa.string()) for k, (_, kind) in enumerate(kinds)]
+        ends = pa.array(itertools.accumulate(map(len, each), initial=0), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, [n for n, _ in kinds]))
+
+    spark.udf.register(f"{name}_rows", found)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(source STRING) RETURNS TABLE({fields}) RETURN SELECT * FROM inline({name}_rows(source))")
+
+
 def register(spark: SparkSession) -> None:
     """Name the table functions for SQL."""
     spark.udtf.register("html_links", udtf(HtmlLinks, returnType="position int, href string, label string"))
-    spark.udtf.register("provisions", udtf(Provisions, returnType="place int, number string, text string, sha string"))
+    name_function(spark, "provisions", Provisions().eval, "place int, number string, text string, sha string")
     spark.udtf.register("feed_items", udtf(FeedItems, returnType="place int, title string, url string, id string, summary string, published string"))
