@@ -13,9 +13,13 @@ one more.  Items that nobody else has, and buckets in which all are connected al
 dropped; copies that differ by edits of their own leave nothing behind.  The bound is at
 least one for all partners that are not smaller than the leader; where it is below one for
 smaller ones, x stays in its bucket for another round, with these alone.  Leaders are the
-sets that meet most others.  So no link is lost within a bucket, each round has one
-comparison with a leader for each member, and each round's leaders drop out of their
-buckets.  A leader's small group (FEW sets) is compared at once.
+sets that meet most others; in the first round large buckets of the same copies take one
+leader together.  A bucket is settled when its members but the leader are all connected, so
+one of two sets is settled by its leader.  Of the members of an open group only those seek
+that are outside its main component, as one end of each missing link is.  So no link is
+lost within a bucket, each round has one comparison with a leader at most for each member,
+and from the second round on leaders drop out of their buckets, and buckets of at most FEW
+sets, which share a rare item, are compared at once.  So is a leader's small group.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from riverbed.llm.components import components
 
 #: So many members of a leader's group at most are compared with each other in the first
 #: round, twice as many in each further one, when ever fewer members are left, and never
-#: more than MOST: a task holds no more pairs of a group than these make.
+#: more than MOST: a task holds no more pairs of a group than these make.  Buckets of at
+#: most FEW sets are compared so from the second round on.
 FEW, MOST = 32, 1024
 
 
@@ -77,46 +82,77 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
     def group_of(df: DataFrame) -> DataFrame:
         return df.join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")).hint("merge"), "id", "left").withColumn("g", F.coalesce("g", "id"))
 
+    def of_leader(df: DataFrame) -> DataFrame:
+        return df.join(groups.select(F.col("node").alias("h"), F.col("component").alias("gh")).hint("merge"), "h", "left").withColumn("gh", F.coalesce("gh", "h"))
+
     def least_common(total: Column) -> Column:
         """The fewest common items of a link between sets of ``total`` items together."""
         return F.ceil(percent * total / (100 + percent)).cast("int")
 
+    def pairs_of(df: DataFrame) -> DataFrame:
+        """The pairs of members ``(key, id, n, g)`` of one key that are not connected, each once."""
+        all_ = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "g"))).alias("all"))
+        ways = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["id"] < x["id"]) & (y["g"] != x["g"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))))
+        return all_.select(F.explode(F.flatten(ways)).alias("p")).select("p.*").distinct()
+
     now = cut(members.join(small.select("id", "n").hint("merge"), "id").join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).hint("merge"), "bucket"), "round")
     delete(members)
     found: list[DataFrame] = []
     groups = now.sparkSession.createDataFrame([], "node long, component long")
     for turn in itertools.count():
         few_now = min(FEW * 2**turn, MOST)
+        if turn:
+            # buckets of a rare item are settled at once; they hold no copies that a leader would connect
+            links = cut(verified(pairs_of(group_of(now.filter(F.col("c") <= FEW)).select(F.col("bucket").alias("key"), "id", "n", "g"))), "links")
+            found.append(links)
+            groups = _joined(groups, links)
+            rare, now = now, cut(now.filter(F.col("c") > FEW), "round")
+            delete(rare)
+            if now.isEmpty():
+                delete(now)
+                break
         # the more a set meets others, the nearer it is to the middle of its copies
         scores = now.groupBy("id").agg(F.sum("c").alias("score"))
         leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))
-        lead = now.join(scores.hint("merge"), "id").groupBy("bucket").agg(leader.alias("l"), F.min("n").alias("low")).select("bucket", "l.h", "l.nh", "low")
-        star = cut(now.join(lead.hint("merge"), "bucket").filter("id <> h").groupBy("h", "id").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("nh").alias("nh")), "stars")
-        # all that is linked with its leader is one component
-        links = cut(verified(star.select(F.col("id").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb"))), "links")
+        lead = now.join(scores.hint("merge"), "id").groupBy("bucket").agg(leader.alias("l"), F.min("n").alias("low"), F.first("c").alias("c"))
+        if turn == 0:
+            # large buckets of the same copies take one leader, which need not be in each of them
+            best = now.select("bucket", "id").join(lead.filter(F.col("c") > FEW).hint("merge"), "bucket").groupBy("id").agg(F.min("l").alias("best"))
+            lead = lead.withColumn("of", F.when(F.col("c") > FEW, F.col("l.h"))).join(best.withColumnRenamed("id", "of").hint("merge"), "of", "left").withColumn("l", F.coalesce("best", "l"))
+        lead = lead.select("bucket", "l.h", "l.nh", "low")
+        led = cut(now.select("bucket", "id", "n").join(lead.hint("merge"), "bucket").filter("id <> h"), "led")
+        delete(now)
+        # all that is linked with its leader is one component; what is in its component already need not be compared
+        star = led.groupBy("h", "id").agg(F.first("n").alias("n"), F.first("nh").alias("nh"))
+        star = cut(of_leader(group_of(star)).filter("g <> gh").select(F.col("id").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")), "stars")
+        links = cut(verified(star), "links")
         found.append(links)
         groups = _joined(groups, links)
-        grouped = group_of(star).join(links.select(F.col("a").alias("id"), F.col("b").alias("h"), F.lit(True).alias("linked")).hint("merge"), ["id", "h"], "left").withColumn("linked", F.col("linked").isNotNull())
-        open_ = grouped.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("size")).filter("g1 <> g2").select("h", "size")
-        left = cut(grouped.join(open_.hint("merge"), "h"), "open")
         delete(star)
+        # a bucket whose members are all connected, or that has none but its leader and one more, is settled
+        grouped = group_of(led)
+        unsettled = grouped.groupBy("bucket").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("bucket")
+        left = grouped.join(unsettled.hint("merge"), "bucket").groupBy("h", "id").agg(F.min("low").alias("low"), *(F.first(c).alias(c) for c in ("n", "nh", "g")))
+        left = of_leader(left)
+        # the component that most are in, the leader's where others are in it, has nobody to look for
+        most = left.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("g") == F.col("gh")).alias("own"))
+        most = most.groupBy("h").agg(F.sum("c").alias("size"), F.max(F.struct("own", "c", "g")).alias("m")).select("h", "size", F.col("m.g").alias("most"))
+        left = cut(left.join(most.hint("merge"), "h").select("h", "id", "n", "nh", "low", "g", "size", (F.col("g") != F.col("most")).alias("apart")), "open")
         # a small group's pairs, each once
-        few = left.filter(F.col("size") <= few_now).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("id", "n", "g"))).alias("all"))
-        some = few.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["id"] < x["id"]) & (y["g"] != x["g"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))).alias("p")).select("p.*").distinct()
-        links = cut(verified(some), "links")
+        links = cut(verified(pairs_of(left.filter(F.col("size") <= few_now).select(F.col("h").alias("key"), "id", "n", "g"))), "links")
         found.append(links)
         many = left.filter(F.col("size") > few_now)
         if many.isEmpty():
-            delete(left, now)
+            delete(left, led)
             groups = _joined(groups, links)
             break
         # what each member has and its leader has not
         apart = many.join(sets.select("id", "items").hint("merge"), "id").join(sets.select(F.col("id").alias("h"), F.col("items").alias("ih")).hint("merge"), "h")
         rest = F.array_except("items", "ih")
-        apart = apart.select("h", "nh", "id", "n", "g", "linked", "low", rest.alias("rest"))
+        apart = apart.select("h", "nh", "id", "n", "g", "apart", "low", rest.alias("rest"))
         needed = lambda least: least_common(F.col("n") + F.greatest(least, F.ceil(percent * F.col("n") / 100).cast("int"))) - (F.col("n") - F.size("rest"))
-        apart = apart.withColumn("again", ~F.col("linked") & (needed("low") < 1)).withColumn("need", needed(F.when(F.col("again"), F.col("nh")).otherwise(F.col("low"))))
-        apart = cut(apart.withColumn("apart", ~F.col("linked")), "apart")
+        apart = apart.withColumn("again", F.col("apart") & (needed("low") < 1)).withColumn("need", needed(F.when(F.col("again"), F.col("nh")).otherwise(F.col("low"))))
+        apart = cut(apart, "apart")
         items = apart.select("h", "id", "n", "g", "apart", F.explode("rest").alias("e"))
         shared = items.groupBy("h", "e").agg(F.count(F.lit(1)).alias("c"), (F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks")).filter("c > 1 and seeks").select("h", "e", "c", "mixed")
         common = cut(items.join(shared.hint("merge"), ["h", "e"]), "common")
@@ -127,12 +163,12 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         others = common.filter("mixed and not apart").select("h", "id", "n", "g", "apart", "e")
         after = seekers.unionByName(others).select(F.xxhash64("h", "e").alias("bucket"), "id", "n", "g", "apart")
         # partners smaller than the leader, for those that may have them
-        again = now.join(lead.hint("merge"), "bucket").filter("id <> h").join(apart.filter("again").select("h", "id", F.lit(True).alias("apart")).hint("merge"), ["h", "id"], "left")
+        again = led.join(apart.filter("again").select("h", "id", F.lit(True).alias("apart")).hint("merge"), ["h", "id"], "left")
         again = group_of(again.filter("apart or n < nh")).select(F.xxhash64("bucket", F.lit("again")).alias("bucket"), "id", "n", "g", F.col("apart").isNotNull().alias("apart"))
         after = after.unionByName(again)
         mixed = after.groupBy("bucket").agg((F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks"), F.count(F.lit(1)).alias("c")).filter("mixed and seeks").select("bucket", "c")
         following = cut(after.join(mixed.hint("merge"), "bucket").select("bucket", "id", "n", "c"), "round")
-        delete(now, left, apart, common)
+        delete(led, left, apart, common)
         fewer = cut(sets.join(following.select("id").distinct().hint("merge"), "id", "left_semi"), "sets")
         delete(sets)
         sets = fewer
