@@ -1,44 +1,42 @@
-"""Linking similar sets, given their band keys, without forming all pairs of a group.
+"""Linking similar sets, given their band keys, without fetching the sets of all pairs of a group.
 
 The members of a bucket (a band key that several sets share) meet one leader, and those
-linked with it are one component at once.  What is left is settled by what the leader
-lacks.  Let a link ask for ``i`` common items with ``i >= c * (|x| + |y|)``, where
-``c = percent / (100 + percent)``.  If x is not linked to the leader L, then x has too few
-items in common with L to be linked with anything *through* L's items alone: a link of x
-with a set of at least ``low`` items needs ``ceil(c * (|x| + low)) - |x & L|`` items in
-common that L has not.  Where that is at least one, x and its partner share an item outside
-L, so the bucket falls apart into buckets ``(L, item)``, without L.  Of an unlinked x's
-items outside L the rarest are enough (the prefix filter): all but as many as it needs, and
-one more.  Items that nobody else has, and buckets in which all are connected already, are
-dropped; copies that differ by edits of their own leave nothing behind.  The bound is at
-least one for all partners that are not smaller than the leader; where it is below one for
-smaller ones, x stays in its bucket for another round, with these alone.  Leaders are the
-sets that meet most others; in the first round large buckets of the same copies take one
-leader together.  A bucket is settled when its members but the leader are all connected, so
-one of two sets is settled by its leader.  Of the members of an open group only those seek
-that are outside its main component, as one end of each missing link is.  So no link is
-lost within a bucket, each round has one comparison with a leader at most for each member,
-and from the second round on leaders drop out of their buckets, and buckets of at most FEW
-sets, which share a rare item, are compared at once.  So is a leader's small group.
+linked with it are one component at once.  Leaders are the sets that meet most others; large
+buckets of the same copies take one leader together.  A bucket is settled when its members
+but the leader are all connected, so one of two sets is settled by its leader.  Members of
+the other buckets meet a few leaders more.
+
+In the buckets that are still open buckets every two members that are not connected yet are held against each
+other by size and sketch, inside a join that hands on only pairs that can be links.  Where
+sets bring no sketch, one is made of the parities of their items: two sets differ in at
+least as many items as their sketches do in bits, so no link is turned away.  A bucket of
+more than BLOCK members is dealt into parts, of which any two meet in a task of their own: a
+task holds two parts, and what is shuffled is the square of a bucket's size divided by BLOCK.
+Comparing sketches is the square of an open bucket's size; sets are fetched for likely pairs
+alone, for the closest few of each two components first and for the others where these
+are no links.  So no link is lost within a bucket.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.llm.common import cut, delete
-from riverbed.llm.components import components
+from riverbed.llm.components import components, is_small
 
-#: So many members of a leader's group at most are compared with each other in the first
-#: round, twice as many in each further one, when ever fewer members are left, and never
-#: more than MOST: a task holds no more pairs of a group than these make.  Buckets of at
-#: most FEW sets are compared so from the second round on.
-FEW, MOST = 32, 1024
+#: Buckets of more than FEW sets share leaders; of two components so many of the closest
+#: pairs are verified first, WIDER times as many of those left next, then all that are left.
+FEW, WIDER = 32, 32
+#: Further leaders of a bucket that the first one has not settled.
+LEADERS = 4
+#: Members of a bucket's part, of which two meet in a task.
+BLOCK = 1024
+#: 64-bit words of a sketch.
+SKETCH = 8
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -48,14 +46,26 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return keys.join(shared.hint("merge"), "bucket").select("bucket", "id")
 
 
+def bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ."""
+    return functools.reduce(Column.__add__, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH)))
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """``(id, sketch)``: bit b of a sketch is the parity of the items that hash to b."""
+    place = sets.select("id", F.explode("items").alias("e")).select("id", F.xxhash64("e").alias("x"))
+    word, bit = F.col("x").bitwiseAND(F.lit(SKETCH - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("x", 32).bitwiseAND(F.lit(63)).cast("int"))
+    return place.groupBy("id").agg(*(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(SKETCH))).select("id", F.array(*(f"w{k}" for k in range(SKETCH))).alias("sketch"))
+
+
 def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, plausible: Callable[[Column, Column, float], Column] | None) -> tuple[DataFrame, DataFrame]:
     """Links between sets, and their components.
 
     ``members``: ``(bucket, id)``; ``nodes``: ``(id, n, sketch)`` with the set's size and
-    sketch; ``sets_of(ids)``: ``(id, items)`` with the full sets of those ids, distinct
-    items; ``plausible(sketch, sketch, similarity)``: whether two sketches can have come
-    from sets of at least that similarity, or None where full sets are as small as
-    sketches.  A link is ``100 * intersection >= percent * union``.  Returns
+    sketch of SKETCH words; ``sets_of(ids)``: ``(id, items)`` with the full sets of those
+    ids, distinct items; ``plausible(sketch, sketch, similarity)``: whether two sketches can
+    have come from sets of at least that similarity, or None where sketches are to be made
+    of the sets.  A link is ``100 * intersection >= percent * union``.  Returns
     ``(a, b, inter, both)``, links enough to connect each component, and
     ``(node, component)``.
     """
@@ -66,119 +76,102 @@ def near_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFram
         sets = cut(sets_of(small.select("id")), "sets")
     else:
         sets = cut(sets_of(ids), "sets")
-        small = sets.select("id", F.size("items").alias("n"))
+        # a set without items has no sketch, and no links
+        small = cut(sets.select("id", F.size("items").alias("n")).join(parities(sets).hint("merge"), "id"), "nodes")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``(a, b, na, nb)`` that are links."""
-        likely = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    def likely(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+        """Whether sets of these sizes and sketches can be a link."""
+        sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
         if plausible:
-            sketch = lambda of, name: small.select(F.col("id").alias(of), F.col("sketch").alias(name))
-            likely = likely.join(sketch("a", "sa").hint("merge"), "a").join(sketch("b", "sb").hint("merge"), "b").filter(plausible(F.col("sa"), F.col("sb"), percent / 100))
-        items = lambda of, name: sets.select(F.col("id").alias(of), F.col("items").alias(name))
-        full = likely.select("a", "b", "na", "nb").join(items("a", "ia").hint("merge"), "a").join(items("b", "ib").hint("merge"), "b")
+            return sizes & plausible(sa, sb, percent / 100)
+        # a link has so many items in common at least; all others are in one of the two alone
+        common = F.ceil(percent * (na + nb) / (100 + percent))
+        return sizes & (bits_apart(sa, sb) <= na + nb - 2 * common)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the written pairs ``(a, b, na, nb)`` that are links."""
+        wanted = sets
+        if is_small(pairs):
+            wanted = sets.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+        items = lambda of, name: wanted.select(F.col("id").alias(of), F.col("items").alias(name))
+        full = pairs.select("a", "b", "na", "nb").join(items("a", "ia").hint("merge"), "a").join(items("b", "ib").hint("merge"), "b")
         met = full.select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("inter"), (F.col("na") + F.col("nb")).alias("total"))
         return met.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("both")).filter(f"100 * inter >= {percent} * both")
 
-    def group_of(df: DataFrame) -> DataFrame:
-        return df.join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")).hint("merge"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+    def group_of(df: DataFrame, of: str = "id", name: str = "g") -> DataFrame:
+        return df.join(groups.select(F.col("node").alias(of), F.col("component").alias(name)).hint("merge"), of, "left").withColumn(name, F.coalesce(name, of))
 
-    def of_leader(df: DataFrame) -> DataFrame:
-        return df.join(groups.select(F.col("node").alias("h"), F.col("component").alias("gh")).hint("merge"), "h", "left").withColumn("gh", F.coalesce("gh", "h"))
+    def met_leaders(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs ``(a, b, na, nb)`` of members and leaders."""
+        sketch = lambda of, name: small.select(F.col("id").alias(of), F.col("sketch").alias(name))
+        both = pairs.distinct().join(sketch("a", "sa").hint("merge"), "a").join(sketch("b", "sb").hint("merge"), "b")
+        both = cut(both.filter(likely(*map(F.col, ("na", "nb", "sa", "sb")))).select("a", "b", "na", "nb"), "stars")
+        out = cut(verified(both), "links")
+        delete(both)
+        return out
 
-    def least_common(total: Column) -> Column:
-        """The fewest common items of a link between sets of ``total`` items together."""
-        return F.ceil(percent * total / (100 + percent)).cast("int")
-
-    def pairs_of(df: DataFrame) -> DataFrame:
-        """The pairs of members ``(key, id, n, g)`` of one key that are not connected, each once."""
-        all_ = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "g"))).alias("all"))
-        ways = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["id"] < x["id"]) & (y["g"] != x["g"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))))
-        return all_.select(F.explode(F.flatten(ways)).alias("p")).select("p.*").distinct()
+    def unsettled(df: DataFrame) -> DataFrame:
+        """The members ``(bucket, id, n, score, g)`` of buckets that hold two components, and so many parts."""
+        known = group_of(df)
+        counts = known.groupBy("bucket").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        return known.join(counts.filter("g1 <> g2").select("bucket", "parts").hint("merge"), "bucket")
 
     now = cut(members.join(small.select("id", "n").hint("merge"), "id").join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).hint("merge"), "bucket"), "round")
     delete(members)
-    found: list[DataFrame] = []
     groups = now.sparkSession.createDataFrame([], "node long, component long")
-    for turn in itertools.count():
-        few_now = min(FEW * 2**turn, MOST)
-        if turn:
-            # buckets of a rare item are settled at once; they hold no copies that a leader would connect
-            links = cut(verified(pairs_of(group_of(now.filter(F.col("c") <= FEW)).select(F.col("bucket").alias("key"), "id", "n", "g"))), "links")
-            found.append(links)
-            groups = _joined(groups, links)
-            rare, now = now, cut(now.filter(F.col("c") > FEW), "round")
-            delete(rare)
-            if now.isEmpty():
-                delete(now)
-                break
-        # the more a set meets others, the nearer it is to the middle of its copies
-        scores = now.groupBy("id").agg(F.sum("c").alias("score"))
-        leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))
-        lead = now.join(scores.hint("merge"), "id").groupBy("bucket").agg(leader.alias("l"), F.min("n").alias("low"), F.first("c").alias("c"))
-        if turn == 0:
-            # large buckets of the same copies take one leader, which need not be in each of them
-            best = now.select("bucket", "id").join(lead.filter(F.col("c") > FEW).hint("merge"), "bucket").groupBy("id").agg(F.min("l").alias("best"))
-            lead = lead.withColumn("of", F.when(F.col("c") > FEW, F.col("l.h"))).join(best.withColumnRenamed("id", "of").hint("merge"), "of", "left").withColumn("l", F.coalesce("best", "l"))
-        lead = lead.select("bucket", "l.h", "l.nh", "low")
-        led = cut(now.select("bucket", "id", "n").join(lead.hint("merge"), "bucket").filter("id <> h"), "led")
-        delete(now)
-        # all that is linked with its leader is one component; what is in its component already need not be compared
-        star = led.groupBy("h", "id").agg(F.first("n").alias("n"), F.first("nh").alias("nh"))
-        star = cut(of_leader(group_of(star)).filter("g <> gh").select(F.col("id").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")), "stars")
-        links = cut(verified(star), "links")
+    # the more a set meets others, the nearer it is to the middle of its copies
+    scored = now.join(now.groupBy("id").agg(F.sum("c").alias("score")).hint("merge"), "id")
+    leader = F.min(F.struct((-F.col("score")).alias("k"), F.col("n").alias("nh"), F.col("id").alias("h")))
+    lead = scored.groupBy("bucket").agg(leader.alias("l"), F.first("c").alias("c"))
+    # large buckets of the same copies take one leader, which need not be in each of them
+    best = now.select("bucket", "id").join(lead.filter(F.col("c") > FEW).hint("merge"), "bucket").groupBy("id").agg(F.min("l").alias("best"))
+    lead = lead.withColumn("of", F.when(F.col("c") > FEW, F.col("l.h"))).join(best.withColumnRenamed("id", "of").hint("merge"), "of", "left").withColumn("l", F.coalesce("best", "l"))
+    led = cut(scored.join(lead.select("bucket", "l.h", "l.nh").hint("merge"), "bucket").filter("id <> h").select("bucket", "id", "n", "score", "h", "nh"), "led")
+    delete(now)
+    # all that is linked with its leader is one component
+    links = met_leaders(led.select(F.col("id").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")))
+    found, groups = [links], _joined(groups, links)
+    # a bucket whose members are all connected, or that has none but its leader and one more, is settled
+    open_ = cut(unsettled(led.select("bucket", "id", "n", "score")), "open")
+    delete(led)
+    # a few leaders more connect the most of what is left of a large group
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "n", "id"))
+    more = open_.withColumn("place", place).filter(F.col("place") <= LEADERS).select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
+    links = met_leaders(open_.join(more.hint("merge"), "bucket").filter("g <> gb").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"), F.when(F.col("id") > F.col("b"), F.col("n")).otherwise(F.col("nb")).alias("na"), F.when(F.col("id") > F.col("b"), F.col("nb")).otherwise(F.col("n")).alias("nb")))
+    found, groups = [*found, links], _joined(groups, links)
+    rest = cut(unsettled(open_.select("bucket", "id", "n", "score")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "open")
+    delete(open_)
+    # each row has its set's sketch and open buckets: a pair is handed on in the first that both are in
+    own = rest.groupBy("id").agg(F.collect_list("bucket").alias("own"))
+    dealt = rest.join(small.select("id", "sketch").hint("merge"), "id").join(own.hint("merge"), "id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cut(dealt.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "n", "g", "sketch", "own", "part"), "dealt")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    met = F.expr("x.bucket = y.bucket and x.lo = y.lo and x.hi = y.hi and x.id > y.id and x.g <> y.g")
+    met &= (F.least("x.part", "y.part") == F.col("x.lo")) & (F.greatest("x.part", "y.part") == F.col("x.hi"))
+    met &= likely(*map(F.col, ("x.n", "y.n", "x.sketch", "y.sketch")))
+    met &= F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket")
+    pairs = x.hint("merge").join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), bits_apart(F.col("x.sketch"), F.col("y.sketch")).alias("apart"))
+    pairs = cut(pairs, "pairs")
+    delete(rest, dealt)
+    for most in (FEW, FEW * WIDER, None):
+        apart = group_of(group_of(pairs, "a", "ga"), "b", "gb").filter("ga <> gb")
+        if most:
+            place = F.row_number().over(Window.partitionBy(F.least("ga", "gb"), F.greatest("ga", "gb")).orderBy("apart", "a", "b"))
+            apart = apart.withColumn("place", place).filter(F.col("place") <= most)
+        tried = cut(apart.select("a", "b", "na", "nb"), "tried")
+        if tried.isEmpty():
+            delete(tried)
+            break
+        links = cut(verified(tried), "links")
         found.append(links)
         groups = _joined(groups, links)
-        delete(star)
-        # a bucket whose members are all connected, or that has none but its leader and one more, is settled
-        grouped = group_of(led)
-        unsettled = grouped.groupBy("bucket").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("bucket")
-        left = grouped.join(unsettled.hint("merge"), "bucket").groupBy("h", "id").agg(F.min("low").alias("low"), *(F.first(c).alias(c) for c in ("n", "nh", "g")))
-        left = of_leader(left)
-        # the component that most are in, the leader's where others are in it, has nobody to look for
-        most = left.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("g") == F.col("gh")).alias("own"))
-        most = most.groupBy("h").agg(F.sum("c").alias("size"), F.max(F.struct("own", "c", "g")).alias("m")).select("h", "size", F.col("m.g").alias("most"))
-        left = cut(left.join(most.hint("merge"), "h").select("h", "id", "n", "nh", "low", "g", "size", (F.col("g") != F.col("most")).alias("apart")), "open")
-        # a small group's pairs, each once
-        links = cut(verified(pairs_of(left.filter(F.col("size") <= few_now).select(F.col("h").alias("key"), "id", "n", "g"))), "links")
-        found.append(links)
-        many = left.filter(F.col("size") > few_now)
-        if many.isEmpty():
-            delete(left, led)
-            groups = _joined(groups, links)
-            break
-        # what each member has and its leader has not
-        apart = many.join(sets.select("id", "items").hint("merge"), "id").join(sets.select(F.col("id").alias("h"), F.col("items").alias("ih")).hint("merge"), "h")
-        rest = F.array_except("items", "ih")
-        apart = apart.select("h", "nh", "id", "n", "g", "apart", "low", rest.alias("rest"))
-        needed = lambda least: least_common(F.col("n") + F.greatest(least, F.ceil(percent * F.col("n") / 100).cast("int"))) - (F.col("n") - F.size("rest"))
-        apart = apart.withColumn("again", F.col("apart") & (needed("low") < 1)).withColumn("need", needed(F.when(F.col("again"), F.col("nh")).otherwise(F.col("low"))))
-        apart = cut(apart, "apart")
-        items = apart.select("h", "id", "n", "g", "apart", F.explode("rest").alias("e"))
-        shared = items.groupBy("h", "e").agg(F.count(F.lit(1)).alias("c"), (F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks")).filter("c > 1 and seeks").select("h", "e", "c", "mixed")
-        common = cut(items.join(shared.hint("merge"), ["h", "e"]), "common")
-        seekers = common.filter("apart").groupBy("h", "id").agg(F.sort_array(F.collect_list(F.struct("c", "e", "mixed"))).alias("own"))
-        seekers = seekers.join(apart.select("h", "id", "n", "g", F.size("rest").alias("all"), "need").hint("merge"), ["h", "id"])
-        take = F.col("all") - F.col("need") + 1 - (F.col("all") - F.size("own"))
-        seekers = seekers.filter(take > 0).select("h", "id", "n", "g", F.lit(True).alias("apart"), F.explode(F.slice("own", 1, take)).alias("o")).filter("o.mixed").select("h", "id", "n", "g", "apart", F.col("o.e").alias("e"))
-        others = common.filter("mixed and not apart").select("h", "id", "n", "g", "apart", "e")
-        after = seekers.unionByName(others).select(F.xxhash64("h", "e").alias("bucket"), "id", "n", "g", "apart")
-        # partners smaller than the leader, for those that may have them
-        again = led.join(apart.filter("again").select("h", "id", F.lit(True).alias("apart")).hint("merge"), ["h", "id"], "left")
-        again = group_of(again.filter("apart or n < nh")).select(F.xxhash64("bucket", F.lit("again")).alias("bucket"), "id", "n", "g", F.col("apart").isNotNull().alias("apart"))
-        after = after.unionByName(again)
-        mixed = after.groupBy("bucket").agg((F.min("g") != F.max("g")).alias("mixed"), F.max("apart").alias("seeks"), F.count(F.lit(1)).alias("c")).filter("mixed and seeks").select("bucket", "c")
-        following = cut(after.join(mixed.hint("merge"), "bucket").select("bucket", "id", "n", "c"), "round")
-        delete(led, left, apart, common)
-        fewer = cut(sets.join(following.select("id").distinct().hint("merge"), "id", "left_semi"), "sets")
-        delete(sets)
-        sets = fewer
-        groups, now = _joined(groups, links), following
-        if now.isEmpty():
-            delete(now)
-            break
-    delete(sets)
-    if plausible:
-        delete(small)
+        if most:
+            left = cut(pairs.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
+            delete(pairs)
+            pairs = left
+        delete(tried)
+    delete(pairs, sets, small)
     return functools.reduce(DataFrame.unionByName, found), groups
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverbed.llm.common import cut, delete, text_of, words_of
-from riverbed.llm.near import near_links, shared_buckets
+from riverbed.llm.near import bits_apart, near_links, shared_buckets
 
 BANDS, ROWS = 32, 8
 SAMPLES = BANDS * ROWS
@@ -96,9 +96,8 @@ def plausible(a: Column, b: Column, similarity: float) -> Column:
     With k samples and n bits, sets of similarity j differ in about
     ``n / 2 * (1 - exp(-4 k (1 - j) / n))`` bits.
     """
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     j = max(0.0, similarity - SLACK)
-    return apart <= SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - j) / SKETCH_BITS))
+    return bits_apart(a, b) <= SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - j) / SKETCH_BITS))
 
 
 _SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
