@@ -172,3 +172,17 @@ def test_days_and_ranges():
 def test_amounts_beside_each_other():
     assert text.key_amounts("5 usd 10 million") == ["n:10000000", "usd:5"] and text.key_amounts("rs. 5, rs 6 and cars 7") == ["inr:5", "inr:6"]
     assert text.key_amounts("3m 3mm 2K 4 Mn 5万吨 6吨") == ["n:2000", "n:3000000", "n:4000000", "t:50000", "t:6"] and text.key_amounts("US$1,5 $1,500 $1,50,00") == ["usd:1.5", "usd:1500"]
+
+
+def test_common_keys_meet_within_their_time(spark):
+    """Of reports that share a document all through the years, a join hands on those about the time of the query."""
+    import datetime
+
+    start = datetime.datetime(2000, 1, 1)
+    schema = "id long, fact long, seen_at timestamp_ntz, url string, hash string, names array<string>, amounts array<string>, documents array<string>, vector array<double>, grams array<string>"
+    every = spark.createDataFrame([(k, k, start + datetime.timedelta(days=30 * k), None, None, ["n"], ["1"], ["d"], None, None) for k in range(200)], schema)
+    asked = every.filter("id = 190").withColumnsRenamed({"id": "query", "seen_at": "at"})
+    out = recall.candidates(asked, every)
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and ("document#" in x or "amount#" in x)]
+    assert joins and all("stretch#" in x for x in joins)
+    assert {r.id for r in out.collect()} <= set(range(166, 190))
